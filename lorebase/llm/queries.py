@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 
 from lorebase.llm.bpe_stream import bpe_round_trip
 from lorebase.llm.mixing import mix
+from lorebase.llm.pii import pii_spans
+from lorebase.llm.ppm import lm_scores
 from lorebase.llm.quality import quality
+from lorebase.llm.simhash import near_duplicates
+from lorebase.llm.substring_dedup import remove_repeated_words
+from lorebase.llm.suffix_dedup import remove_repeated_bytes
 from lorebase.llm.token_counts import token_counts
 
 
@@ -24,6 +29,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), words=3)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality(documents(spark, sf_dir))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -38,15 +47,36 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), limit=1024)
 
 
+def op5_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_spans(documents(spark, sf_dir)).drop("scored")
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_words(documents(spark, sf_dir), length=20, payload=False)
+
+
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(documents(spark, sf_dir), length=100)
+
+
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(documents(spark, sf_dir), one_in=10)
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), payload=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_simhash_components": op1_simhash_components,
         "op2_quality_rules": op2_quality_rules,
         "op3_mix_sources": op3_mix_sources,
         "op4_token_counts": op4_token_counts,
+        "op5_pii_spans": op5_pii_spans,
+        "op6_substring_dedup": op6_substring_dedup,
+        "op7_suffix_array_dedup": op7_suffix_array_dedup,
+        "op9_lm_scores": op9_lm_scores,
         "op10_bpe_round_trip": op10_bpe_round_trip,
     }
 
