@@ -35,7 +35,11 @@ ITERATIONS, SMOOTHING = 25, 1.0
 
 
 def signals(docs: DataFrame, text_col: str, *keep: Column) -> DataFrame:
-    """What the rules look at, by document, beside the columns of ``keep``."""
+    """What the rules look at, by document, beside the columns of ``keep``.
+
+    The column ``_nth`` is there for filters to use: a filter on it stays above the
+    projections, where each signal is computed once, instead of being pushed below them.
+    """
     text = text_or_empty(docs[text_col])
     trimmed = F.btrim(text, F.lit(SPACES))
     words = F.when(F.length(trimmed) > 0, F.split(trimmed, f"[{SPACE}]+")).otherwise(F.array().cast("array<string>"))
@@ -66,7 +70,8 @@ def signals(docs: DataFrame, text_col: str, *keep: Column) -> DataFrame:
     places = F.expr("array_sort(array_distinct(flatten(transform(_k, k -> array(_s[k - 1].i, _s[k].i)))))")
     fifth = fourth.withColumn("_p", F.when(F.size("_k") > 0, places)).drop("_k", "_s")
     covered = F.expr("3 + aggregate(sequence(1, size(_p) - 1), 0, (n, k) -> n + least(3, _p[k] - _p[k - 1]))")
-    return fifth.withColumn("n_repeat_words", F.when(F.size("_p") > 1, covered).otherwise(0).cast("long")).drop("_p")
+    repeats = F.when(F.size("_p") > 1, covered).otherwise(0).cast("long")
+    return fifth.select("*", repeats.alias("n_repeat_words"), F.monotonically_increasing_id().alias("_nth")).drop("_p")
 
 
 def matched(text: Column, characters: str) -> Column:
@@ -135,14 +140,14 @@ def learned(found: DataFrame) -> Column:
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """Per document: the signals, base_failed, the probability of being clean, and kept."""
-    found = materialise(signals(docs, text_col, docs[id_col].alias("doc_id")), "quality-signals")
+    found = materialise(signals(docs, text_col, docs[id_col].alias("doc_id")).drop("_nth"), "quality-signals")
     out = found.withColumn("base_failed", base_failed()).withColumn("p_clean", learned(found))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_clean") >= threshold))
 
 
 def keep_clean(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that :func:`quality` keeps, with all their columns."""
+    clean = learned(materialise(signals(docs, text_col).drop("_nth"), "quality-signals"))
     packed = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
-    found = signals(docs, text_col, packed)
-    clean = learned(signals(docs, text_col, F.lit(1).alias("_one")))
-    return found.filter(~base_failed() & (clean >= threshold)).select("_row.*")
+    kept = ~base_failed() & (clean >= threshold) & (F.col("_nth") >= 0)
+    return signals(docs, text_col, packed).filter(kept).select("_row.*")
