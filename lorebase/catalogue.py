@@ -141,7 +141,7 @@ def consent(spark, d):
                     F.size(access.unshare(b.shared_with, "u1")).cast("long").alias("after_unshare"), F.map_contains_key(left, "training").alias("consents"))
 
 
-@query("retention_days", with_views("beliefs", "select least(coalesce(case when line % 2 = 0 then line * 40 end, 30), 90) "days", count(*) n from beliefs group by all"))
+@query("retention_days", with_views("beliefs", "select least(coalesce(case when line % 2 = 0 then line * 40 end, 30), 90) as days, count(*) n from beliefs group by all"))
 def retention(spark, d):
     b = V.beliefs(spark, d)
     days = access.retention_days(access.Preferences.private(), F.when(b.line % 2 == 0, b.line * 40))

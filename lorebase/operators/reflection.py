@@ -24,7 +24,7 @@ def session_groups(experiences: DataFrame, least: int = 2) -> DataFrame:
 
 
 #: A capitalised phrase between ASCII word boundaries, and a quoted one.
-CAPITALISED, QUOTED = r"(?<![A-Za-z0-9_])[A-Z][a-z]+(?: [A-Z][a-z]+)*(?![A-Za-z0-9_])", r'"([^"]+)"'
+CAPITALISED, QUOTED = r"(?<![A-Za-z0-9_])[A-Z][a-z]++(?![A-Za-z0-9_])(?: [A-Z][a-z]++(?![A-Za-z0-9_]))*+", r'"([^"]+)"'
 
 
 def entities_in(text: Column) -> Column:

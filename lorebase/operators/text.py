@@ -29,7 +29,7 @@ def action_items(df: DataFrame, text: str, key: str) -> DataFrame:
 
 def claims(df: DataFrame, text: str, key: str, least: int = 20, most: int = 20) -> DataFrame:
     """Sentences of a text that state something: long enough, no question, no quotation; the first ``most``."""
-    s = F.transform(F.split(F.replace(F.col(text), F.lit("\n"), F.lit(" ")), r"\."), F.trim)
+    s = F.transform(F.split(F.replace(F.col(text), F.lit("\n"), F.lit(" ")), r"\."), lambda x: F.trim(x))
     good = F.filter(s, lambda x: (F.length(x) >= least) & ~F.endswith(x, F.lit("?")) & ~F.startswith(x, F.lit('"')))
     return df.select(key, F.posexplode(F.slice(good, 1, most)).alias("claim_no", "claim"))
 
@@ -226,8 +226,8 @@ def resolved(entities: DataFrame, aliases: DataFrame, *place: str) -> DataFrame:
     return best.join(a, normal(F.col("entity")) == F.col("_a"), "left").drop("_a").withColumn("canonical", F.coalesce("canonical", "entity"))
 
 
-#: Long form, then its short form in brackets.
-ALIAS = r"([A-Z][A-Za-z]+(?: [A-Za-z]+)*) \(([A-Za-z]{2,10})\)"
+#: Long form, then its short form in brackets. Possessive: no stack on long runs of words.
+ALIAS = r"([A-Z][A-Za-z]++(?: [A-Za-z]++)*+) \(([A-Za-z]{2,10})\)"
 
 
 def aliases_in(df: DataFrame, text: str) -> DataFrame:
