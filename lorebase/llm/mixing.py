@@ -141,16 +141,16 @@ def mix(
 ) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken, and how often to take it (copies).
 
-    keep: further columns of ``docs`` to carry along; ``copies`` is ``taken / size``.  The
+    keep: columns of ``docs`` to carry along, as one column ``row``.  The
     number of sources is taken to be small (their names and sums are planned on the driver);
     documents and lengths are not.
     """
-    own = [c for c in keep if c not in (id_col, source_col)]
+    own = [F.struct(*[docs[c] for c in keep]).alias("row")] if keep else []
     rows = docs.select(
         docs[id_col].alias("doc_id"),
         docs[source_col].alias("source"),
         n_words(docs[text_col]).alias("size"),
-        *[docs[c].alias(f"kept_{c}") for c in own],
+        *own,
     ).withColumn("source_key", source_key(F.col("source")))
     rows = rows.withColumn("slice", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.col("source_key"), F.col("size")))
     rows = rows.withColumn("bucket", F.pmod(F.shiftright("slice", 20), F.lit(BUCKETS)).cast("int"))
@@ -175,7 +175,7 @@ def mix(
     part = chosen.filter(border).withColumn("copies", F.col("epochs") + (F.row_number().over(rank) <= F.col("quota")).cast("long"))
     out = whole.unionByName(part).join(goals, "source_key")
     return out.select(
-        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source", *[F.col(f"kept_{c}").alias(c) for c in own]
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source", *["row"] * bool(own)
     )
 
 

@@ -94,7 +94,7 @@ def mod97(account: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda s, v: (F.when(v > 9, s * 100).otherwise(s * 10) + v) % 97) == 1
 
 
-_PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+_PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 CONFIRM = {
     "email": lambda m: F.lit(True),
     "ip": lambda m: m.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$"),
