@@ -1,5 +1,7 @@
 """Streaming jobs on small folders of files."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from lorebase.streaming import jobs
@@ -32,7 +34,10 @@ def test_working_memory_emits_the_latest(spark, tmp_path):
     df = spark.createDataFrame([("u", "k", "1", 60000), ("u", "j", "2", 60000)], "owner_id string, key string, value string, ttl_ms bigint")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = jobs.working_memory(stream).writeStream.format("memory").queryName("live").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).start()
-    q.processAllAvailable()
+    q = jobs.working_memory(stream).writeStream.format("memory").queryName("live").outputMode("update").trigger(processingTime="1 second").option("checkpointLocation", str(tmp_path / "c")).start()
+    # State with a life never runs out of work, so there is no "all available" to wait for.
+    ends = time.time() + 90
+    while time.time() < ends and spark.table("live").count() < 2:
+        time.sleep(1)
     q.stop()
     assert {(r.key, r.value, r.live) for r in spark.table("live").collect()} == {("k", "1", True), ("j", "2", True)}
