@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage, and their SQL where SQL can express them."""
+"""The registered queries of this subpackage; their SQL, where SQL can express them, is in :mod:`.oracle`."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lorebase.llm.bpe_stream import bpe_round_trip
 from lorebase.llm.mixing import mix
+from lorebase.llm.oracle import oracle_sql  # noqa: F401
 from lorebase.llm.pii import pii_spans
 from lorebase.llm.ppm import lm_scores
 from lorebase.llm.quality import quality
@@ -86,20 +87,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_lm_scores": op9_lm_scores,
         "op10_bpe_round_trip": op10_bpe_round_trip,
     }
-
-
-#: Words of a text, lower-cased from A to Z.
-_LOWERED = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
-
-OP8_SQL = f"""with w as (select doc_id, unnest({_LOWERED}) term from documents),
- dl as (select doc_id, count(*) dl from w group by doc_id),
- stats as (select (select count(*) from documents) n, (select sum(dl) from dl) / (select count(*) from documents) avgdl),
- tf as (select doc_id, term, count(*) tf from w group by all), df as (select term, count(*) df from tf group by term),
- scored as (select q.doc_id query_id, d.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * q.tf * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) score
-  from tf q join tf d using (term) join df using (term) join dl on dl.doc_id = d.doc_id, stats where q.doc_id % 20 = 0 group by 1, 2),
- ranked as (select *, cast(row_number() over (partition by query_id order by score desc, doc_id) as int) rank from scored)
- select query_id, rank, doc_id, score from ranked where rank <= 10"""
-
-
-def oracle_sql() -> dict[str, str]:
-    return {"op8_bm25_top_k": OP8_SQL}
