@@ -18,6 +18,7 @@ from lorebase.operators import reflection as R
 from lorebase.operators import text as T
 from lorebase.plans import views as V
 from lorebase.plans.views import with_views
+from lorebase.storage import globally_ranked
 
 ORDERS_AT, EVENTS_AT, HALF = "2002-01-01 00:00:00", "2024-01-31 00:00:00", 365
 WHO = access.Principal("u3", "t3", ("member",))
@@ -202,7 +203,7 @@ def procedures(spark, d):
 NATS = "case when confidence <= 0 or confidence >= 1 then 0.0 else -(confidence * ln(confidence) + (1 - confidence) * ln(1 - confidence)) end"
 
 
-@query("entropy_uncertain", with_views("pairs", f"select belief_id, round(({NATS}) / ln(2.0), 6) bits from pairs where ({NATS}) / ln(2.0) >= 0.5 order by bits desc, belief_id limit 50").replace("with beliefs", "with beliefs"))
+@query("entropy_uncertain", with_views("pairs", f"select belief_id, round(({NATS}) / ln(2.0), 6) bits from pairs where ({NATS}) / ln(2.0) >= 0.5 order by bits desc, belief_id limit 50"))
 def uncertain(spark, d):
     p = V.pair_beliefs(spark, d)
     bits = scoring.entropy(F.col("confidence"), True)
@@ -348,7 +349,7 @@ def backward(spark, d):
  select c.candidate_id, count(*) filter (contains(c.object, p.object) or contains(p.object, c.object)) supports, cast(0 as bigint) contradicts from c join pairs p using (subject) group by 1"""))
 def candidates(spark, d):
     p = V.pair_beliefs(spark, d)
-    c = p.filter("evidence > 1").withColumn("candidate_id", F.row_number().over(Window.orderBy("belief_id")).cast("long"))
+    c = globally_ranked(p.filter("evidence > 1"), F.col("belief_id"), name="candidate_id").withColumn("candidate_id", F.col("candidate_id").cast("long"))
     return B.judged(c, p)
 
 
@@ -541,10 +542,7 @@ def cooccurrence(spark, d):
 def cooccurrence_top(spark, d):
     li = V.table(spark, d, "lineitem").select("l_orderkey", V.numbered("supplier:", F.col("l_suppkey")).alias("s"))
     w = graph.cooccurrences(li, "l_orderkey", "s")
-    best = F.broadcast(w.agg(F.max("weight").alias("t")))  # one row
-    mine = w.filter("a = 'supplier:1' or b = 'supplier:1'").crossJoin(best)
-    mine = mine.select(F.when(F.col("a") == "supplier:1", F.col("b")).otherwise(F.col("a")).alias("other"), (F.col("weight") / F.col("t")).alias("x")).filter("x >= 0.1")
-    return scoring.top(mine.select("other", r6(F.col("x")).alias("strength")), "strength", "other", 20)
+    return graph.related(w, "supplier:1")
 
 
 # -- reflection ---------------------------------------------------------------------------------
@@ -772,3 +770,83 @@ def provenance(spark, d):
     events = b.select("subject", V.micros(b.observed_at).alias("at"), F.lit("observed").alias("event"), F.col("source_id").alias("by"))
     items = b.groupBy("subject").agg(F.min(V.micros(b.observed_at)).alias("created_us"), F.min("owner_id").alias("owner_id"))
     return G.provenance(items, events, "subject").select("subject", F.size("chain").cast("long").alias("events"), F.col("chain")[0]["at"].alias("first_us"))
+
+
+# -- smaller pieces -----------------------------------------------------------------------------
+
+
+@query("entropy_regularised_search", with_views("pairs", f", t as (select *, {NATS} h from pairs order by confidence desc, belief_id limit 100) select belief_id, round(confidence - 0.4 * h, 6) score from t order by score desc, belief_id limit 20"))
+def entropy_search(spark, d):
+    t = scoring.top(V.pair_beliefs(spark, d), "confidence", "belief_id", 100)
+    s = F.col("confidence") - 0.4 * scoring.entropy(F.col("confidence"))
+    return scoring.top(t.select("belief_id", r6(s).alias("score")), "score", "belief_id", 20)
+
+
+@query("edge_search", f"select e.vec_id edge_id, round({COS}, 6) score from embeddings e, embeddings q where q.vec_id = 1 and e.vec_id % 3 <> 0 order by score desc, edge_id limit 10")
+def edge_search(spark, d):
+    e = V.table(spark, d, "embeddings").withColumn("description", F.when(F.col("vec_id") % 3 != 0, F.col("label").cast("string")))
+    q = F.broadcast(e.filter("vec_id = 1").select(F.col("embedding").alias("q")))  # one row
+    found = e.filter("description is not null").crossJoin(q)
+    return scoring.top(found.select(F.col("vec_id").alias("edge_id"), r6(scoring.cosine(F.col("embedding"), F.col("q"))).alias("score")), "score", "edge_id", 10)
+
+
+@query("latest_snapshot", "with r as (select *, row_number() over (partition by user_id order by ts desc, event_id desc) n from events where event_type = 'purchase') select user_id, epoch_us(ts) taken_us, event_id snapshot_id from r where n = 1")
+def latest_snapshot(spark, d):
+    e = V.table(spark, d, "events").filter("event_type = 'purchase'").withColumn("us", V.micros(F.col("ts")))
+    return e.groupBy("user_id").agg(F.max("us").alias("taken_us"), F.max(F.struct("us", "event_id"))["event_id"].alias("snapshot_id"))
+
+
+@query("procedure_text", "select p_partkey, p_name || chr(10) || p_type || chr(10) || 'Trigger: ' || p_brand || chr(10) || 'Step 1: pick' || chr(10) || 'Step 2: pack' body from part")
+def procedure_text(spark, d):
+    steps = F.transform(F.array(F.lit("pick"), F.lit("pack")), lambda s, i: F.concat(F.lit("Step "), (i + 1).cast("string"), F.lit(": "), s))
+    body = F.concat_ws("\n", F.array("p_name", "p_type", F.concat(F.lit("Trigger: "), "p_brand")), steps)
+    return V.table(spark, d, "part").select("p_partkey", body.alias("body"))
+
+
+@query("decision_payload", "select o_orderkey, cast(json_object('id', o_orderkey, 'title', o_orderpriority, 'status', o_orderstatus) as varchar) payload from orders")
+def decision_payload(spark, d):
+    o = V.table(spark, d, "orders")
+    return o.select("o_orderkey", F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("status"))).alias("payload"))
+
+
+@query("causal_patterns", "select doc_id, right(trim(string_split(text, ' the ')[1]), 100) cause, left(trim(substr(text, strpos(text, ' the ') + 5)), 100) effect from documents where contains(text, ' the ')")
+def causal(spark, d):
+    docs = V.table(spark, d, "documents")
+    return docs.select("doc_id", R.causal_split(F.col("text"), [" the "]).alias("p")).filter("p is not null").select("doc_id", "p.cause", "p.effect")
+
+
+@query("correlations", "with m as (select distinct conv_id, role from conversations) select a.role a, b.role b, count(*) weight, round(least(0.9, 0.4 + 0.1 * count(*)), 6) confidence from m a join m b on a.conv_id = b.conv_id and a.role < b.role group by 1, 2 having count(*) >= 2")
+def correlations(spark, d):
+    return R.correlations(V.table(spark, d, "conversations"), "conv_id", "role")
+
+
+@query("tumbling_windows", "select epoch_us(time_bucket(interval 1 hour, ts)) start_us, event_type, count(*) n from events group by all")
+def tumbling(spark, d):
+    w = V.table(spark, d, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return w.select(V.micros(F.col("w.start").cast("timestamp_ntz")).alias("start_us"), "event_type", "n")
+
+
+@query("belief_citations", with_views("pairs", "select belief_id, '(' || subject || ', ' || predicate || ', ' || object || ') [' || cast(cast(round(confidence * 100) as bigint) as varchar) || '%]' citation from pairs"))
+def citations(spark, d):
+    p = V.pair_beliefs(spark, d)
+    percent = F.round(F.col("confidence") * 100).cast("long").cast("string")
+    return p.select("belief_id", F.concat(F.format_string("(%s, %s, %s) [", "subject", "predicate", "object"), percent, F.lit("%]")).alias("citation"))
+
+
+@query("merged_patterns", with_views("beliefs", "select status type, subject, predicate, object, max(confidence) confidence, count(*) occurrences, array_to_string(list_slice(list_sort(list(distinct belief_id)), 1, 10), ',') evidence from beliefs group by all"))
+def merged(spark, d):
+    b = V.beliefs(spark, d).select(F.col("status").alias("type"), "subject", "predicate", "object", "confidence", F.lit(1).cast("long").alias("occurrences"), F.array("belief_id").alias("evidence"))
+    return R.merged_patterns(b).withColumn("evidence", F.array_join("evidence", ","))
+
+
+@query("causal_edges", "with x as (select event_id child, lag(event_id) over (partition by user_id order by ts, event_id) parent from events) select parent, child from x where parent is not null")
+def causal_edges(spark, d):
+    e = V.table(spark, d, "events")
+    parent = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return e.select(parent.alias("parent"), F.col("event_id").alias("child")).filter("parent is not null")
+
+
+@query("transcript_minutes", "select doc_id, round(cast(doc_id % 7 as double) * 60 + 5 + doc_id % 50 / 60, 6) as minutes from documents")
+def minutes(spark, d):
+    stamp = F.format_string("%d:05:%02d", F.col("doc_id") % 7, F.col("doc_id") % 50)
+    return V.table(spark, d, "documents").select("doc_id", r6(temporal.clock_minutes(stamp)).alias("minutes"))

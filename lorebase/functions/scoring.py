@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorebase.storage import globally_ranked
+
 LN2 = 0.693
 
 
@@ -82,8 +84,8 @@ def fuse_ranks(ranked: dict[str, DataFrame], key: str, weights: dict[str, float]
     """Reciprocal-rank fusion of lists of (key, score): the sum of weight / (k + rank) by key."""
     parts = []
     for name, df in ranked.items():
-        rank = F.row_number().over(Window.orderBy(F.col("score").desc(), F.col(key)))
-        parts.append(df.select(key, ((weights or {}).get(name, 1.0) / (k + rank)).alias("part")))
+        placed = globally_ranked(df, F.col("score").desc(), F.col(key))
+        parts.append(placed.select(key, ((weights or {}).get(name, 1.0) / (k + F.col("rank"))).alias("part")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

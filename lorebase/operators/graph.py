@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorebase.storage import materialise
@@ -154,8 +154,8 @@ def cooccurrences(members: DataFrame, group: str, item: str) -> DataFrame:
 def related(weights: DataFrame, item: str, least: float = 0.1, k: int = 20) -> DataFrame:
     """What is met with an item, by weight against the largest."""
     mine = weights.filter((F.col("a") == item) | (F.col("b") == item)).withColumn("other", F.when(F.col("a") == item, F.col("b")).otherwise(F.col("a")))
-    strength = F.round(F.col("weight") / F.max("weight").over(Window.partitionBy()), 6)
-    return mine.withColumn("strength", strength).filter(F.col("strength") >= least).orderBy(F.col("strength").desc(), "other").limit(k).select("other", "strength")
+    best = F.broadcast(weights.agg(F.max("weight").alias("_most")))  # one row
+    return mine.crossJoin(best).withColumn("strength", F.round(F.col("weight") / F.col("_most"), 6)).filter(F.col("strength") >= least).orderBy(F.col("strength").desc(), "other").limit(k).select("other", "strength")
 
 
 @dataclass(frozen=True)

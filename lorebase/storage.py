@@ -9,7 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,3 +39,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(schema).parquet(path)
+
+
+def globally_ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
+    """``df`` with the place of each row in one order over all rows, from 1, without sorting all in one task.
+
+    Rows are dealt out by range of the order, ranked within their range, and moved up by the rows
+    of the ranges before; the table of ranges has one row for each.
+    """
+    dealt = materialise(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranked")
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_ahead", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.join(F.broadcast(sizes), "_range").withColumn(name, F.col("_ahead") + within).drop("_range", "_ahead")
