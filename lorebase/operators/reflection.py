@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorebase.plans.views import micros
+from lorebase.storage import materialise
 
 
 def gap_sessions(events: DataFrame, by: str, at: str, gap_seconds: int = 1800, least: int = 2) -> DataFrame:
@@ -74,7 +75,7 @@ def first_wins(groups: DataFrame, pairs: DataFrame, group: str, rounds: int = 20
         earlier = pairs.join(state.select(F.col("g").alias("a"), F.col("kept").alias("k")), "a").groupBy(F.col("b").alias("g"))
         seen = earlier.agg(F.coalesce(F.max(F.col("k")), F.lit(False)).alias("hit"), F.count_if(F.col("k").isNull()).alias("open"))
         new = F.when(F.col("hit"), False).when(F.coalesce("open", F.lit(0)) == 0, True)
-        state = state.join(seen, "g", "left").select("g", F.coalesce("kept", new).alias("kept")).checkpoint()
+        state = materialise(state.join(seen, "g", "left").select("g", F.coalesce("kept", new).alias("kept")), "first-wins")
         if state.filter("kept is null").isEmpty():
             break
     return state.filter("kept").select(F.col("g").alias(group))

@@ -117,7 +117,6 @@ def test_gap_sessions_are_inclusive(spark):
 
 def test_first_wins_keeps_what_only_resembles_dropped_groups(spark):
     groups = spark.createDataFrame([(i,) for i in range(4)], "g int")
-    spark.sparkContext.setCheckpointDir("/tmp/lorebase-tests") if not spark.sparkContext.getCheckpointDir() else None
     pairs = spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "a int, b int")
     assert sorted(r.g for r in reflection.first_wins(groups, pairs, "g").collect()) == [0, 2]
 
