@@ -169,7 +169,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = near_duplicates(docs, id_col, text_col, words).select("doc_id", "component_id", "fingerprint")
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), "fingerprint")
     named = kept.filter("_id is not null").groupBy("_id").agg(F.min("fingerprint").alias("fingerprint"))
-    out = docs.join(named, docs[id_col] == named["_id"], "left_semi")
+    # The kept ids grow with the documents; they are met the same way at every size.
+    out = docs.join(named.hint("merge"), docs[id_col] == named["_id"], "left_semi")
     nameless = docs.filter(docs[id_col].isNull())
     if nameless.isEmpty():
         return out.dropDuplicates([id_col])
