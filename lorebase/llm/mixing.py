@@ -169,7 +169,8 @@ def mix(
     quota = quota.select("source_key", "size", "bucket", "epochs", F.greatest(F.lit(0), F.least("n", F.col("extra") - F.col("earlier"))).alias("quota"), "n")
     quota = materialise(quota, "mix-quota")
     rank = Window.partitionBy("source_key", "size", "bucket").orderBy("slice", F.col("doc_id").asc_nulls_last())
-    chosen = rows.join(quota, ["source_key", "size", "bucket"])
+    # The quota grows with the data; when whole rows are carried, they are met the same way at every size.
+    chosen = rows.join(quota.hint("merge") if own else quota, ["source_key", "size", "bucket"])
     border = (F.col("quota") > 0) & (F.col("quota") < F.col("n"))
     whole = chosen.filter(~border).withColumn("copies", F.col("epochs") + (F.col("quota") > 0).cast("long"))
     part = chosen.filter(border).withColumn("copies", F.col("epochs") + (F.row_number().over(rank) <= F.col("quota")).cast("long"))
