@@ -27,6 +27,7 @@ text are one document and get equal results.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -45,9 +46,9 @@ _TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 SEGMENT = "h bigint, seg binary, block int, ord bigint, tie bigint, start bigint, pre int"
-SPAN = "block int, ord bigint, tie bigint, start bigint, stop bigint, w binary"
+SPAN = "block int, ord bigint, tie bigint, start bigint, stop bigint, w1 bigint, w2 bigint"
 _segment = pa.schema([("h", pa.int64()), ("seg", pa.binary()), ("block", pa.int32()), ("ord", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("pre", pa.int32())])
-_span = pa.schema([("block", pa.int32()), ("ord", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("w", pa.binary())])
+_span = pa.schema([("block", pa.int32()), ("ord", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("w1", pa.int64()), ("w2", pa.int64())])
 
 
 def rolling(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -220,10 +221,9 @@ def removed_spans(docs: DataFrame, shared: Callable, words: bool, length: int, g
     segments = rows.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(send, SEGMENT)
     ordered = segments.repartition("h").sortWithinPartitions("h", "seg", "ord", "tie", "start")
     spans = ordered.mapInArrow(lambda batches: by_anchors(batches, shared, words, length, most), SPAN)
-    # Windows of crowded anchors: the first place stays, the others are spans. Rows that are spans already have a key of their own.
-    place = Window.partitionBy("k").orderBy("ord", "tie", "start")
-    keyed = spans.withColumn("k", F.coalesce("w", F.concat(*[F.col(c).cast("string") for c in ("ord", "tie", "start", "stop")]).cast("binary")))
-    spans = keyed.withColumn("rank", F.row_number().over(place)).filter("w is null or rank > 1").select("block", "ord", "tie", "start", "stop")
+    # Windows of crowded anchors: the first place stays, the others are spans. Spans go by their document and stay as they are.
+    place = Window.partitionBy(F.coalesce("w1", "tie"), F.coalesce("w2", "ord")).orderBy("ord", "tie", "start")
+    spans = spans.withColumn("rank", F.row_number().over(place)).filter("w1 is null or rank > 1").select("block", "ord", "tie", "start", "stop")
 
     def end(group: pa.Table, found: pa.Table) -> pa.Table:
         by_doc: dict[tuple[int, int], list[tuple[int, int]]] = {}
@@ -249,17 +249,17 @@ def by_anchors(batches: Iterator[pa.RecordBatch], shared: Callable, words: bool,
     out: list[tuple] = []
     firsts: list[tuple] = []
     groups: list[list[tuple]] = []
-    held, anchor, segment, crowded = 0, None, None, False
+    held, anchor, segment, crowded, halves = 0, None, None, False, struct.Struct("<qq")
 
     def windows(first: tuple) -> Iterator[tuple]:
         seg, block, o, t, a, _ = first
         units = seg.split(b" ") if words else seg
         for i in range(len(units) - length + 1):
             content = b" ".join(units[i : i + length]) if words else units[i : i + length]
-            yield block, o, t, a + i, a + i + length, hashlib.md5(content, usedforsecurity=False).digest()
+            yield block, o, t, a + i, a + i + length, *halves.unpack(hashlib.md5(content, usedforsecurity=False).digest())
 
     def compare() -> list[tuple]:
-        return [(block, o, t, a + x, a + x + n, None) for (_, block, o, t, a, _), x, n in shared(groups)]
+        return [(block, o, t, a + x, a + x + n, None, None) for (_, block, o, t, a, _), x, n in shared(groups)]
 
     for batch in batches:
         for h, seg, block, o, t, start, pre in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -272,11 +272,11 @@ def by_anchors(batches: Iterator[pa.RecordBatch], shared: Callable, words: bool,
                     out += compare()
                     groups, held = [], 0
             if seg is None:
-                out.append((block, o, t, start, start + pre, None))
+                out.append((block, o, t, start, start + pre, None, None))
                 continue
             if seg == segment:
                 n = seg.count(b" ") + 1 if words else len(seg)
-                out.append((block, o, t, start, start + n, None))
+                out.append((block, o, t, start, start + n, None, None))
             else:
                 segment, first = seg, (seg, block, o, t, start, pre)
                 if crowded:
