@@ -21,9 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 
-from lorebase.llm.seeds import GROUP, removed_spans
+from lorebase.llm.seeds import removed_spans
 
 LENGTH, GRAM = 100, 32
+#: Different segments of one anchor in one expansion: its cost grows with their bytes, not with their pairs.
+GROUP = 1024
 
 
 def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
