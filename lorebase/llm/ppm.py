@@ -7,12 +7,14 @@ first; a symbol it has not seen costs an escape (method C: distinct symbols agai
 occurrences), after which the next shorter context predicts with the symbols already ruled out
 excluded; below the empty context all symbols left are equally likely.
 
-Counting covers all training text: each task counts its own (context, symbol) pairs, the
-counts are summed by pair.  A pair is kept if it makes up at least one in ``MODEL_PAIRS`` of all
-symbols of its order, so an order keeps at most MODEL_PAIRS pairs whatever the corpus: that
-bounds what is broadcast.  A kept pair's shorter contexts are kept as well.
+Counting covers all training text and every pair counts, however rare.  Each block of documents
+(:mod:`.blocks`) lists its distinct grams (a symbol with its DEPTH predecessors) and how often
+training documents hold them; the counts are summed by gram.  Grams with the same ``NEAR``
+predecessors hold all longer contexts that any of them can meet, so the trie is built and asked
+piece by piece, and only the pairs of orders below NEAR, which the alphabet bounds, are
+broadcast.  A block then fetches by key what its own grams cost.
 
-Word counts for the base score are exchanged by block of documents (:mod:`.blocks`).
+Word counts for the base score are exchanged by block in the same way.
 
 Defined cases: a null or empty text is the end symbol alone; a null id counts as the empty text
 for the choice of training documents; without training text every symbol is equally likely;
@@ -27,7 +29,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,12 +37,19 @@ from lorebase.llm.blocks import dealt
 from lorebase.storage import materialise
 
 DEPTH = 5
-#: Most pairs that the model keeps of each order.
+#: Predecessors that tell the pieces of the trie apart.
+NEAR = 2
+#: Grams that a piece of the trie has, about; those with the same NEAR predecessors stay together.
+PIECE = 1 << 16
+#: Bytes of text in a block: the larger, the fewer blocks list the same gram or word.
+BLOCK = 24_000_000
+#: Bytes of text of a block that are turned into grams at once.
+SLICE = 500_000
+#: Most pairs that ``learn`` keeps of each order; ``lm_scores`` keeps all.
 MODEL_PAIRS = 1 << 21
 #: Pairs that a task counts before it hands them on.
 FLUSH = 3_000_000
 END, START, BITS, SYMBOLS = 256, 257, 9, 257
-WORDS = regex.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = np.array([*range(65), *range(97, 123), *range(91, 256)], dtype=np.uint8)
 SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_logs double, score double"
 
@@ -135,19 +143,13 @@ class Trie:
         out[open_] -= np.log10(max(left, 1))
         return out
 
-    def scores(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """log10 probability of each text."""
-        grams, starts = codes(raw, offsets)
-        distinct, at = np.unique(grams, return_inverse=True)
-        return np.add.reduceat(self.log10(distinct)[at], starts) if len(starts) else np.zeros(0)
-
 
 def mask(symbols: int) -> np.uint64:
     return np.uint64((1 << BITS * symbols) - 1)
 
 
 def learn(texts: DataFrame, model_pairs: int = MODEL_PAIRS) -> Trie:
-    """Learn the trie from the column ``text``."""
+    """One trie of the column ``text`` in memory, of pairs that make up at least one in ``model_pairs`` of the symbols."""
     grams = materialise(texts.select("text").mapInArrow(_counted, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")), "ppm-grams")
     symbols = grams.agg(F.sum("n").alias("n")).first()["n"] or 0
     least = max(1, -(-symbols // model_pairs))
@@ -164,8 +166,51 @@ def learn(texts: DataFrame, model_pairs: int = MODEL_PAIRS) -> Trie:
     return Trie(out)
 
 
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, with their counts together."""
+    distinct, at = np.unique(keys, return_inverse=True)
+    return distinct, np.bincount(at, weights=counts, minlength=len(distinct))
+
+
+def _listed_grams(table: pa.Table) -> pa.Table:
+    """Of a block: its distinct grams with their number in training documents."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        return _summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
+
+    for part in slices(table.to_batches(), limit=SLICE):
+        raw, offsets = text_bytes(part.column(part.schema.get_field_index("text")))
+        test = part.column(part.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False).astype(np.uint64)
+        marked = codes(raw, offsets)[0] << np.uint64(1) | np.repeat(test, np.diff(offsets) + 1)
+        keys, counts = np.unique(marked, return_counts=True)
+        held.append((keys >> np.uint64(1), np.where(keys & np.uint64(1), 0, counts)))
+        if sum(len(k) for k, _ in held[1:]) > FLUSH // 3:
+            held = [merged()]
+    keys, counts = merged()
+    block = np.full(len(keys), table.column("block")[0].as_py(), dtype=np.int32)
+    return pa.table({"block": block, "gram": keys.astype(np.int64), "n": counts.astype(np.int64)})
+
+
+def gram_logs(counts: DataFrame, piece: int = PIECE) -> DataFrame:
+    """(gram, log): log10 probability of every gram of (gram, n), under the trie of all of them, n times each."""
+    near = counts.filter("n > 0").groupBy(F.col("gram").bitwiseAND(F.lit(int(mask(NEAR)))).alias("pair")).agg(F.sum("n").alias("n")).toArrow()  # the alphabet bounds it
+    pair, n = near.column("pair").to_numpy().astype(np.uint64), near.column("n").to_numpy().astype(float)
+    low = counts.sparkSession.sparkContext.broadcast([_summed(pair & mask(o + 1), n) for o in range(NEAR)])
+
+    def logs(table: pa.Table) -> pa.Table:
+        grams, n = table.column("gram").to_numpy().astype(np.uint64), table.column("n").to_numpy()
+        known = n > 0
+        trie = Trie(low.value + [_summed(grams[known] & mask(o + 1), n[known]) for o in range(NEAR, DEPTH + 1)])
+        return pa.table({"gram": grams.astype(np.int64), "log": trie.log10(grams)})
+
+    context = F.shiftright("gram", BITS).bitwiseAND(F.lit(int(mask(NEAR))))
+    pieces = counts.withColumn("piece", F.pmod(F.xxhash64(context), F.lit(counts.count() // piece + 1)))
+    return pieces.groupBy("piece").applyInArrow(logs, "gram bigint, log double")
+
+
 def words(raw: bytes) -> list[bytes]:
-    return WORDS.findall(raw.translate(_LOWER.tobytes()))
+    return raw.translate(_LOWER.tobytes()).split()
 
 
 def _vocabulary(table: pa.Table) -> pa.Table:
@@ -185,10 +230,13 @@ def _vocabulary(table: pa.Table) -> pa.Table:
     })
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", one_in: int = 10, model_pairs: int = MODEL_PAIRS) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", one_in: int = 10, block_bytes: int = BLOCK, piece: int = PIECE) -> DataFrame:
     """Per document: held_out, n_tokens, n_known, train_tokens, base_score (unigram) and score (the trie)."""
-    rows = dealt(docs, id_col, text_col).withColumn("held_out", held_out(F.col("doc_id"), one_in))
-    trie = docs.sparkSession.sparkContext.broadcast(learn(rows.filter(~F.col("held_out")), model_pairs))
+    rows = dealt(docs, id_col, text_col, block_bytes).withColumn("held_out", held_out(F.col("doc_id"), one_in))
+    grams = materialise(rows.groupBy("block").applyInArrow(_listed_grams, "block int, gram bigint, n bigint"), "ppm-grams")
+    logs = gram_logs(materialise(grams.groupBy("gram").agg(F.sum("n").alias("n")), "ppm-counts"), piece)
+    # The distinct grams grow with the corpus; they are met the same way at every size.
+    priced = grams.select("block", "gram").join(logs.hint("merge"), "gram")
     listed = rows.groupBy("block").applyInArrow(_vocabulary, "block int, word binary, n bigint")
     by_word = Window.partitionBy("word")
     known = listed.withColumn("c", F.sum("n").over(by_word)).withColumn("first", F.row_number().over(by_word.orderBy("block")) == 1)
@@ -197,18 +245,24 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({f.name: pa.array([], f.type) for f in _result}, schema=_result)
-        counts = dict(zip(right.column("word").to_pylist(), right.column("c").to_pylist(), strict=True))
-        logs = {w: float(np.log10(c + 0.1)) for w, c in counts.items()}
-        out = []
-        for part in slices(left.combine_chunks().to_batches()):
+        own, priced = right.select(["word", "value"]).filter(right.column("gram").is_null()), right.select(["gram", "value"]).filter(right.column("gram").is_valid())
+        # Above zero for words that training documents hold.
+        logs = dict(zip(own.column("word").to_pylist(), np.log10(own.column("value").to_numpy() + 0.1).tolist(), strict=True))
+        grams, costs = priced.column("gram").to_numpy().astype(np.uint64), priced.column("value").to_numpy()
+        order = np.argsort(grams)
+        grams, costs, out = grams[order], costs[order], []
+        for part in slices(left.to_batches(), limit=SLICE):
             raw, offsets = text_bytes(part.column(part.schema.get_field_index("text")))
-            scores, all_ = trie.value.scores(raw, offsets), raw.tobytes()
+            found, starts = codes(raw, offsets)
+            distinct, at = np.unique(found, return_inverse=True)
+            scores, all_ = np.add.reduceat(costs[np.searchsorted(grams, distinct)][at], starts), raw.tobytes()
             for i, (doc_id, test) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("held_out").to_pylist(), strict=True)):
-                found = [*words(all_[offsets[i] : offsets[i + 1]]), b""]
-                out.append((doc_id, test, len(found), sum([counts[w] > 0 for w in found]), sum([logs[w] for w in found]), float(scores[i])))
+                found = [logs[w] for w in (*words(all_[offsets[i] : offsets[i + 1]]), b"")]
+                out.append((doc_id, test, len(found), sum([x > 0 for x in found]), sum(found), float(scores[i])))
         return pa.table([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _result, strict=True)], schema=_result)
 
-    scored = rows.groupBy("block").cogroup(known.select("block", "word", "c").groupBy("block")).applyInArrow(score, SCHEMA)
+    needed = known.select("block", "word", F.col("c").cast("double").alias("value")).unionByName(priced.withColumnRenamed("log", "value"), allowMissingColumns=True)
+    scored = rows.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(score, SCHEMA)
     base = F.col("base_logs") - F.col("n_tokens") * F.log10(F.col("train_tokens") + 0.1 * (F.col("v") + 1))
     out = scored.crossJoin(F.broadcast(totals))  # totals is one row
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", base.alias("base_score"), "score")

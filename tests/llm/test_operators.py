@@ -369,6 +369,20 @@ def test_lm_scores(docs, rows):
         assert g.held_out == (zlib.crc32(str(r.doc_id).encode()) % 10 == 0)
 
 
+def test_every_pair_of_a_large_corpus_counts(spark):
+    """Common words beyond 2^21 symbols leave a pair seen once in its place; blocks and pieces of any size agree."""
+    common = [(i, "stone river cloud " * 12_000, "s") for i in range(12)]
+    rare = [(100 + i, f"zq{i} wxv{i}k", "s") for i in range(20)]
+    df = spark.createDataFrame(common + rare, "doc_id bigint, text string, source string")
+    trie = ppm.learn(df.filter(~ppm.held_out(df.doc_id)), model_pairs=1 << 40)
+    assert sum(trie.pairs[0][1]) > 1 << 21
+    want = {i: trie.log10(ppm.codes(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))[0]).sum() for i, text, _ in rare}
+    once = by_id(ppm.lm_scores(df))
+    assert {i: once[i].score for i in want} == pytest.approx(want)
+    parts = by_id(ppm.lm_scores(df, block_bytes=1_000_000, piece=20))
+    assert {i: parts[i].score for i in want} == pytest.approx(want)
+
+
 def test_a_pruned_trie_is_still_a_distribution(spark, docs):
     trie = ppm.learn(docs.select(ppm.F.coalesce("text", ppm.F.lit("")).alias("text")), model_pairs=300)
     context = [257, 257, ord("t"), ord("h"), ord("e")]
