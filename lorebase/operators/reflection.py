@@ -64,14 +64,16 @@ def similar_groups(members: DataFrame, group: str, item: str, above: float = 0.8
     return full.select("a", "b", F.round(jaccard, 6).alias("jaccard")).filter(jaccard > above)
 
 
-def first_wins(groups: DataFrame, pairs: DataFrame, group: str, rounds: int = 20) -> DataFrame:
-    """Groups that stay when each is dropped if it resembles an earlier one that stays.
+def first_wins(groups: DataFrame, pairs: DataFrame, group: str) -> DataFrame:
+    """Groups that stay when each is dropped if it resembles an earlier one that stays; pairs are (a, b), a the earlier.
 
     A group is settled as soon as all earlier ones that it resembles are: rounds grow with the
-    longest chain of resemblance, not with the number of groups.
+    longest chain of resemblance, not with the number of groups.  Each settles the earliest open
+    group at least, so all get settled.
     """
+    pairs = materialise(pairs.select("a", "b").filter("a < b"), "first-wins-pairs")
     state = groups.select(F.col(group).alias("g")).withColumn("kept", F.lit(None).cast("boolean"))
-    for _ in range(rounds):
+    while True:
         earlier = pairs.join(state.select(F.col("g").alias("a"), F.col("kept").alias("k")), "a").groupBy(F.col("b").alias("g"))
         seen = earlier.agg(F.coalesce(F.max(F.col("k")), F.lit(False)).alias("hit"), F.count_if(F.col("k").isNull()).alias("open"))
         new = F.when(F.col("hit"), False).when(F.coalesce("open", F.lit(0)) == 0, True)

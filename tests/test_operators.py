@@ -121,6 +121,26 @@ def test_first_wins_keeps_what_only_resembles_dropped_groups(spark):
     assert sorted(r.g for r in reflection.first_wins(groups, pairs, "g").collect()) == [0, 2]
 
 
+def test_first_wins_settles_a_long_chain(spark):
+    groups = spark.createDataFrame([(i,) for i in range(25)], "g int")
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(24)], "a int, b int")
+    assert sorted(r.g for r in reflection.first_wins(groups, pairs, "g").collect()) == list(range(0, 25, 2))
+
+
+def test_group_first_wins_is_registered(spark):
+    from lorebase import catalogue
+    from tests.conftest import SF
+
+    sets = {}
+    for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_suppkey").collect():
+        sets.setdefault(r.l_orderkey, set()).add(r.l_suppkey)
+    kept = []
+    for g in sorted(sets):
+        if not any(len(sets[g] & sets[k]) / len(sets[g] | sets[k]) > 0.8 for k in kept):
+            kept.append(g)
+    assert sorted(r.l_orderkey for r in catalogue.queries()["group_dedupe_first_wins"](spark, SF).collect()) == kept
+
+
 def test_similar_groups_equal_brute_force(spark):
     sets = {1: "abcdefghij", 2: "abcdefghi", 3: "xyz", 4: "abcdefghijk", 5: "xyz"}
     df = spark.createDataFrame([(g, c) for g, s in sets.items() for c in s], "g int, c string")
