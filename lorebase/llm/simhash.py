@@ -148,35 +148,44 @@ def links(distinct: DataFrame) -> DataFrame:
         rows = _posted(long_.select("fp", finer[F.col("mask")].alias("finer")), F.col("finer")).select("fp", "mask", "key").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """Per document: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable by links)."""
+def _classed(docs: DataFrame, id_col: str, text_col: str, words: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row; of every fingerprint (fp, least, root): its smallest id and its component."""
     rows = materialise(fingerprints(docs, id_col, text_col, words), "simhash")
     distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = components(links(distinct))
-    classes = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return rows, distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
+    """Per document: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable by links)."""
+    rows, classes = _classed(docs, id_col, text_col, words)
     names = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = classes.join(names, "root").select("fp", "component_id")
-    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return rows.join(classes, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
+    return rows.join(classes, "fp").select("doc_id", _digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def _digits(fp: Column) -> Column:
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
     """``docs`` with one document of each component: the one that names it.
 
-    Rows with a null id, or with the id of another row, can't be told apart by name: of each
-    component's rows that share its name one is kept; a component of null ids keeps one of them.
+    Of rows with a null or a repeated id the fingerprint says which is meant: a component keeps
+    one row of its smallest id (null only if it has no other) and that id's smallest fingerprint.
     """
-    found = near_duplicates(docs, id_col, text_col, words).select("doc_id", "component_id", "fingerprint")
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), "fingerprint")
-    named = kept.filter("_id is not null").groupBy("_id").agg(F.min("fingerprint").alias("fingerprint"))
+    rows, classes = _classed(docs, id_col, text_col, words)
+    best = F.min(F.struct(F.col("least").isNull().alias("nameless"), F.col("least").alias("id"), "fp"))
+    kept = materialise(classes.groupBy("root").agg(best.alias("k")).select(F.col("k.id").alias("_id"), _digits(F.col("k.fp")).alias("_digits")), "simhash-kept")
+    unclear = materialise(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("doc_id is null or n > 1").select(F.col("doc_id").alias("_unclear")), "simhash-unclear")
     # The kept ids grow with the documents; they are met the same way at every size.
-    out = docs.join(named.hint("merge"), docs[id_col] == named["_id"], "left_semi")
-    nameless = docs.filter(docs[id_col].isNull())
-    if nameless.isEmpty():
-        return out.dropDuplicates([id_col])
-    unnamed = found.filter("component_id is null").groupBy("fingerprint").agg(F.lit(1).alias("one"))
-    keyed = fingerprinted(nameless, text_col, words).join(unnamed, "fingerprint", "left_semi").dropDuplicates(["fingerprint"]).drop("fingerprint")
-    return out.dropDuplicates([id_col]).unionByName(keyed)
+    clear = kept.filter("_id is not null").join(unclear.hint("merge"), F.col("_id") == F.col("_unclear"), "left_anti")
+    out = docs.join(clear.hint("merge"), docs[id_col] == clear["_id"], "left_semi")
+    if unclear.isEmpty():
+        return out
+    several = fingerprinted(docs.join(unclear.hint("merge"), docs[id_col].eqNullSafe(unclear["_unclear"]), "left_semi"), text_col, words)
+    meant = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_fingerprint") == F.col("_digits"))
+    return out.unionByName(several.join(kept.hint("merge"), meant, "left_semi").dropDuplicates([id_col, "_fingerprint"]).drop("_fingerprint"))
 
 
 def fingerprinted(docs: DataFrame, text_col: str, words: int) -> DataFrame:
@@ -186,4 +195,4 @@ def fingerprinted(docs: DataFrame, text_col: str, words: int) -> DataFrame:
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([f"{fingerprint((t or '').encode(), words):016x}" for t in texts], index=texts.index)
 
-    return docs.withColumn("fingerprint", of(F.coalesce(docs[text_col], F.lit(""))))
+    return docs.withColumn("_fingerprint", of(F.coalesce(docs[text_col], F.lit(""))))

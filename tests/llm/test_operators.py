@@ -96,6 +96,17 @@ def test_components_of_a_long_chain(spark):
     assert {r.node: r.root for r in components(edges).collect()} == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
 
 
+def test_one_of_each_component_stays_when_ids_repeat(spark):
+    a, b, c, d = ("stone river cloud " * 9, "light shadow moss fern " * 9, "nine old ships sail north " * 9, "no name at all here " * 9)
+    given = [(1, a), (2, a), (1, b), (3, b), (3, c), (4, c), (5, "five plain words stand alone"), (None, d), (None, d), (None, "alone without any id")]
+    fp = {t: plain_fingerprint(t, 5) for _, t in given}
+    assert all((fp[x] ^ fp[y]).bit_count() > 3 for x, y in itertools.combinations(fp, 2))
+    df = spark.createDataFrame(given, "doc_id bigint, text string").repartition(3)
+    got = [tuple(r) for r in simhash.one_of_each(df).collect()]
+    want = [(1, a), (1, b), (3, c), (5, "five plain words stand alone"), (None, d), (None, "alone without any id")]
+    assert Counter(got) == Counter(want)
+
+
 # -- 2 ------------------------------------------------------------------------------------------
 
 
