@@ -9,7 +9,7 @@ each block.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorebase.llm.arrow import text_or_empty
@@ -23,8 +23,8 @@ def blocks_for(docs: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES) -
     return int(total // block_bytes) + 1
 
 
-def dealt(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(block, doc_id, text) of every row; a null text counts as empty."""
+def dealt(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES, *more: Column) -> DataFrame:
+    """(block, doc_id, text) of every row, and the columns ``more``; a null text counts as empty."""
     n = blocks_for(docs, text_col, block_bytes)
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(docs[text_col]).alias("text"))
-    return rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block"), "doc_id", "text")
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(docs[text_col]).alias("text"), *more)
+    return rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block"), *rows.columns)

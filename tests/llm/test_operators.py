@@ -321,25 +321,58 @@ def test_boundaries_equal_common_prefixes():
 # -- 8 ------------------------------------------------------------------------------------------
 
 
-def test_search(docs, rows):
-    named = docs.filter("doc_id is not null")
-    got = defaultdict(list)
-    for r in search.top_k(named, named["doc_id"] % 20 == 0, k=3).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.doc_id, r.score))
-    counts = {r.doc_id: Counter(words(lower(r.text))) for r in rows}
-    n, mean = len(counts), sum(sum(c.values()) for c in counts.values()) / len(counts)
-    df = Counter(t for c in counts.values() for t in c)
-    for q, asked in counts.items():
-        if q % 20:
-            continue
-        scores = {}
-        for d, c in counts.items():
+def plain_search(rows, k):
+    """By place among rows: the k best (doc_id, score) of every row, ties and null ids as stated."""
+    counts = [Counter(words(lower(r.text))) for r in rows]
+    n, mean = len(rows), sum(sum(c.values()) for c in counts) / len(rows)
+    df = Counter(t for c in counts for t in c)
+    out = []
+    for asked in counts:
+        scores = []
+        for r, c in zip(rows, counts, strict=True):
             hit = [math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * m * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for t, m in asked.items() if t in c]
             if hit:
-                scores[d] = round(sum(hit), 6)
-        want = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:3]
-        assert [s for _, s in got[q]] == pytest.approx([s for _, s in want], abs=2e-6)
-        assert [d for d, _ in got[q]] == [d for d, _ in want] or len({s for _, s in want}) < 3
+                scores.append((r.doc_id, round(sum(hit), 6)))
+        out.append(sorted(scores, key=lambda x: (-x[1], x[0] is None, x[0] or 0))[:k])
+    return out
+
+
+@pytest.mark.parametrize(("shard_bytes", "k"), [(1 << 30, 3), (3000, 3), (3000, 40), (500, 1)])
+def test_search(docs, shard_bytes, k, monkeypatch):
+    """All rows ask, null and repeated ids among them, over one shard and many."""
+    monkeypatch.setattr(search, "BLOCK", 4)
+    monkeypatch.setattr(search, "PACK", 3)
+    twice = docs.unionByName(docs.filter("doc_id in (1, 2, 205)"))
+    rows, got = twice.collect(), defaultdict(list)
+    for r in search.top_k(twice, twice["doc_id"].isNull() | (twice["doc_id"] >= 0), k=k, shard_bytes=shard_bytes).collect():
+        got[r.query_id].append((r["rank"], r.doc_id, r.score))
+    want = defaultdict(list)
+    for r, found in zip(rows, plain_search(rows, k), strict=True):
+        want[r.doc_id] += [(i + 1, d, s) for i, (d, s) in enumerate(found)]
+    assert got.keys() == {i for i, x in want.items() if x}
+    for i, found in got.items():
+        key = lambda x: (x[0], -x[2], x[1] is None, x[1] or 0)
+        assert [(x[0], pytest.approx(x[2], abs=2e-6)) for x in sorted(want[i], key=key)] == [(x[0], x[2]) for x in sorted(found, key=key)]
+        exact = Counter(x[:2] for x in found) == Counter(x[:2] for x in want[i])
+        assert exact or len({x[2] for x in want[i]}) < len(want[i]) or any(abs(a[2] - b[2]) < 2e-6 for a, b in itertools.pairwise(sorted(want[i], key=lambda x: x[2])))
+
+
+def test_pruned_blocks_hold_nothing_better():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["a", "b", "c", "d", "e", "f", "g", f"r{i}"], rng.integers(1, 30))) for i in range(3000)]
+    group = search.pa.table({"block": search.pa.array([0] * 3000, search.pa.int32()), "doc_id": range(3000), "text": texts, "asked": [True] * 3000})
+    shard = search.Shard(next(search.scalars(search._indexed(group).to_batches())), 10.0)
+    for _ in range(40):
+        terms = rng.choice(len(shard.terms), rng.integers(1, 12), replace=False)
+        weights = rng.random(len(terms)) * 3
+        whole = np.zeros(3000)
+        for t, w in zip(terms, weights, strict=True):
+            at = slice(shard.starts[t], shard.starts[t + 1])
+            whole[shard.docs[at]] += w * shard.adds[at]
+        docs, scores = shard.best(terms, weights, 10)
+        cut = np.sort(whole)[-10]
+        assert set(np.flatnonzero(whole > cut + 1e-9)) <= set(docs.tolist()) and scores == pytest.approx(whole[docs])
+        assert set(shard.best(terms, weights, 10, cut)[0].tolist()) >= set(np.flatnonzero(whole > cut + 1e-9))
 
 
 # -- 9 ------------------------------------------------------------------------------------------
