@@ -11,9 +11,13 @@ bytes forgotten.  The buffer is constant, however long a word is.
 
 Words repeat, so a worker keeps the ids of up to ``KEEP`` distinct words.
 
+Decoding reads nothing but ids.  :class:`Decoder` turns each id into its bytes and the bytes into
+text as they arrive; between two pushes it holds one flag and an unfinished character.
+
 Defined cases: a null or empty text gives no ids and an empty decoded text; strings of special
-tokens in a text become their ids as the library does by default; repeated rows are encoded
-each for itself; a null id stays null; other columns are ignored.
+tokens in a text become their ids as the library does by default; a very long text or word passes
+in pieces, beside its own ids; repeated rows are encoded each for itself; a null id stays null; an
+empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +27,11 @@ import hashlib
 import json
 import os
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from heapq import heapify, heappop, heappush
 from unicodedata import is_normalized, normalize
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -35,6 +40,8 @@ from lorebase.llm.arrow import id_and_text, map_slices
 
 #: Distinct words whose ids a worker keeps.
 KEEP = 300_000
+#: Ids that the decoder takes at once.
+STEP = 4096
 #: Texts with code points from here on are normalised and split by the library, whose Unicode tables may differ.
 UNSTABLE = regex.compile("[^\x00-ԯ‐-‧]")
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, ids binary, decoded string"
@@ -80,11 +87,15 @@ class Transducer:
         self.library = Tokenizer.from_file(path)
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
-        self.text_of: dict[int, str] = {i: t for t, i in self.vocab.items()}
         self.special_id = {t["content"]: t["id"] for t in file["added_tokens"]}
-        self.text_of |= {i: t for t, i in self.special_id.items()}
-        self.special = regex.compile("|".join(map(regex.escape, sorted(self.special_id, key=len, reverse=True)))) if self.special_id else None
         self.letters = byte_alphabet()
+        #: A byte-level decoder joins the bytes that tokens stand for; without a decoder the tokens themselves are joined by blanks.
+        of_letter = {c: b for b, c in enumerate(self.letters)}
+        plain = (file.get("decoder") or {}).get("type") != "ByteLevel"
+        self.bytes_of = {i: t.encode() if plain else bytes(of_letter[c] for c in t) for t, i in self.vocab.items()}
+        self.bytes_of |= {i: t.encode() for t, i in self.special_id.items()}
+        self.between = b" " if plain else b""
+        self.special = regex.compile("|".join(map(regex.escape, sorted(self.special_id, key=len, reverse=True)))) if self.special_id else None
         self.byte_id = [self.vocab.get(c) for c in self.letters]
         self.last_id = [self.vocab.get(c + self.suffix) for c in self.letters]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
@@ -104,7 +115,7 @@ class Transducer:
         self.known_steps = [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"]
         split = file["pre_tokenizer"]["pretokenizers"][0]
         self.words_of = regex.compile(split["pattern"]["Regex"])
-        self.known: dict[str, tuple[bytes, str, int]] = {}
+        self.known: dict[str, bytes] = {}
 
     # -- one word ---------------------------------------------------------------------------
 
@@ -165,11 +176,11 @@ class Transducer:
             ids[-1] = self.last_id[held[-1]]
             yield from self.merge([i for i in ids if i is not None])
 
-    def word(self, word: str) -> tuple[bytes, str, int]:
-        """Of a word: its ids as little-endian 32-bit integers, its decoded text, its tokens."""
+    def word(self, word: str) -> bytes:
+        """The ids of a word as little-endian 32-bit integers."""
         raw, step = word.encode(), self.lookahead
         ids = list(self.stream([raw] if len(raw) <= step else (raw[i : i + step] for i in range(0, len(raw), step))))
-        return struct.pack(f"<{len(ids)}I", *ids), " ".join([self.text_of[i] for i in ids]), len(ids)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     # -- texts ------------------------------------------------------------------------------
 
@@ -181,23 +192,21 @@ class Transducer:
                     text = normalize("NFC", text)
                 text = text.replace("Σ", "σ")
             return self.words_of.findall(text.lower())
-        return self.words_of.findall(self.library.normalizer.normalize_str(text))
+        text = self.library.normalizer.normalize_str(text)
+        return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
-    def encode(self, text: str) -> tuple[bytes, str, int]:
-        """Of a text: its ids, what they decode to, and their number."""
+    def encode(self, text: str) -> bytes:
+        """The ids of a text as little-endian 32-bit integers."""
         if self.special is None or self.special.search(text) is None:
-            found = self.lookup(self.words(text))
-        else:
-            found, at = [], 0
-            for m in self.special.finditer(text):
-                found += self.lookup(self.words(text[at : m.start()]))
-                found.append((struct.pack("<I", self.special_id[m[0]]), m[0], 1))
-                at = m.end()
-            found += self.lookup(self.words(text[at:]))
-        ids, decoder = b"".join([x[0] for x in found]), TokenJoiner()
-        return ids, decoder.join(x[1] for x in found if x[2]), len(ids) // 4
-
-    def lookup(self, words: list[str]) -> list[tuple[bytes, str, int]]:
+            return b"".join(self.lookup(self.words(text)))
+        found, at = [], 0
+        for m in self.special.finditer(text):
+            found += self.lookup(self.words(text[at : m.start()]))
+            found.append(struct.pack("<I", self.special_id[m[0]]))
+            at = m.end()
+        return b"".join(found + self.lookup(self.words(text[at:])))
+
+    def lookup(self, words: list[str]) -> list[bytes]:
         known = self.known
         if len(known) > KEEP:
             known.clear()
@@ -206,45 +215,49 @@ class Transducer:
                 known[w] = self.word(w)
         return [known[w] for w in words]
 
-    def decode(self, ids: Iterable[int]) -> str:
-        """As the library decodes a vocabulary without a decoder: the tokens' strings, joined."""
-        return TokenJoiner().join(self.text_of[i] for i in ids if i in self.text_of)
-
-
-class TokenJoiner:
-    """Joins what tokens decode to, one after another: a state machine with one state bit."""
-
-    def __init__(self, between: str = " ") -> None:
-        self.between, self.begun = between, False
+    def decoder(self) -> "Decoder":
+        return Decoder(self.bytes_of, self.between)
 
-    def push(self, piece: str) -> str:
-        out = self.between + piece if self.begun else piece
-        self.begun = True
-        return out
-
-    def join(self, pieces: Iterable[str]) -> str:
-        return "".join(map(self.push, pieces))
+    def decode(self, ids: Sequence[int]) -> str:
+        """What the library makes of ids, in one piece."""
+        decoder = self.decoder()
+        return decoder.push(ids) + decoder.finish()
 
 
-class ByteDecoder:
-    """Bytes to text as they arrive: holds back an unfinished UTF-8 sequence, at most 3 bytes.
+class Decoder:
+    """Ids to text as they arrive: a state machine from bytes to text.
 
-    For byte-level vocabularies; ``push`` takes a token's string, ``finish`` ends the text.
+    Its state is whether a token has come before, and the bytes of an unfinished UTF-8 sequence, 3
+    at most.  bytes_of: what each id stands for; ids it doesn't have are left out.  between: what
+    stands between two tokens.
     """
 
-    def __init__(self, suffix: str = "") -> None:
-        self.byte_of = {c: b for b, c in enumerate(byte_alphabet())}
-        self.suffix, self.utf8 = suffix, codecs.getincrementaldecoder("utf-8")("replace")
-
-    def push(self, token: str) -> str:
-        ends = bool(self.suffix) and token.endswith(self.suffix)
-        raw = bytes(self.byte_of[c] for c in (token[: -len(self.suffix)] if ends else token))
-        return self.utf8.decode(raw + b" " * ends)
+    def __init__(self, bytes_of: dict[int, bytes], between: bytes = b"") -> None:
+        self.bytes_of, self.between, self.begun = bytes_of, between, False
+        self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
+
+    def push(self, ids: Sequence[int]) -> str:
+        try:
+            pieces = list(map(self.bytes_of.__getitem__, ids))
+        except KeyError:
+            pieces = [self.bytes_of[i] for i in ids if i in self.bytes_of]
+        if not pieces:
+            return ""
+        raw = self.between * self.begun + self.between.join(pieces)
+        self.begun = True
+        return self.utf8.decode(raw)
 
     def finish(self) -> str:
         return self.utf8.decode(b"", True)
 
 
+def pieces(decoder: Decoder, ids: np.ndarray) -> Iterator[str]:
+    """The text of ids, STEP of them at a time."""
+    for i in range(0, len(ids), STEP):
+        yield decoder.push(ids[i : i + STEP].tolist())
+    yield decoder.finish()
+
+
 def transducer(path: str) -> Transducer:
     if path not in _loaded:
         _loaded[path] = Transducer(path)
@@ -259,16 +272,25 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         t = transducer(tokenizer_path)
-        found = [t.encode(x) for x in batch.column(1).to_pylist()]
+        every = [t.encode(x) for x in batch.column(1).to_pylist()]
+        digests, decoded = [], []
+        for ids in every:
+            digest, text = hashlib.sha256(), []
+            for piece in pieces(t.decoder(), np.frombuffer(ids, "<u4")):
+                digest.update(piece.encode())
+                if payload:
+                    text.append(piece)
+            digests.append(digest.hexdigest())
+            decoded.append("".join(text))
         columns = [
             batch.column(0).cast(pa.int64()),
-            pa.array([n for _, _, n in found], pa.int64()),
-            pa.array([hashlib.sha256(ids).hexdigest() for ids, _, _ in found], pa.string()),
-            pa.array([hashlib.sha256(x.encode()).hexdigest() for _, x, _ in found], pa.string()),
+            pa.array([len(ids) // 4 for ids in every], pa.int64()),
+            pa.array([hashlib.sha256(ids).hexdigest() for ids in every], pa.string()),
+            pa.array(digests, pa.string()),
         ]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         if payload:
-            columns += [pa.array([ids for ids, _, _ in found], pa.binary()), pa.array([x for _, x, _ in found], pa.string())]
+            columns += [pa.array(every, pa.binary()), pa.array(decoded, pa.string())]
             names += ["ids", "decoded"]
         return pa.record_batch(columns, names=names)
 

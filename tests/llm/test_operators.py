@@ -214,7 +214,19 @@ def test_bpe_round_trip_equals_the_library(docs, rows):
         assert bpe_stream.transducer(path).decode(ids) == g.decoded
     for text in ODD:
         ids = library.encode(text, add_special_tokens=False).ids
-        assert bpe_stream.transducer(path).encode(text)[0] == struct.pack(f"<{len(ids)}I", *ids)
+        assert bpe_stream.transducer(path).encode(text) == struct.pack(f"<{len(ids)}I", *ids)
+        assert bpe_stream.transducer(path).decode(ids) == library.decode(ids, skip_special_tokens=False)
+
+
+def test_rare_code_points_split_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    path = tokenizer("word_bpe_49k.json")
+    library, t = Tokenizer.from_file(path), bpe_stream.transducer(path)
+    for start in range(0x80, 0x32000, 97):
+        text = " ".join(f"a{chr(c)}1{chr(c)}" for c in range(start, start + 97) if not 0xD800 <= c < 0xE000)
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert t.encode(text) == struct.pack(f"<{len(ids)}I", *ids), hex(start)
 
 
 def test_lookahead_is_enough_for_long_words():
@@ -225,10 +237,13 @@ def test_lookahead_is_enough_for_long_words():
         assert list(t.stream(raw[i : i + 7] for i in range(0, len(raw), 7))) == whole
 
 
-def test_byte_decoder_holds_back_unfinished_characters():
-    decoder, letters = bpe_stream.ByteDecoder(), bpe_stream.byte_alphabet()
+def test_decoder_holds_back_unfinished_characters():
     raw = "naïve 日本 😀".encode()
-    assert "".join(decoder.push(letters[b]) for b in raw) + decoder.finish() == "naïve 日本 😀"
+    of = {i: raw[i : i + 1] for i in range(len(raw))}
+    decoder = bpe_stream.Decoder(of)
+    assert "".join(decoder.push([i]) for i in of) + decoder.finish() == "naïve 日本 😀"
+    decoder = bpe_stream.Decoder({1: b"a</w>", 2: "é".encode()}, b" ")
+    assert decoder.push([1]) + decoder.push([]) + decoder.push([2, 9, 1]) + decoder.finish() == "a</w> é a</w>"
 
 
 # -- 5 ------------------------------------------------------------------------------------------
@@ -264,6 +279,14 @@ def test_added_kinds_need_a_checksum_or_context(spark):
     assert [bool(re.search("iban|ssn|secret", found[i].spans)) for i in range(6)] == [True, False, True, False, True, False]
 
 
+def test_accounts_end_where_their_country_says(spark):
+    account = "GB82 WEST 1234 5698 7654 32"
+    texts = [f"{account} now", f"{account} BIC DEUTDEFF", f"{account} AND MORE", f"{account} DE89370400440532013000", f"{account}1 A", "XX82 WEST 1234 5698 7654 32", "NO9386011117947."]
+    found = by_id(pii.pii_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")))
+    whole = "iban:0:27"
+    assert [found[i].spans for i in range(7)] == [whole, whole, whole, f"{whole},iban:28:50", "", "", "iban:0:15"]
+
+
 def test_redact(docs, rows):
     out = by_id(pii.redact(docs))
     assert out[305].text == "mail [EMAIL] from [IP] card [CARD] call [PHONE] <|endoftext|>" and out[300].text is None
