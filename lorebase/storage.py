@@ -19,26 +19,30 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
+    if not own and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not own:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lorebase-"))
         own = spark.sparkContext.getCheckpointDir()
     return own.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and read it back.
-
-    Cuts the lineage, keeps exact sizes for the optimiser and survives lost executors.  The
-    files are removed when the driver's JVM ends.
-    """
+def written(df: DataFrame, label: str) -> str:
+    """Write ``df`` as Parquet under the shared folder; where it lies.  The files are removed when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lorebase/{label}-{uuid.uuid4().hex}"
-    schema = df.schema
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(schema).parquet(path)
+    return path
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` under the shared folder and read it back.
+
+    Cuts the lineage, keeps exact sizes for the optimiser and survives lost executors.
+    """
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, label))
 
 
 def globally_ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
