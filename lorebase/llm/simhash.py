@@ -2,8 +2,8 @@
 
 A 64-bit fingerprint is eight bytes, each at its position.  Two fingerprints that differ in at
 most ``MAX_BITS`` = 3 bits differ in at most three bytes, so they share at least five
-(position, byte) entries of the inverted index: pairs that share fewer are filtered by their
-count, the rest are verified bit by bit.
+(position, byte) entries of the inverted index: shared entries are tallied, pairs with fewer are
+dropped by their count, and the rest are verified bit by bit.
 
 Lists of single (position, byte) entries hold a 256th of all fingerprints each, and tallying
 their pairs is quadratic.  So lists are read together, four at a time: the fourteen blocks of
@@ -20,8 +20,10 @@ members.
 
 Defined cases: texts without words (null, empty, blank) have fingerprint zero and are linked
 like any other; equal fingerprints are one class whatever their number; a null id gets the
-class of its fingerprint and never names one, so a class of null ids has a null component; an
-empty table gives an empty result; other columns are ignored.
+class of its fingerprint and never names one, so a class of null ids has a null component; rows
+of one id are rows of their own; a very long text is fingerprinted as a whole, in one row; an
+empty table gives an empty result; other columns, whatever their names, are ignored, and
+:func:`one_of_each` keeps them.
 """
 
 from __future__ import annotations
@@ -90,20 +92,28 @@ def signed(x: int) -> int:
 
 
 def joined(list_: np.ndarray) -> list[tuple[int, int]]:
-    """Links within a list, as few as join what belongs together: tally shared bytes, filter by count, verify."""
+    """Links within a list, as few as join what belongs together.
+
+    Shared bytes are tallied position by position for every pair; the pairs that reach the
+    guaranteed number are retained, and only those are verified.
+    """
     values = list_.view(np.uint64)
-    apart = values[:, None] ^ values[None, :]
-    shared = (apart.view(np.uint8).reshape(len(values), len(values), 8) == 0).sum(axis=2)
-    near = (shared >= SHARED_BYTES) & (np.bitwise_count(apart) <= MAX_BITS)
-    out, todo = [], set(range(len(values)))
-    while todo:
-        reached = [todo.pop()]
-        for i in reached:
-            for j in np.flatnonzero(near[i]).tolist():
-                if j in todo:
-                    todo.discard(j)
-                    reached.append(j)
-                    out.append((int(list_[i]), int(list_[j])))
+    bytes_ = values.view(np.uint8).reshape(-1, 8)
+    tally = np.zeros((len(values), len(values)), dtype=np.uint8)
+    for entries in bytes_.T:
+        tally += entries[:, None] == entries[None, :]
+    left, right = np.nonzero(np.triu(tally >= SHARED_BYTES, 1))
+    near = np.bitwise_count(values[left] ^ values[right]) <= MAX_BITS
+    root, out = list(range(len(values))), []
+    for i, j in zip(left[near].tolist(), right[near].tolist(), strict=True):
+        a, b = i, j
+        while root[a] != a:
+            root[a] = a = root[root[a]]
+        while root[b] != b:
+            root[b] = b = root[root[b]]
+        if a != b:
+            root[b] = a
+            out.append((int(list_[i]), int(list_[j])))
     return out
 
 
