@@ -15,9 +15,11 @@
 The plan for a source reads one row for each distinct length, not for each document.
 
 Defined cases: a null text has size 0 and is never taken; a null source is a source of its
-own, the last one; a null id hashes as text, and rows alike in id, source and size share
-alike hashes (their ties are broken arbitrarily, so the result is the same multiset); an
-empty table gives an empty result; other columns are ignored.
+own, the last one; a null id is an id like any other; rows alike in id, source and text share
+one hash, so which of them is taken is arbitrary and the result the same multiset (if they differ
+in a kept column, that column may differ); a very long text is taken like any other, and the
+knapsack's memory stays bounded by ``EXACT``; an empty table gives an empty result; other
+columns, whatever their names, are ignored or, if kept, carried inside one column.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ from lorebase.storage import materialise
 WORD = r"[^\x20\x09-\x0D]+"
 #: Slices of the hash range within one source and length.
 BUCKETS = 4096
+#: Most words that are left to the knapsack: its memory is eight bytes for each, a few times.
+EXACT = 1 << 22
 
 
 def n_words(text: Column) -> Column:
@@ -63,8 +67,8 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their lengths come as near to budget as can be, from below.
 
     An even share of every length first, so that the mix keeps the source's spread of lengths;
-    the longest free documents next, until less than the longest length remains; then the
-    bounded knapsack.
+    the longest free documents next, until less than the longest length (or EXACT) remains; then
+    the bounded knapsack.
     """
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     whole = int((lengths * counts).sum())
@@ -76,11 +80,12 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     left = budget - int((take * lengths).sum())
     # Free room for the knapsack to choose in: it should not be left with a few odd lengths.
     for i in np.argsort(-lengths, kind="stable"):
-        if lengths[i] and left > lengths.max():
+        if lengths[i] and left > min(lengths.max(), EXACT):
             more = min(int(counts[i] - take[i]), left // int(lengths[i]))
             take[i] += more
             left -= more * int(lengths[i])
-    return take + knapsack(lengths, counts - take, left)
+    fits = int(((counts - take) * lengths)[lengths <= left].sum())
+    return take + knapsack(lengths, counts - take, min(left, fits))
 
 
 def knapsack(lengths: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
@@ -150,9 +155,10 @@ def mix(
         docs[id_col].alias("doc_id"),
         docs[source_col].alias("source"),
         n_words(docs[text_col]).alias("size"),
+        F.xxhash64(docs[text_col]).alias("text_hash"),
         *own,
     ).withColumn("source_key", source_key(F.col("source")))
-    rows = rows.withColumn("slice", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.col("source_key"), F.col("size")))
+    rows = rows.withColumn("slice", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.col("source_key"), F.col("size"), F.col("text_hash")))
     rows = rows.withColumn("bucket", F.pmod(F.shiftright("slice", 20), F.lit(BUCKETS)).cast("int"))
     if not own:
         rows = materialise(rows, "mix-sizes")
@@ -161,7 +167,7 @@ def mix(
     wanted = targets({name(k): v for k, v in sums.items()}, weights, budget_share, max_epochs)
     spark = docs.sparkSession
     goals = spark.createDataFrame([(k, v, float(wanted[name(k)])) for k, v in sums.items()], "source_key string, source_size bigint, target double")
-    goals = F.broadcast(goals) if len(sums) <= 10_000 else goals
+    goals = F.broadcast(goals) if len(sums) <= 10_000 else goals  # its size is checked; otherwise AQE splits hot sources
     histogram = counts.groupBy("source_key", "size").agg(F.sum("n").alias("n")).join(goals, "source_key")
     plan = _plan(histogram)
     before = Window.partitionBy("source_key", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
