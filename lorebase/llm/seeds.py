@@ -7,18 +7,20 @@ on the window's units alone, so all places where a window stands elect the same
 2 / (length - gram + 2) of all positions are anchors, and a repeated window has a repeated
 anchor.
 
-1.  Each block of documents lists its anchors once; an anchor found twice is *repeated*.
+1.  Each block of documents lists its anchors once, with their number; an anchor found twice is
+    *repeated*.
 2.  Windows that elected one anchor lie side by side: together they are its *segment*.  Each
     block sends the segments of its repeated anchors, alike ones once; the others in the block
     are repeats of the first.
 3.  By anchor, alike segments after the first are repeats from end to end.  Segments that
-    differ may still share windows: the operator finds them (``shared``), from among at most
-    ``GROUP`` different segments of an anchor.  An anchor with more sends its windows on, one
-    row each, by a 128-bit hash; there the first place of each window stays.
+    differ may still share windows: the operator finds them (``shared``), ``GROUP`` different
+    segments of an anchor at a time.  An anchor that stands more often is dealt out to several
+    tasks and groups, alike segments to the same one; the windows that came first in their group
+    are all that is left of it, and they meet by a 128-bit hash, where the first place stays.
 4.  Each block gets back which spans of its documents repeat something earlier.
 
 No anchor, segment or window is ever gathered: rows of one anchor stream by in order, in
-memory that ``GROUP`` segments bound.
+memory that ``GROUP`` segments bound, and the rows of a hot one lie in many tasks.
 
 Order is by id (null last), then by a hash of the text, then by place.  Rows alike in id and
 text are one document and get equal results.
@@ -39,15 +41,15 @@ from pyspark.sql import functions as F
 from lorebase.llm.arrow import slices, text_bytes
 from lorebase.llm.blocks import dealt
 
-#: Different segments of one anchor that are compared in one task.
-GROUP = 64
+#: Different segments of one anchor that are compared at once.
+GROUP = 1024
 LAST = (1 << 63) - 1
 _TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-SEGMENT = "h bigint, seg binary, block int, ord bigint, tie bigint, start bigint, pre int"
+SEGMENT = "h bigint, seg binary, block int, ord bigint, tie bigint, start bigint, pre int, parts int"
 SPAN = "block int, ord bigint, tie bigint, start bigint, stop bigint, w1 bigint, w2 bigint"
-_segment = pa.schema([("h", pa.int64()), ("seg", pa.binary()), ("block", pa.int32()), ("ord", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("pre", pa.int32())])
+_segment = pa.schema([("h", pa.int64()), ("seg", pa.binary()), ("block", pa.int32()), ("ord", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("pre", pa.int32()), ("parts", pa.int32())])
 _span = pa.schema([("block", pa.int32()), ("ord", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("w1", pa.int64()), ("w2", pa.int64())])
 
 
@@ -167,24 +169,26 @@ def removed_spans(docs: DataFrame, shared: Callable, words: bool, length: int, g
     """Apply ``finish`` to each document and its repeated spans.
 
     shared(groups): from the different segments of each anchor, as (content, block, ord, tie,
-    start, anchor's offset) of their first places, the stretches that repeat an earlier place:
-    (segment, offset, units).  finish(raw, spans): the result's columns of one text, by spans
-    in units.  most: different segments of one anchor that are compared in one task.
+    start, anchor's offset, parts) of their first places, the stretches of windows that repeat an
+    earlier place: (segment, offset, units).  finish(raw, spans): the result's columns of one
+    text, by spans in units.  most: different segments of one anchor that are compared at once.
     """
-    rows = dealt(docs, id_col, text_col)
+    rows = dealt(docs, id_col, text_col, spread=True)
 
     def list_anchors(group: pa.Table) -> pa.Table:
         found = [Units(raw, offsets, words).anchors(length, gram)[1] for _, raw, offsets in parts(group)]
         h, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
         block = group.column("block")[0].as_py()
-        return pa.table([pa.array(h), pa.array(np.full(len(h), block, np.int32)), pa.array(n > 1)], names=["h", "block", "twice"])
+        return pa.table([pa.array(h), pa.array(np.full(len(h), block, np.int32)), pa.array(n.astype(np.int64))], names=["h", "block", "n"])
 
-    listed = rows.groupBy("block").applyInArrow(list_anchors, "h bigint, block int, twice boolean")
-    by_anchor = Window.partitionBy("h")
-    repeated = listed.withColumn("n", F.count(F.lit(1)).over(by_anchor)).filter("n > 1 or twice").select("h", "block")
+    listed = rows.groupBy("block").applyInArrow(list_anchors, "h bigint, block int, n bigint")
+    # One row of each block: an anchor of every document has as many rows as there are blocks.
+    stands = F.sum("n").over(Window.partitionBy("h"))
+    repeated = listed.withColumn("n", stands).filter("n > 1").select("h", "block", F.ceil(F.col("n") / (4 * most)).cast("int").alias("parts"))
 
     def send(group: pa.Table, anchors: pa.Table) -> pa.Table:
-        wanted, out, seen = np.sort(anchors.column("h").to_numpy()), [], {}
+        order, out, seen = np.argsort(anchors.column("h").to_numpy()), [], {}
+        wanted, split = anchors.column("h").to_numpy()[order], anchors.column("parts").to_numpy()[order]
         if not group.num_rows or not len(wanted):
             return pa.Table.from_batches([], schema=_segment)
         block, known, places = group.column("block")[0].as_py(), set(), []
@@ -200,10 +204,10 @@ def removed_spans(docs: DataFrame, shared: Callable, words: bool, length: int, g
                 if key not in known:
                     known.add(key)
                     own[r] = key
-            for r, x, p, a, b in zip(row[hits].tolist(), h[hits].tolist(), anchor[hits].tolist(), lo[hits].tolist(), hi[hits].tolist(), strict=True):
+            for r, x, p, a, b, n in zip(*[c.tolist() for c in (row[hits], h[hits], anchor[hits], lo[hits], hi[hits], split[at[hits]])], strict=True):
                 if r in own:
                     base = int(units.offsets[r])
-                    places.append((x, units.content(a, b + length), *own[r], a - base, p - a, b - a + length))
+                    places.append((x, units.content(a, b + length), *own[r], a - base, p - a, n, b - a + length))
         # Alike segments of the block: the first goes on, the others repeat it.
         spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for place in places:
@@ -212,16 +216,18 @@ def removed_spans(docs: DataFrame, shared: Callable, words: bool, length: int, g
                 seen[place[:2]] = place
         for place in places:
             if seen[place[:2]] is not place:
-                spans.setdefault(place[2:4], []).append((place[4], place[4] + place[6]))
-        out = [(x, seg, block, o, t, a, pre) for (x, seg), (_, _, o, t, a, pre, _) in seen.items()]
+                spans.setdefault(place[2:4], []).append((place[4], place[4] + place[7]))
+        out = [(x, seg, block, o, t, a, pre, n) for (x, seg), (_, _, o, t, a, pre, n, _) in seen.items()]
         # Spans travel with the segments, under a key of their own, and pass the next stage as they are.
-        out += [(xxhash.xxh64_intdigest(f"{o} {t} {a}") - (1 << 63), None, block, o, t, a, b - a) for (o, t), own_ in spans.items() for a, b in merged(own_)]
+        out += [(xxhash.xxh64_intdigest(f"{o} {t} {a}") - (1 << 63), None, block, o, t, a, b - a, 1) for (o, t), own_ in spans.items() for a, b in merged(own_)]
         return pa.Table.from_batches([table(out, _segment)])
 
     segments = rows.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(send, SEGMENT)
-    ordered = segments.repartition("h").sortWithinPartitions("h", "seg", "ord", "tie", "start")
+    # Alike segments lie in the same part of their anchor.
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("seg"), F.col("parts"))).otherwise(0)
+    ordered = segments.repartition("h", part).sortWithinPartitions("h", "seg", "ord", "tie", "start")
     spans = ordered.mapInArrow(lambda batches: by_anchors(batches, shared, words, length, most), SPAN)
-    # Windows of crowded anchors: the first place stays, the others are spans. Spans go by their document and stay as they are.
+    # Windows of anchors in several groups: the first place stays, the others are spans. Spans go by their document and stay as they are.
     place = Window.partitionBy(F.coalesce("w1", "tie"), F.coalesce("w2", "ord")).orderBy("ord", "tie", "start")
     spans = spans.withColumn("rank", F.row_number().over(place)).filter("w1 is null or rank > 1").select("block", "ord", "tie", "start", "stop")
 
@@ -245,53 +251,69 @@ def removed_spans(docs: DataFrame, shared: Callable, words: bool, length: int, g
 
 
 def by_anchors(batches: Iterator[pa.RecordBatch], shared: Callable, words: bool, length: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Rows in order of (anchor, segment, place) to spans, and windows of crowded anchors."""
+    """Rows in order of (anchor, segment, place) to spans, and to the first windows of groups that are not all of their anchor."""
     out: list[tuple] = []
-    firsts: list[tuple] = []
-    groups: list[list[tuple]] = []
-    held, anchor, segment, crowded, halves = 0, None, None, False, struct.Struct("<qq")
-
-    def windows(first: tuple) -> Iterator[tuple]:
-        seg, block, o, t, a, _ = first
+    groups: list[list[tuple]] = []  # to be compared
+    firsts: list[tuple] = []  # different segments of the anchor at hand
+    partial: set[tuple] = set()  # segments, by place, of anchors with more than one group
+    held, anchor, segment, split, halves = 0, None, None, False, struct.Struct("<qq")
+
+    def windows(first: tuple, repeated: list[tuple[int, int]]) -> Iterator[tuple]:
+        """The windows of a segment that repeat nothing in their group."""
+        seg, block, o, t, a, _, _ = first
         units = seg.split(b" ") if words else seg
+        known = {i for x, n in repeated for i in range(x, x + n - length + 1)}
         for i in range(len(units) - length + 1):
-            content = b" ".join(units[i : i + length]) if words else units[i : i + length]
-            yield block, o, t, a + i, a + i + length, *halves.unpack(hashlib.md5(content, usedforsecurity=False).digest())
+            if i not in known:
+                content = b" ".join(units[i : i + length]) if words else units[i : i + length]
+                yield block, o, t, a + i, a + i + length, *halves.unpack(hashlib.md5(content, usedforsecurity=False).digest())
 
     def compare() -> list[tuple]:
-        return [(block, o, t, a + x, a + x + n, None, None) for (_, block, o, t, a, _), x, n in shared(groups)]
+        found, again = [], {}
+        for first, x, n in shared(groups):
+            _, block, o, t, a, _, _ = first
+            found.append((block, o, t, a + x, a + x + n, None, None))
+            if first[1:5] in partial:
+                again.setdefault((first[1:5], first[0]), []).append((x, n))
+        for first in (f for group in groups for f in group if f[1:5] in partial):
+            found += windows(first, again.get((first[1:5], first[0]), []))
+        partial.clear()
+        groups.clear()
+        return found
+
+    def close() -> int:
+        """The group at hand is complete; how many bytes it adds to what is to be compared."""
+        if not split and len(firsts) < 2:
+            return 0
+        groups.append(firsts)
+        if split:
+            partial.update(f[1:5] for f in firsts)
+        return sum(len(f[0]) for f in firsts)
 
     for batch in batches:
-        for h, seg, block, o, t, start, pre in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        for h, seg, block, o, t, start, pre, parts_ in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             if h != anchor:
-                if len(firsts) > 1:
-                    groups.append(firsts)
-                    held += sum(len(f[0]) for f in firsts)
-                firsts, anchor, segment, crowded = [], h, None, False
-                if held > 400_000:
-                    out += compare()
-                    groups, held = [], 0
+                held += close()
+                firsts, anchor, segment, split = [], h, None, parts_ > 1
             if seg is None:
                 out.append((block, o, t, start, start + pre, None, None))
-                continue
-            if seg == segment:
+            elif seg == segment:
                 n = seg.count(b" ") + 1 if words else len(seg)
                 out.append((block, o, t, start, start + n, None, None))
             else:
-                segment, first = seg, (seg, block, o, t, start, pre)
-                if crowded:
-                    out += windows(first)
-                else:
-                    firsts.append(first)
-                    if len(firsts) > most:
-                        crowded = True
-                        out += [w for f in firsts for w in windows(f)]
-                        firsts = []
+                if len(firsts) >= most:
+                    split = True
+                    held += close()
+                    firsts = []
+                segment = seg
+                firsts.append((seg, block, o, t, start, pre, parts_))
+            if held > 400_000:
+                out += compare()
+                held = 0
             if len(out) > 20_000:
                 yield table(out, _span)
                 out = []
-    if len(firsts) > 1:
-        groups.append(firsts)
+    close()
     out += compare()
     if out:
         yield table(out, _span)

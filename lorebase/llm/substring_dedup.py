@@ -6,7 +6,8 @@ words or more.  Each word covered by a kept match that also stands earlier is re
 
 Defined cases: a null, empty or blank text has no words; a text of fewer than LENGTH words
 keeps all; repeated rows (alike in id and text) are one document and get equal results; a null
-id comes after all others; an empty table gives an empty result; other columns are ignored.
+id comes after all others; a very long text is one slice of its block and sends segments like any
+other; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -23,23 +24,43 @@ LENGTH, GRAM = 20, 8
 
 
 def extended(length: int):
-    """Pairs of segments of an anchor, extended both ways from it."""
+    """Segments of an anchor, extended both ways from it, all of them together.
+
+    Word by word, segments that have agreed so far part into classes: by what stands before the
+    anchor, and by what begins at it.  A window that reaches k words back is the same in all
+    segments of one class k words before and one class length - k words on.
+    """
 
     def shared(groups: list[list[tuple]]) -> Iterator[tuple[tuple, int, int]]:
         for group in groups:
-            each = [(first[5], first[0].split(b" ")) for first in group]
-            for j in range(1, len(each)):
-                p, one = each[j]
-                for i in range(j):
-                    q, two = each[i]
-                    left = right = 0
-                    while left < p and left < q and one[p - left - 1] == two[q - left - 1]:
-                        left += 1
-                    while p + right < len(one) and q + right < len(two) and one[p + right] == two[q + right]:
-                        right += 1
-                    if right and left + right >= length:
-                        late, x = max((group[j], p - left), (group[i], q - left), key=lambda at: (*at[0][2:4], at[0][4] + at[1]))
-                        yield late, x, left + right
+            before, after, least, windows = {}, {}, {}, []
+            for first in group:
+                words, p, place = first[0].split(b" "), first[5], first[2:5]
+                left, node = [0], 0
+                for w in words[p - 1 :: -1] if p else ():
+                    node = before.setdefault((node, w), len(before) + 1)
+                    left.append(node)
+                right, node = [0], 0
+                for w in words[p : p + length]:
+                    node = after.setdefault((node, w), len(after) + 1)
+                    right.append(node)
+                own = [(left[p - x], right[length - p + x]) for x in range(len(words) - length + 1)]
+                windows.append(own)
+                for x, window in enumerate(own):
+                    at = (*place[:2], place[2] + x)
+                    if window not in least or at < least[window]:
+                        least[window] = at
+            for first, own in zip(group, windows, strict=True):
+                o, t, start = first[2:5]
+                again = [least[window] != (o, t, start + x) for x, window in enumerate(own)]
+                x = 0
+                while x < len(again):
+                    y = x
+                    while y < len(again) and again[y]:
+                        y += 1
+                    if y > x:
+                        yield first, x, y - x - 1 + length
+                    x = y + 1
 
     return shared
 

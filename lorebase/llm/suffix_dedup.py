@@ -1,7 +1,9 @@
 """Suffix-array dedup by threshold-bounded interval expansion.
 
 Byte strings of ``LENGTH`` bytes that stand twice are found on a Burrows-Wheeler transform.
-Segments that share an anchor (:mod:`.seeds`) are set end to end, sorted by suffix, and the
+Every string of LENGTH bytes elects an anchor, so strings that are alike lie in segments of one
+anchor, and each anchor's segments are a part of the text on which the whole method can run.
+Different segments that share an anchor (:mod:`.seeds`) are set end to end, sorted by suffix, and the
 transform is expanded breadth first: level by level, every interval of suffixes that start
 with one pattern is extended by one byte to the left.  An interval of a pattern of n bytes that
 ends where no boundary was known marks one there: the two suffixes share n - 1 bytes.  Common
@@ -10,7 +12,8 @@ boundary is marked by then, neighbours share at least that many bytes.
 
 Defined cases: a null or empty text has no bytes; a text of fewer than LENGTH bytes keeps all;
 repeated rows (alike in id and text) are one document and get equal results; a null id comes
-after all others; an empty table gives an empty result; other columns are ignored.
+after all others; a very long text is one slice of its block and sends segments like any other;
+an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -21,11 +24,9 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 
-from lorebase.llm.seeds import removed_spans
+from lorebase.llm.seeds import GROUP, removed_spans
 
 LENGTH, GRAM = 100, 32
-#: Different segments of one anchor in one expansion: its cost grows with their bytes, not with their pairs.
-GROUP = 1024
 
 
 def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:

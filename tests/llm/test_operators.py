@@ -85,6 +85,28 @@ def test_long_lists_split_without_losing_links(spark, monkeypatch):
     assert {v: roots.get(v, v) for v in values} == classes(values)
 
 
+def test_a_large_list_at_its_default_size(spark):
+    """Four thousand near copies of one fingerprint, and far copies that share half their bytes with them."""
+    rng = random.Random(11)
+    base, prints = rng.getrandbits(64), set()
+    while len(prints) < 4000:
+        prints.add(base ^ sum(1 << b for b in rng.sample(range(24), rng.randint(0, 4))))
+    prints |= {base & ((1 << 32) - 1) | rng.getrandbits(32) << 32 for _ in range(40)}
+    links = simhash.links(spark.createDataFrame([(simhash.signed(p),) for p in prints], "fp bigint"))
+    roots = {r.node: r.root for r in components(links).collect()}
+    # Brute force by the neighbours that three flipped bits reach.
+    flips = [sum(1 << b for b in c) for n in (1, 2, 3) for c in itertools.combinations(range(24), n)]
+    todo, parts = set(prints), {}
+    while todo:
+        part = [todo.pop()]
+        for x in part:
+            near = {x ^ f for f in flips if x ^ f in todo} | {y for y in todo if (x ^ y) >> 32 and (x ^ y).bit_count() <= 3}
+            todo -= near
+            part += near
+        parts |= dict.fromkeys(part, min(simhash.signed(x) for x in part))
+    assert {p: roots.get(simhash.signed(p), simhash.signed(p)) for p in prints} == parts
+
+
 def test_one_of_each(docs, rows):
     kept = simhash.one_of_each(docs).collect()
     prints = {r.doc_id: plain_fingerprint(r.text, 5) for r in rows}
@@ -152,6 +174,18 @@ def test_knapsack_equals_enumeration():
         assert (take <= counts).all() and (take * sizes).sum() == max(s for s in sums if s <= budget)
 
 
+def test_a_very_long_text_leaves_the_knapsack_small(monkeypatch):
+    monkeypatch.setattr(mixing, "EXACT", 50)
+    lengths, counts = np.array([1, 7, 10, 4000, 900_000]), np.array([40, 30, 20, 6, 1])
+    for budget in (30, 500, 20_000, 910_000):
+        asked = []
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(mixing, "knapsack", lambda sizes, free, left, f=mixing.knapsack: (asked.append(left), f(sizes, free, left))[1])
+            take = mixing.fit(lengths, counts, budget)
+        assert (take <= counts).all() and max(asked, default=0) <= 50
+        assert 0 <= budget - int((take * lengths).sum()) < 4000 or (take == counts)[:-1].all()
+
+
 def test_targets_stop_at_the_cap_and_share_the_rest():
     t = mixing.targets({"a": 10, "b": 100, None: 100}, (3, 1, 2), 1.5, 2)
     assert t == {"a": 20.0, "b": pytest.approx(295 / 3), None: pytest.approx(590 / 3)}
@@ -306,7 +340,7 @@ def repeats(units, length, seen):
     return gone
 
 
-@pytest.mark.parametrize("most", [64, 2])
+@pytest.mark.parametrize("most", [1024, 3, 1])
 def test_substring_dedup(docs, rows, most):
     got, seen = by_id(substring_dedup.remove_repeated_words(docs, most=most)), set()
     for r in sorted(rows):
@@ -317,7 +351,7 @@ def test_substring_dedup(docs, rows, most):
         assert (g.n_words, g.n_removed, g.kept_sha256, g.kept) == (len(w), sum(gone), sha(kept), kept)
 
 
-@pytest.mark.parametrize("most", [64, 2])
+@pytest.mark.parametrize("most", [1024, 3, 1])
 def test_suffix_dedup(docs, rows, most):
     got, seen = by_id(suffix_dedup.remove_repeated_bytes(docs, most=most)), set()
     for r in sorted(rows):
