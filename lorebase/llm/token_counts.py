@@ -1,16 +1,23 @@
 """Token counts without token ids.
 
-Each slice of documents is a small relational plan of its own: split every text into
-pre-tokens, group them by (document, pre-token) into frequencies, count the pieces of each
-*distinct* pre-token once, join the counts back to the frequencies and sum per document.
-The plan runs inside an Arrow stage, because the alternative - shuffling one row for each
-document and distinct pre-token - moves more bytes than the documents hold.  What one
-worker has counted it keeps for its next slices, in a table of at most ``KEEP`` entries that
-starts anew when full; this only saves time and never changes a count.
+1.  Every task reads its documents into *frequency blocks* of about ``BLOCK_BYTES`` of text: the
+    distinct pre-tokens of the block, and for each document which of them it has and how often.
+    A block is one row of a written table; no text is shuffled.
+2.  Each distinct pre-token of the corpus is counted once: blocks list theirs, the lists are made
+    distinct, and the library says how many pieces each has.
+3.  The counts are joined to the blocks' lists, go back by block, and are summed by document with
+    the frequencies as weights.
+
+A row for each document and pre-token would be more bytes than the documents have; a block
+lists a pre-token once for all its documents, so that is what travels.
+
+Vocabularies that are not split into pre-tokens by the format known here (other normalizers,
+``.model`` files) have no pre-tokens to count; whole texts are counted, each as one.
 
 Defined cases: a null or empty text has 0 bytes and 0 tokens; strings of special tokens in a
-text count as the library counts them by default (one token each); repeated rows are counted
-each for itself; a null id stays null; other columns are ignored.
+text count as the library counts them by default (one token each); a very long text is a block
+of its own size; repeated rows are counted each for itself; a null id stays null; an empty table
+gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -18,22 +25,29 @@ from __future__ import annotations
 import json
 import os
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from lorebase.llm.arrow import id_and_text, map_slices
+from lorebase.llm.arrow import id_and_text, slices
+from lorebase.storage import materialise
 
-#: Distinct pre-tokens whose counts a worker keeps from slice to slice.
-KEEP = 400_000
+#: Bytes of text in a frequency block, and pre-tokens that go to the library at once.
+BLOCK_BYTES, BATCH = 12_000_000, 20_000
 #: How byte-level BPE vocabularies of this family split a text (a fixed value of the format).
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Code points from here on may be newer than the library's tables: such texts go through its own splitter.
 STABLE = regex.compile("[^\x00-ԯ‐-‧]")
 SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
+#: known: whether the id is one; extra: tokens besides those of pre-tokens; starts, codes, times: by document, which pre-tokens (by place in the block's list) how often.
+FREQUENCIES = "block bigint, pieces array<string>, ids binary, known binary, bytes binary, extra binary, starts binary, codes binary, times binary"
+_frequencies = pa.schema([("block", pa.int64()), ("pieces", pa.list_(pa.string())), *[(c.split(" ")[0], pa.binary()) for c in FREQUENCIES.split(", ")[2:]]])
 _loaded: dict[str, "PieceCounter"] = {}
 
 
@@ -44,7 +58,7 @@ class PieceCounter:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.path, self.known = path, {}
+        self.path, self.splits = path, False
         self.sentencepiece = path.endswith(".model")
         if self.sentencepiece:
             import sentencepiece
@@ -79,24 +93,42 @@ class PieceCounter:
             found.update(self.pre_tokens(part))
         return found, len(parts) - 1
 
-    def learn(self, pieces: list[str]) -> None:
-        """Count each distinct pre-token that isn't known yet, once."""
-        if len(self.known) > KEEP:
-            self.known = {}
-        new = [x for x in pieces if x not in self.known]
-        for x, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[x] = len(e)
-
     def count(self, texts: list[str]) -> list[int]:
+        """How many tokens the library makes of each text or pre-token."""
         if self.sentencepiece:
             return [len(self.library.encode(x)) for x in texts]
-        if not self.splits:
-            return [len(e) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        each = [self.frequencies(x) for x in texts]
-        distinct = set().union(*(f.keys() for f, _ in each)) if each else set()
-        self.learn(list(distinct))
-        known = self.known
-        return [n + sum([known[piece] * times for piece, times in f.items()]) for f, n in each]
+        return [len(e) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+class Block:
+    """Documents read so far, their distinct pre-tokens and frequencies."""
+
+    def __init__(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids, self.known, self.bytes, self.extra, self.sizes, self.codes, self.times = [], [], [], [], [], [], []
+        self.held = 0
+
+    def add(self, counter: PieceCounter, doc_id: int | None, text: str, size: int) -> None:
+        place = self.place
+        if counter.splits:
+            found, extra = counter.frequencies(text)
+            self.codes.append(np.array([place.setdefault(piece, len(place)) for piece in found], np.int32))
+            self.times.append(np.array(list(found.values()), np.int32))
+        else:
+            extra = counter.count([text])[0]
+        self.sizes.append(len(found) if counter.splits else 0)
+        self.ids.append(0 if doc_id is None else doc_id)
+        self.known.append(doc_id is not None)
+        self.bytes.append(size)
+        self.extra.append(extra)
+        self.held += size
+
+    def row(self, number: int) -> pa.RecordBatch:
+        packed = lambda x, kind: np.array(x, kind).tobytes()
+        joined = lambda x: np.concatenate(x).tobytes() if x else b""
+        starts = np.cumsum([0, *self.sizes])
+        values = [number, list(self.place), packed(self.ids, np.int64), packed(self.known, bool), packed(self.bytes, np.int64), packed(self.extra, np.int64), packed(starts, np.int64), joined(self.codes), joined(self.times)]
+        return pa.RecordBatch.from_pylist([dict(zip(_frequencies.names, values, strict=True))], schema=_frequencies)
 
 
 def counter(path: str) -> PieceCounter:
@@ -105,15 +137,46 @@ def counter(path: str) -> PieceCounter:
     return _loaded[path]
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: UTF-8 bytes, tokens, and whether the tokens exceed ``limit``."""
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        text = batch.column(1)
-        n = np.array(counter(tokenizer_path).count(text.to_pylist()), dtype=np.int64)
-        return pa.record_batch(
-            [batch.column(0).cast(pa.int64()), pc.binary_length(text).cast(pa.int64()), pa.array(n), pa.array(n > limit)],
-            names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
-        )
-
-    return map_slices(id_and_text(docs, id_col, text_col), work, SCHEMA)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, number = Block(), TaskContext.get().partitionId() << 32
+        for part in slices(batches):
+            ids, texts, sizes = part.column(0).cast(pa.int64()).to_pylist(), part.column(1).to_pylist(), pc.binary_length(part.column(1)).to_pylist()
+            for doc_id, text, size in zip(ids, texts, sizes, strict=True):
+                block.add(counter(tokenizer_path), doc_id, text, size)
+                if block.held >= block_bytes:
+                    yield block.row(number)
+                    block, number = Block(), number + 1
+        if block.ids:
+            yield block.row(number)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, BATCH):
+                pieces = batch.column(0)[a : a + BATCH]
+                yield pa.record_batch([pieces, pa.array(counter(tokenizer_path).count(pieces.to_pylist()), pa.int32())], names=["piece", "n"])
+
+    def summed(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for row in left.select([c.split(" ")[0] for c in FREQUENCIES.split(", ") if not c.startswith("pieces")]).to_pylist():
+            own = lambda c, kind: np.frombuffer(row[c], kind)  # noqa: B023, E731
+            n = np.zeros(right.num_rows, np.int64)
+            n[right.column("place").to_numpy()] = right.column("n").to_numpy()
+            sums = np.concatenate([[0], np.cumsum(n[own("codes", np.int32)] * own("times", np.int32))])
+            starts = own("starts", np.int64)
+            tokens = sums[starts[1:]] - sums[starts[:-1]] + own("extra", np.int64)
+            columns = [pa.array(own("ids", np.int64), mask=~own("known", bool)), pa.array(own("bytes", np.int64)), pa.array(tokens), pa.array(tokens > limit)]
+            out.append(pa.table(columns, names=["doc_id", "n_bytes", "n_tokens", "over_limit"]))
+        return pa.concat_tables(out) if out else _result.empty_table()
+
+    blocks = materialise(id_and_text(docs, id_col, text_col).mapInArrow(read, FREQUENCIES), "token-frequencies")
+    listed = blocks.select(F.col("block").alias("owner"), F.posexplode("pieces").alias("place", "piece"))
+    counts = listed.select("piece").distinct().mapInArrow(counted, "piece string, n int")
+    # The distinct pre-tokens grow with the documents; they are met the same way at every size.
+    priced = listed.join(counts.hint("merge"), "piece").select("owner", "place", "n")
+    return blocks.groupBy("block").cogroup(priced.groupBy("owner")).applyInArrow(summed, SCHEMA)
+
+
+_result = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
