@@ -118,8 +118,30 @@ def unshare(shared_with: Column, user: str) -> Column:
     return F.array_remove(shared_with, user)
 
 
-def default_severity(action: Column) -> Column:
-    return F.when(action.rlike("denied|forget|delete"), "warning").when(action.rlike("error|fail"), "error").when(action.rlike("export|import|share"), "info").otherwise("debug")
+# Actions whose entries are warnings, and those that are only of interest when looking for faults.
+WARNED = ("forget_all", "policy_change", "config_change", "delete", "forget", "forget_session", "export", "access_denied")
+QUIET = ("read", "query", "search")
+
+
+def default_severity(action: Column, success: Column | None = None) -> Column:
+    """What an audit entry weighs by its action; a failure is a warning."""
+    out = F.when(action.isin(*WARNED), "warning").when(action.isin(*QUIET), "debug").otherwise("info")
+    return out if success is None else F.when(~success, "warning").otherwise(out)
+
+
+def retention_over(retention_until: Column, as_of: str) -> Column:
+    """Whether a row's retention has ended; without an end it never does."""
+    return F.coalesce(F.lit(as_of).cast("timestamp_ntz") > retention_until, F.lit(False))
+
+
+def may_change(who: Principal, owner: Column) -> Column:
+    """Privacy is changed by the owner or an admin."""
+    return F.coalesce((owner == who.user_id) | F.lit("admin" in who.roles), F.lit(False))
+
+
+def without(policies: Sequence[Policy], name: str) -> list[Policy]:
+    """Policies but the named one; replace a policy by adding one of its name to the rest."""
+    return [p for p in policies if p.name != name]
 
 
 #: Audit severities in order.

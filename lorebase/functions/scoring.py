@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.storage import globally_ranked
+from lorebase.storage import globally_ranked, materialise
 
 LN2 = 0.693
 
@@ -38,6 +39,20 @@ PROFILES = {
 }
 
 
+#: The signals that a weight can be given to.
+SIGNALS = ("vector", "text", "temporal", "confidence", "graph")
+
+
+def usable_weights(weights: dict[str, float]) -> dict[str, float]:
+    """The weights of known signals, without those of none."""
+    return {k: w for k, w in weights.items() if k in SIGNALS and w}
+
+
+def query_terms(query: str) -> list[str]:
+    """The terms of a query as :func:`bm25` knows them, each once."""
+    return list(dict.fromkeys(t for t in re.split("[^a-z0-9]+", query.lower()) if t))
+
+
 def entropy(p: Column, bits: bool = False) -> Column:
     """Bernoulli entropy of a probability; 0 at 0 and 1."""
     h = -(p * F.log(p) + (1 - p) * F.log(1 - p))
@@ -58,11 +73,18 @@ def temporal(age_hours: Column, half_life_hours: float) -> Column:
     return F.exp(-0.6931471805599453 * age_hours / half_life_hours)
 
 
+def dot(x: Column, y: Column) -> Column:
+    """Inner product of two arrays, in doubles."""
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def unit(x: Column) -> Column:
+    """An array of length one in doubles, to be stored once so that a cosine is a single inner product."""
+    return F.transform(x, lambda v: v.cast("double") / F.sqrt(dot(x, x)))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays, in doubles."""
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
@@ -97,8 +119,10 @@ def bm25(docs: DataFrame, terms: list[str], key: str, text: str, k1: float = 1.2
 
     Terms are filtered before anything is exploded, so only their postings are counted.
     """
+    # The text is read once: its length and the terms that it has go to a table, from which everything else is counted.
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
-    lengths = docs.select(F.col(key), F.size(words).alias("dl"), F.filter(words, lambda w: w.isin(terms)).alias("hits"))
+    read = docs.select(F.col(key), words.alias("words")).select(key, F.size("words").alias("dl"), F.filter("words", lambda w: w.isin(terms)).alias("hits"))
+    lengths = materialise(read, "bm25-lengths")
     corpus = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     postings = lengths.filter(F.size("hits") > 0).select(key, "dl", F.explode("hits").alias("term")).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

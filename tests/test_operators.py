@@ -173,13 +173,48 @@ def test_anchored_blocks_differ_from_gaps(spark):
 def test_transcript_folds_lines(spark):
     df = spark.createDataFrame([(1, "[00:01:30] Ann: Hello\nand more\nBob: Fine")], "id int, t string")
     got = [(r.minute, r.speaker, r.said) for r in T.transcript(df, "t", "id").orderBy("turn").collect()]
-    assert got == [(1.5, "Ann", "Hello and more"), (None, "Bob", "Fine")]
+    assert got == [(1.5, "Ann", "Hello and more Bob: Fine")]
+    spoken = spark.createDataFrame([(1, "preface\nAnn Lee: Hello\nand more\nnot a name: x\nBob: Fine"), (2, "plain one\n\nplain two")], "id int, t string")
+    got = [(r.id, r.sign, r.speaker, r.said) for r in T.transcript(spoken, "t", "id").orderBy("id", "turn").collect()]
+    assert got == [(1, "spoken", None, "preface"), (1, "spoken", "Ann Lee", "Hello and more not a name: x"), (1, "spoken", "Bob", "Fine"), (2, "plain", None, "plain one"), (2, "plain", None, "plain two")]
+
+
+def test_segments(spark):
+    long = "x" * 60
+    texts = [(1, f"[0:00] Ann: a\n[4:59] Bob: b\n[5:00] Ann: c\n[9:00] Bob: d\n[10:01] Bob: e"), (2, f"Ann: {long}\nBob: short\nAnn: tiny\nBob: {long}\nBob: more"), (3, "one\ntwo")]
+    got = [(r.id, r.text, r.speakers, r["first"], r["last"]) for r in T.segments(T.transcript(spark.createDataFrame(texts, "id int, t string"), "t", "id"), "id").orderBy("id", "block").collect()]
+    assert got == [
+        (1, "Ann: a\nBob: b", ["Ann", "Bob"], "0:00", "4:59"), (1, "Ann: c\nBob: d", ["Ann", "Bob"], "5:00", "9:00"), (1, "Bob: e", ["Bob"], "10:01", "10:01"),
+        (2, f"Ann: {long}\nBob: short\nAnn: tiny", ["Ann", "Bob"], None, None), (2, f"Bob: {long}\nBob: more", ["Bob"], None, None), (3, "one two", [], None, None),
+    ]
+
+
+def test_reply_chains_of_any_length(spark):
+    rows = [(i, i - 1 if i else None) for i in range(200)] + [(300, 999), (400, 401), (401, 400), (500, 500)]
+    df = spark.createDataFrame(rows, "k int, p int")
+    roots = {r.id: r.root for r in T.reply_roots(df, "k", "p").collect()}
+    assert roots == {**dict.fromkeys(range(200), 0), 300: 300, 500: 500}
+    assert sorted(r.k for r in T.orphaned(df, T.reply_roots(df, "k", "p"), "k").collect()) == [400, 401]
 
 
 def test_plain_sections(spark):
     df = spark.createDataFrame([(1, "INTRO PART\nline one\n\nNext\n----\nline two")], "id int, t string")
     assert [(r.title, r.body) for r in T.plain_sections(df, "t", "id").orderBy("section").collect()] == [("INTRO PART", "line one"), ("Next", "line two")]
-    assert spark.range(1).select(T.is_markdown(F.lit("# A\n- b"))).first()[0]
+    signs = {"# A\n- b": True, "**a** [b](c)": True, "```\nx\n```": False, "# A": False, "#A\n-b ** [x] (y)": False, "": False, "  * a\n```": True}
+    assert {t: spark.range(1).select(T.is_markdown(F.lit(t))).first()[0] for t in signs} == signs
+
+
+def test_answers_of_language_models_are_mended():
+    cut = {'x [{"a": 1, "b": [1, 2, {"c": "q': '[{"a": 1, "b": [1, 2]}]', '{"a": "b\\"c", "d": tr': '{"a": "b\\"c"}', "none": None, "[1, 2] rest": "[1, 2]", '["a", "b': '["a"]', "": None, None: None}
+    assert {raw: T.mended(raw) for raw in cut} == cut
+
+
+def test_templates():
+    import re
+
+    m = re.search(r"(\w+)@(\w+)", "mail Ann@Home now")
+    want = {"{match}": "Ann@Home", "{match_lower}-{entity_type}": "ann@home-k", "{group1}|{group2}|{x}": "Home|{group2}|{x}", "plain": "plain"}
+    assert {t: T.compiled(t, "k")(m) for t in want} == want
 
 
 def test_aliases(spark):
@@ -188,10 +223,10 @@ def test_aliases(spark):
 
 
 def test_chat_formats(spark):
-    slack = '[{"user":"U1","text":"hi <@U2>","ts":"100.5"},{"user":"U2","text":"yes","ts":"101","thread_ts":"100.5"},{"subtype":"channel_join","ts":"1"},{"bot_id":"B","text":"beep","ts":"x"}]'
+    slack = '[{"user":"U1","text":"hi <@U2>","ts":"100.5","thread_ts":"100.5"},{"user":"U2","text":"yes","ts":"101","thread_ts":"100.5"},{"subtype":"channel_join","ts":"1"},{"bot_id":"B","text":"beep","ts":"x"}]'
     df = spark.createDataFrame([("c", slack), ("d", "not json")], "channel string, export string")
     m = chat.slack(df, "export", "channel")
-    assert {(r.author, r.ts, r.is_bot) for r in m.collect()} == {("U1", 100.5, False), ("U2", 101.0, False), ("unknown", 0.0, True)}
+    assert {(r.author, r.ts, r.is_bot) for r in m.collect()} == {("U1", 100.5, False), ("U2", 101.0, False), ("", 0.0, True)}
     t = chat.ingested(chat.threaded(m, "channel"))
     assert [r.thread_text for r in t.collect()] == ["U1: hi <@U2>\nU2: yes"]
     teams = '{"value":[{"id":"1","body":{"contentType":"html","content":"<p>Hi  all</p>"},"from":{"user":{"displayName":"Ann"}},"createdDateTime":"2024-01-01T00:00:00Z"}]}'
@@ -202,11 +237,14 @@ def test_chat_formats(spark):
 
 
 def test_mail(spark):
-    raw = "From: Ann <a@b.org>\r\nSubject: A long\r\n subject\r\n\r\nNew text\n\nOn Monday Bob wrote:\n> old text\n> more"
-    m = mail.emails(spark.createDataFrame([(1, raw)], "id int, raw string"), "raw", "id")
-    one = m.first()
-    assert (one.sender, one.subject) == ("Ann <a@b.org>", "A long subject")
-    assert [r.text for r in mail.thread_parts(m, "body", "id").orderBy("part").collect()] == ["New text", "old text\nmore"]
+    raw = "From: Ann <a@b.org>\r\nTo: x@y, z@w\r\nSubject: A long\r\n subject\r\n\r\nNew text\n\nOn Monday, Bob wrote:\n> old text\n> > more"
+    parsed = '{"from": "Cy", "to": ["a@b", "c@d"], "subject": "S", "body": "B"}'
+    forwarded = "To: q\n\nsee below\n\n---------- Forwarded message ----------\nold"
+    m = mail.emails(spark.createDataFrame([(1, raw), (2, parsed), (3, forwarded)], "id int, raw string"), "raw", "id")
+    got = {r.id: (r.sender, r.subject, r.recipients) for r in m.collect()}
+    assert got == {1: ("Ann <a@b.org>", "A long subject", ["x@y", "z@w"]), 2: ("Cy", "S", ["a@b", "c@d"]), 3: ("", "", ["q"])}
+    parts = [(r.id, r.author, r.date, r.text) for r in mail.thread_parts(m, "body", "id").orderBy("id", "part").collect()]
+    assert parts == [(1, "", None, "New text"), (1, "Bob", "Monday", "old text\nmore"), (2, "", None, "B"), (3, "", None, "see below"), (3, "", None, "old")]
 
 
 def test_memory_facade(spark, tmp_path):
@@ -221,3 +259,35 @@ def test_memory_facade(spark, tmp_path):
     assert memory.graph().start("sky").traverse().execute().count() == 3
     assert memory.forget(F.col("belief_id") == "2", 2) == 1 and memory.beliefs().count() == 1
     assert Memory(spark, memory.path, access.Principal("u2", "t1")).beliefs().count() == 0
+
+
+def test_memory_of_every_kind(spark, tmp_path):
+    me = access.Principal("u1", "t1")
+    memory = Memory(spark, str(tmp_path), me)
+    assert memory.beliefs().count() == 0
+    memory.commit(spark.createDataFrame([("b1", "sky", "is", "blue", 0.9), ("b2", "sea", "near", "sky", 0.8)], "belief_id string, subject string, predicate string, object string, confidence double"), 1)
+    memory.record(spark.sql("select 'e1' experience_id, 'saw the sky' content, timestamp_ntz'2024-01-31' occurred_at, cast(null as string) causal_parent union all select 'e2', 'rain', timestamp_ntz'2024-01-30', 'e1'"), 2)
+    memory.learn(spark.sql("select 'p1' procedure_id, 'watch the sky' name, '' description, '' trigger, array('look', 'wait') steps, 0.5 confidence, 3L successes, 1L failures"), 3)
+    memory.decide(spark.sql("select 'd1' decision_id, 'stay in' title, 'active' status, array(struct('b1' as belief_id, 'dry' as description, 0.9 as confidence_at_decision, true as is_critical)) assumptions"), 4)
+    memory.snapshot(spark.sql("select 's1' snapshot_id, 'walk' task_context, timestamp_ntz'2024-01-01' taken_at union all select 's2', 'walk', timestamp_ntz'2024-01-02'"), 5)
+    assert {(r.src, r.dst, r.edge_type) for r in memory.all("edges").collect()} == {("e1", "e2", "caused"), ("d1", "b1", "assumes")}
+    assert [r.node for r in memory.neighbours("e1").collect()] == ["e2"] and [r.snapshot_id for r in memory.snapshots("walk", 1).collect()] == ["s2"]
+    seen = {(r.memory_type, r.id): r.content for r in memory.recall_all("2024-02-01", ["sky"], least=0.0).collect()}
+    assert seen[("experience", "e1")] == "saw the sky" and seen[("procedure", "p1")] == "watch the sky: look → wait" and ("belief", "b1") in seen and ("experience", "e2") not in seen
+    assert memory.context("2024-02-01", ["sky"]).startswith("Relevant memories:\n- [belief] (sky, is, blue)")
+    assert memory.context("2024-02-01", ["nothing"], least=2.0) == ""
+    assert memory.set_privacy("b1", "public", 6) == 1 and memory.share("b2", "u2", 7) == 1
+    other = Memory(spark, memory.path, access.Principal("u2", "t1"))
+    assert {r.belief_id for r in other.beliefs().collect()} == {"b1", "b2"} and other.set_privacy("b1", "private", 8) == 0
+    assert memory.save_rules([T.Detector("r1", r"\d+", "numbers"), T.Extractor("r2", "host", r"@(\w+)", description="mail hosts"), T.Detector("bad", "(")], 9) == 2
+    memory.delete_rule("r1", 10)
+    assert [r.id for r in memory.rules()] == ["r2"] and memory.similar_rules("a host of mail").first().rule_id == "r2"
+    with pytest.raises(ValueError, match="entity_id"):
+        memory.forget_request(G.ForgetRequest("entity"), 11)
+    assert memory.forget_request(G.ForgetRequest("entity", entity_id="b1"), 12) == "completed" and memory.get("beliefs", "b1").count() == 0
+    assert [(r.action, r.severity) for r in memory.audit().collect()] == [("forget_entity", "info")]
+
+
+@pytest.mark.parametrize(("request_", "problem"), [(G.ForgetRequest("session"), "session_id"), (G.ForgetRequest("time_range"), "before or after"), (G.ForgetRequest("query"), "query"), (G.ForgetRequest("topic"), "topics"), (G.ForgetRequest("x"), "unknown")])
+def test_requests_to_forget_say_what_is_missing(request_, problem):
+    assert problem in request_.problems()[0] and G.ForgetRequest("all").problems() == []
