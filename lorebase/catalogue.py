@@ -6,6 +6,7 @@ Every query reads whole tables.  Fixed parameters: the moments below, and princi
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,10 +16,11 @@ from lorebase.operators import beliefs as B
 from lorebase.operators import governance as G
 from lorebase.operators import graph
 from lorebase.operators import reflection as R
+from lorebase.operators import retrieval as S
 from lorebase.operators import text as T
 from lorebase.plans import views as V
 from lorebase.plans.views import with_views
-from lorebase.storage import globally_ranked
+from lorebase.storage import materialise
 
 ORDERS_AT, EVENTS_AT, HALF = "2002-01-01 00:00:00", "2024-01-31 00:00:00", 365
 WHO = access.Principal("u3", "t3", ("member",))
@@ -36,11 +38,18 @@ def query(name: str, sql: str | None = None) -> Callable:
     return keep
 
 
+def _load() -> None:
+    """The queries that stand in modules of their own."""
+    from lorebase import catalogue_store, catalogue_text  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_sql)
 
 
@@ -91,9 +100,9 @@ def effective(spark, d):
 
 @query("belief_validity_check", with_views("beliefs", f""", r as (select *, case when not ((valid_from is null or valid_from <= timestamp '{ORDERS_AT}') and (valid_until is null or timestamp '{ORDERS_AT}' <= valid_until)) then 'out_of_bounds'
  when ttl_seconds is not null and {AGE} > ttl_seconds then 'expired' when {AGE} > 30 * 86400 then 'stale' else 'valid' end reason from beliefs)
- select belief_id, reason, reason in ('valid', 'stale') is_valid, round(case when reason in ('out_of_bounds', 'expired') then 0.0 else confidence * {DECAY} end, 6) confidence from r where line = 4 or line = 5"""))
+ select belief_id, reason, reason in ('valid', 'stale') is_valid, round(case when reason in ('out_of_bounds', 'expired') then 0.0 else confidence * {DECAY} end, 6) confidence from r"""))
 def validity(spark, d):
-    b = V.beliefs(spark, d).filter("line = 4 or line = 5")
+    b = V.beliefs(spark, d)
     v = temporal.validity(b.confidence, b.observed_at, b.valid_from, b.valid_until, b.ttl_seconds, ORDERS_AT, half_life_days=HALF)
     return b.select("belief_id", v.alias("v")).select("belief_id", "v.reason", "v.is_valid", r6(F.col("v.confidence")).alias("confidence"))
 
@@ -133,11 +142,12 @@ def pii_scan(spark, d):
     return docs.groupBy("lang").agg(*[F.count_if(F.col("text").rlike(p)).alias(k) for k, p in access.PII.items()])
 
 
-@query("consent_share_maps", with_views("beliefs", "select belief_id, list_contains(list_append(shared_with, 'u3'), 'u3') now_shared, len(list_distinct(list_append(shared_with, 'u3'))) partners, len(list_filter(shared_with, lambda x: x <> 'u1')) after_unshare, line % 2 = 1 consents from beliefs where line = 1"))
+@query("consent_share_maps", with_views("beliefs", "select belief_id, list_contains(list_append(shared_with, 'u3'), 'u3') now_shared, len(list_distinct(list_append(shared_with, 'u3'))) partners, len(list_filter(shared_with, lambda x: x <> 'u1')) after_unshare, line % 2 = 1 consents from beliefs"))
 def consent(spark, d):
-    b = V.beliefs(spark, d).filter("line = 1")
-    consents = access.grant(F.create_map(F.lit("analytics"), F.col("observed_at")), "training", F.col("observed_at"))
-    left = access.revoke(consents, "analytics")
+    b = V.beliefs(spark, d)
+    granted = access.grant(F.create_map(F.lit("analytics"), F.col("observed_at")), "training", F.col("observed_at"))
+    # Of every second line the consent is taken back again.
+    left = F.when(b.line % 2 == 1, access.revoke(granted, "analytics")).otherwise(access.revoke(granted, "training"))
     return b.select("belief_id", F.array_contains(access.share(b.shared_with, "u3"), "u3").alias("now_shared"), F.size(access.share(b.shared_with, "u3")).cast("long").alias("partners"),
                     F.size(access.unshare(b.shared_with, "u1")).cast("long").alias("after_unshare"), F.map_contains_key(left, "training").alias("consents"))
 
@@ -258,26 +268,45 @@ def temporal_search(spark, d):
     return scoring.top(b.select("belief_id", r6(scoring.weighted(signals, {"confidence": 0.1, "temporal": 0.9})).alias("score")), "score", "belief_id", 20)
 
 
-HYBRID = f"""{BM25}, v as (select e.vec_id doc_id, {COS} vec from embeddings e, embeddings q where q.vec_id = 0), m as (select max(score) top from bm),
- s as (select d.doc_id, coalesce(vec, 0) vec, coalesce(score, 0) / top txt, exp(-0.6931471805599453 * (d.doc_id % 60) / H) tmp, 0.5 + (d.doc_id % 50) / 100 conf from documents d left join v on v.doc_id = d.doc_id left join bm on bm.doc_id = d.doc_id, m)"""
+#: Rounds of the walk that tells how near documents are: by their source, from the five that the text finds first.
+WALK = 4
+LINKS = "l as (select 'doc:' || doc_id src, 'source:' || source dst from documents), e as (select src, dst from l union select dst, src from l), od as (select src, count(*) o from e group by src)"
+
+
+def _near_sql() -> str:
+    sql = f"{LINKS}, seed as (select 'doc:' || doc_id node from bm order by round(score, 6) desc, doc_id limit 5), r0 as materialized (select src node, o, case when src in (select node from seed) then 1.0 / (select count(*) from seed) else 0.0 end home from od), w0 as (select node, home rk from r0)"
+    for i in range(WALK):
+        sql += f", w{i + 1} as materialized (select r0.node, 0.85 * coalesce(flow, 0) + 0.15 * home rk from r0 left join (select dst node, sum(rk / o) flow from w{i} join e on src = w{i}.node join od using (src) group by dst) using (node))"
+    return sql + f", near as (select node, rk / (select max(rk) from w{WALK}) near from w{WALK})"
+
+
+HYBRID = f"""{BM25}, {_near_sql()}, v as (select e.vec_id doc_id, {COS} vec from embeddings e, embeddings q where q.vec_id = 0), m as (select max(score) top from bm),
+ s as (select d.doc_id, coalesce(vec, 0) vec, coalesce(score, 0) / top txt, exp(-0.6931471805599453 * (d.doc_id % 60) / H) tmp, 0.5 + (d.doc_id % 50) / 100 confidence, near from documents d left join v on v.doc_id = d.doc_id left join bm on bm.doc_id = d.doc_id join near on near.node = 'doc:' || d.doc_id, m)"""
 
 
 def _signals(spark, d, half_life_days):
     docs = V.table(spark, d, "documents")
-    text = scoring.bm25(docs, TERMS, "doc_id", "text").withColumnRenamed("score", "txt")
+    text = materialise(scoring.bm25(docs, TERMS, "doc_id", "text").withColumnRenamed("score", "txt"), "hybrid-text")
     best = F.broadcast(text.agg(F.max("txt").alias("top")))  # one row
-    out = docs.select("doc_id").join(_vectors(spark, d).withColumnRenamed("score", "vec"), "doc_id", "left").join(text, "doc_id", "left").crossJoin(best)
-    signals = {"vector": F.col("vec"), "text": F.col("txt") / F.col("top"), "temporal": scoring.temporal((F.col("doc_id") % 60) * 24.0, half_life_days * 24.0), "confidence": 0.5 + (F.col("doc_id") % 50) / 100}
+    seeds = S.seeded(text.select(r6(F.col("txt")).alias("score"), "doc_id", V.numbered("doc:", F.col("doc_id")).alias("node")), "node", "doc_id")
+    links = docs.select(V.numbered("doc:", F.col("doc_id")).alias("src"), F.concat(F.lit("source:"), "source").alias("dst"))
+    near = S.nearness(links, seeds, WALK).withColumn("_node", F.col("node")).drop("node")
+    out = docs.select("doc_id").join(_vectors(spark, d).withColumnRenamed("score", "vec"), "doc_id", "left").join(text, "doc_id", "left")
+    out = out.join(near, V.numbered("doc:", F.col("doc_id")) == F.col("_node")).crossJoin(best).withColumn("confidence", 0.5 + (F.col("doc_id") % 50) / 100)
+    signals = {"vector": F.col("vec"), "text": F.col("txt") / F.col("top"), "temporal": scoring.temporal((F.col("doc_id") % 60) * 24.0, half_life_days * 24.0), "confidence": F.col("confidence"), "graph": F.col("near")}
     return out, signals
 
 
 def _hybrid(name):
     p = scoring.PROFILES[name]
-    sql = f"with {HYBRID.replace('H)', f'{p.half_life_days})')} select doc_id, round({p.vector} * vec + {p.text} * txt + {p.temporal} * tmp + {p.confidence} * conf, 6) score from s order by score desc, doc_id limit 20"
+    fused = f"({p.vector} * vec + {p.text} * txt + {p.temporal} * tmp + {p.confidence} * confidence + {p.graph} * near)"
+    e = f"least(({NATS}) / 0.693, 1.0)"
+    sql = f"with {HYBRID.replace('H)', f'{p.half_life_days})')} select doc_id, round({fused} * {1 - p.entropy} + {e if p.direction == 'high' else '(1 - ' + e + ')'} * {p.entropy}, 6) score from s order by score desc, doc_id limit 20"
     @query(f"hybrid_weighted_{name}", sql)
     def run(spark, d):
         out, signals = _signals(spark, d, p.half_life_days)
-        return scoring.top(out.select("doc_id", r6(scoring.weighted(signals, p.weights())).alias("score")), "score", "doc_id", 20)
+        score = scoring.reranked(scoring.weighted(signals, p.weights()), scoring.entropy(F.col("confidence")), p.entropy, p.direction)
+        return scoring.top(out.select("doc_id", r6(score).alias("score")), "score", "doc_id", 20)
 
 
 for _name in scoring.PROFILES:
@@ -293,18 +322,30 @@ def rrf(spark, d):
     return scoring.top(s.withColumn("score", r6(F.col("score"))), "score", "doc_id", 20)
 
 
-@query("unified_recall", with_views("pairs experiences", f""", every as (
+PROCEDURES = """procedures as (select 'part:' || l_partkey id, any_value(p_name) nm, count(*) filter (l_returnflag = 'N') good, count(*) filter (l_returnflag = 'R') bad, any_value(p_type) ty, any_value(p_brand) br from lineitem join part on p_partkey = l_partkey group by l_partkey)"""
+
+
+def _procedures(spark, d):
+    p = V.table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count_if(F.col("l_returnflag") == "N").alias("successes"), F.count_if(F.col("l_returnflag") == "R").alias("failures"))
+    p = p.join(V.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return p.select(V.numbered("part:", F.col("l_partkey")).alias("procedure_id"), F.col("p_name").alias("name"), F.array(F.lower("p_type"), F.lower("p_brand")).alias("steps"), F.lit(0.8).alias("confidence"), "successes", "failures")
+
+
+@query("unified_recall", with_views("pairs experiences working", f""", {PROCEDURES}, live as (select *, row_number() over (partition by owner_id, "key" order by written_us desc, write_id desc) rn from working where written_us <= {NOW_US} - 86400000000), every as (
  select 'belief' memory_type, belief_id id, confidence score, '(' || subject || ', ' || predicate || ', ' || object || ')' content from pairs where confidence >= 0.3
- union all select 'experience', cast(experience_id as varchar), greatest(0.0, 1 - ({NOW_US} - epoch_us(occurred_at)) / 3.6e9 / 168), content || coalesce(' → ' || outcome, '') from experiences),
+ union all select 'experience', cast(experience_id as varchar), greatest(0.0, 1 - ({NOW_US} - epoch_us(occurred_at)) / 3.6e9 / 168), content || coalesce(' → ' || outcome, '') from experiences
+ union all select 'procedure', id, 0.8 * case when good + bad = 0 then 0.5 else good / (good + bad) end, nm || ': ' || lower(ty) || ' → ' || lower(br) from procedures
+ union all select 'working', "key", 1.0, "key" || ' = ' || cast(value as varchar) from live where rn = 1 and owner_id = 7 and expires_us >= {NOW_US} - 86400000000 - 3600000000),
  r as (select *, row_number() over (partition by memory_type order by round(score, 6) desc, id) rn from every)
- select memory_type, id, round(score, 6) score, content from r where rn <= case memory_type when 'belief' then 20 else 10 end"""))
+ select memory_type, id, round(score, 6) score, content from r where rn <= case memory_type when 'belief' then 20 when 'experience' then 10 when 'procedure' then 5 else 50 end"""))
 def recall(spark, d):
-    p = V.pair_beliefs(spark, d).filter("confidence >= 0.3").select(F.lit("belief").alias("memory_type"), F.col("belief_id").alias("id"), r6(F.col("confidence")).alias("score"), F.format_string("(%s, %s, %s)", "subject", "predicate", "object").alias("content"))
-    e = V.experiences(spark, d)
-    hours = (V.micros(temporal.at(EVENTS_AT)) - V.micros(e.occurred_at)) / 3.6e9
-    e = e.select(F.lit("experience").alias("memory_type"), e.experience_id.cast("string").alias("id"), r6(scoring.recency(hours)).alias("score"), F.concat("content", F.coalesce(F.concat(F.lit(" → "), "outcome"), F.lit(""))).alias("content"))
-    best = [scoring.top(x, "score", "id", n) for x, n in ((p, 20), (e, 10))]
-    return best[0].unionByName(best[1])
+    now = V.micros(temporal.at(EVENTS_AT)) - 86_400_000_000
+    w = V.working(spark, d).filter(F.col("written_us") <= now)
+    last = w.withColumn("rn", F.row_number().over(Window.partitionBy("owner_id", "key").orderBy(F.col("written_us").desc(), F.col("write_id").desc())))
+    live = last.filter((F.col("rn") == 1) & (F.col("owner_id") == 7) & (F.col("expires_us") >= now - 3_600_000_000))
+    kinds = [S.remembered_beliefs(V.pair_beliefs(spark, d).filter("confidence >= 0.3").withColumn("score", F.col("confidence"))), S.remembered_experiences(V.experiences(spark, d), EVENTS_AT), S.remembered_procedures(_procedures(spark, d)), S.remembered_working(live)]
+    every = reduce(DataFrame.unionByName, kinds).withColumn("score", r6(F.col("score")))
+    return S.limited(every, {"belief": 20, "experience": 10, "procedure": 5, "working": 50})
 
 
 # -- contradictions, inference, judgement -------------------------------------------------------
@@ -338,37 +379,57 @@ def dedupe(spark, d):
     return B.best_inferred(B.two_hop(V.triples(spark, d))).select("s", "o", r6(F.col("confidence")).alias("confidence"))
 
 
-@query("backward_update_counts", with_views("pairs", """, fresh as (select * from pairs where evidence = 1), same as (select p.belief_id, count(*) filter (p.object = f.object) confirmed, count(*) filter (p.object <> f.object) denied from pairs p join fresh f on p.subject = f.subject group by 1)
- select belief_id, confirmed, denied, cast(0 as bigint) about from same"""))
+#: What is said of orders and their parts: numbers, truths and places, some of them against each other.
+SAID = """said as (select 'part:' || l_partkey subject, 'line' predicate, cast(l_linenumber as varchar) object, l_orderkey k from lineitem
+ union all select 'part:' || l_partkey, 'returned', case when l_returnflag = 'R' then 'true' else 'false' end, l_orderkey from lineitem
+ union all select 'order:' || l_orderkey, 'holds', 'part:' || l_partkey, l_orderkey from lineitem)"""
+
+
+def _said(spark, d):
+    li = V.table(spark, d, "lineitem")
+    part, k = V.numbered("part:", F.col("l_partkey")).alias("subject"), F.col("l_orderkey").alias("k")
+    lines = li.select(part, F.lit("line").alias("predicate"), F.col("l_linenumber").cast("string").alias("object"), k)
+    truth = F.when(F.col("l_returnflag") == "R", "true").otherwise("false")
+    held = li.select(V.numbered("order:", F.col("l_orderkey")).alias("subject"), F.lit("holds").alias("predicate"), part.alias("object"), k)
+    return lines.unionByName(li.select(part, F.lit("returned").alias("predicate"), truth.alias("object"), k)).unionByName(held)
+
+
+@query("backward_update_counts", f"""with {SAID}, old as (select subject || '|' || predicate || '|' || object belief_id, subject s, predicate p, object o from said where k % 3 > 0 group by all), fresh as (select subject s, predicate p, object o, count(*) n from said where k % 3 = 0 group by all),
+ e as (select s, p, sum(n) n from fresh group by all), a as (select s, sum(n) n from fresh group by s)
+ select belief_id, cast(coalesce(f.n, 0) as bigint) confirmed, cast(coalesce(e.n, 0) - coalesce(f.n, 0) as bigint) denied, cast(coalesce(a.n, 0) as bigint) about
+ from old left join e using (s, p) left join fresh f on f.s = old.s and f.p = old.p and f.o = old.o left join a on a.s = old.o where coalesce(e.n, 0) + coalesce(a.n, 0) > 0""")
 def backward(spark, d):
-    p = V.pair_beliefs(spark, d)
-    return B.backward_counts(p, p.filter("evidence = 1"))
+    said = _said(spark, d)
+    old = said.filter("k % 3 > 0").select("subject", "predicate", "object").distinct().withColumn("belief_id", F.concat_ws("|", "subject", "predicate", "object"))
+    return B.backward_counts(old, said.filter("k % 3 = 0"))
 
 
-@query("candidate_support_contradict", with_views("pairs", """, c as (select row_number() over (order by belief_id) candidate_id, subject, object from pairs where evidence > 1)
- select c.candidate_id, count(*) filter (contains(c.object, p.object) or contains(p.object, c.object)) supports, cast(0 as bigint) contradicts from c join pairs p using (subject) group by 1"""))
+@query("candidate_support_contradict", f"""with {SAID}, c as (select distinct subject || '|' || predicate || '|' || object candidate_id, subject s, predicate p, object o from said where predicate <> 'holds' and k % 5 = 0), b as (select subject s, predicate p, object o, count(*) n from said where k % 5 > 0 group by all),
+ j as (select candidate_id, contains(c.o, b.o) or contains(b.o, c.o) yes, (c.o = 'true' and b.o = 'false') or (c.o = 'false' and b.o = 'true') or coalesce(try_cast(c.o as double) <> try_cast(b.o as double), false) no, n from c join b using (s, p))
+ select c.candidate_id, cast(coalesce(sum(n) filter (yes), 0) as bigint) supports, cast(coalesce(sum(n) filter (no and not yes), 0) as bigint) contradicts from c left join j using (candidate_id) group by 1""")
 def candidates(spark, d):
-    p = V.pair_beliefs(spark, d)
-    c = globally_ranked(p.filter("evidence > 1"), F.col("belief_id"), name="candidate_id").withColumn("candidate_id", F.col("candidate_id").cast("long"))
-    return B.judged(c, p)
+    said = _said(spark, d)
+    c = said.filter("predicate != 'holds' and k % 5 = 0").select("subject", "predicate", "object").distinct().withColumn("candidate_id", F.concat_ws("|", "subject", "predicate", "object"))
+    return B.judged(c, said.filter("k % 5 > 0"))
 
 
 @query("cross_reference", """with w as (select conv_id, turn, conv_id * 1000 + turn id, role, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) ws from conversations),
- s as (select *, list_has_any(ws, ['not', 'no', 'never', 'incorrect', 'wrong', 'false']) neg from w where turn <= 1),
- p as (select a.id a_id, b.id b_id, len(list_intersect(a.ws, b.ws)) / least(len(a.ws), len(b.ws)) ov, a.neg <> b.neg differ from s a join s b on a.role = 'user' and b.role = 'assistant')
+ s as (select *, list_has_any(ws, ['not', 'no', 'never', 'incorrect', 'wrong', 'false']) neg from w),
+ p as (select a.id a_id, b.id b_id, len(list_intersect(a.ws, b.ws)) / least(len(a.ws), len(b.ws)) ov, a.neg <> b.neg differ from s a join s b on a.role = 'user' and b.role = 'assistant' where len(a.ws) > 0 and len(b.ws) > 0)
  select a_id, b_id, round(ov, 6) overlap, case when differ then 'contradict' else 'agree' end kind from p where ov > 0.3""")
 def cross(spark, d):
-    c = V.table(spark, d, "conversations").filter("turn <= 1").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    c = V.table(spark, d, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
     return B.cross_reference(c.filter("role = 'user'"), c.filter("role = 'assistant'"))
 
 
 NOW = "now as (select subject, avg(confidence) c from beliefs group by subject)"
 
 
-@query("decision_drift", with_views("assumptions", f", {NOW} select decision_id, round(max(abs(c - confidence_then)), 6) max_drift, 'revisit_suggested' status from assumptions join now using (subject) where critical group by decision_id having max(abs(c - confidence_then)) > 0.2"))
+@query("decision_drift", with_views("assumptions", f", {NOW} select decision_id, round(max(abs(c - confidence_then)), 6) max_drift, 'revisit_suggested' status from assumptions join now using (subject) join orders on o_orderkey = decision_id where critical and o_orderstatus <> 'P' group by decision_id having max(abs(c - confidence_then)) > 0.2"))
 def drift(spark, d):
     now = V.beliefs(spark, d).groupBy("subject").agg(F.avg("confidence").alias("confidence"))
-    return B.drift(V.assumptions(spark, d), now).withColumn("max_drift", r6(F.col("max_drift")))
+    status = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("decision_id"), F.when(F.col("o_orderstatus") == "P", "superseded").otherwise("active").alias("status"))
+    return B.drift(V.assumptions(spark, d).join(status, "decision_id"), now).withColumn("max_drift", r6(F.col("max_drift")))
 
 
 @query("decision_lifecycle", """with o as (select o_orderkey decision_id, o_orderpriority title, 'active' status, cast(null as bigint) revision_of from orders)
@@ -398,7 +459,7 @@ def as_of_join(spark, d):
 @query("belief_snapshot", with_views("pairs", "select 'snap-1' snapshot_id, belief_id, confidence from pairs where evidence >= 2"))
 def snapshot(spark, d):
     p = V.pair_beliefs(spark, d)
-    return p.join(p.filter("evidence >= 2").select("belief_id"), "belief_id", "left_semi").select(F.lit("snap-1").alias("snapshot_id"), "belief_id", "confidence")
+    return B.snapshot(p, p.filter("evidence >= 2"), "snap-1").select("snapshot_id", "belief_id", "confidence")
 
 
 @query("bayes_update", with_views("pairs", ", x as (select belief_id, 2 * confidence + evidence a, 2 * (1 - confidence) + 1 b from pairs) select belief_id, round(a / (a + b), 6) mean, round(greatest(0.0, a / (a + b) - 1.96 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))), 6) low, round(least(1.0, a / (a + b) + 1.96 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))), 6) high from x"))
@@ -419,10 +480,10 @@ def verify(spark, d):
     return c.select("subject", B.verdict(c).alias("verdict"))
 
 
-@query("brief_summary", with_views("pairs", f", t as (select * from pairs where confidence >= 0.2 order by confidence desc, belief_id limit 30) select count(*) facts, count(*) filter (confidence < 0.5) uncertain, round(avg(confidence), 6) avg_confidence from t"))
+@query("brief_summary", with_views("pairs", ", t as (select * from pairs where confidence >= 0.2 order by confidence desc, belief_id limit 30), e as (select o_orderkey from orders where o_orderpriority = '1-URGENT' order by o_orderdate desc, o_orderkey desc limit 5) select count(*) facts, count(*) filter (confidence < 0.5) uncertain, round(avg(confidence), 6) avg_confidence, round(avg(1 - confidence), 6) avg_uncertainty, (select count(*) from e) precedents from t"))
 def brief(spark, d):
     t = scoring.top(V.pair_beliefs(spark, d).filter("confidence >= 0.2"), "confidence", "belief_id", 30)
-    return t.agg(F.count(F.lit(1)).alias("facts"), F.count_if(F.col("confidence") < 0.5).alias("uncertain"), r6(F.avg("confidence")).alias("avg_confidence"))
+    return B.brief(t, S.newest(V.table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'"), "o_orderdate", "o_orderkey", 5))
 
 
 def _general(name, keys, other):
@@ -463,17 +524,16 @@ def paths(spark, d):
 
 @query("shortest_path", with_views("edges", ", ends as (select r_name from region order by r_name)" + PATHS.format("order:3") + " select array_to_string(nodes, '>') path, length, round(confidence, 6) confidence from recursive_paths where last in (select r_name from ends) order by length, confidence desc, path limit 1"))
 def shortest(spark, d):
-    p = graph.paths(V.edges(spark, d), _seed(spark, "order:3"), 3)
-    found = p.join(V.table(spark, d, "region"), F.col("last") == F.col("r_name"), "left_semi").orderBy("length", F.col("confidence").desc(), F.array_join("nodes", ">")).limit(1)
-    return found.select(F.array_join("nodes", ">").alias("path"), "length", r6(F.col("confidence")).alias("confidence"))
+    ends = V.table(spark, d, "region").select(F.col("r_name").alias("node"))
+    return graph.shortest(V.edges(spark, d), _seed(spark, "order:3"), ends, 3).select(F.array_join("nodes", ">").alias("path"), "length", r6(F.col("confidence")).alias("confidence"))
 
 
-@query("entity_profile", with_views("edges", ", x as (select src node, dst other, confidence, 1 o from edges union all select dst, src, confidence, 0 from edges) select node, count(*) mentions, round(avg(confidence), 6) avg_confidence, cast(sum(o) as bigint) out_edges, cast(count(*) - sum(o) as bigint) in_edges, count(distinct other) related, (max({c: confidence, x: other})).x closest from x where node in (select n_name from nation) group by node"))
+@query("entity_profile", with_views("edges", ", x as (select src node, dst other, confidence, 1 o, edge_type p from edges union all select dst, src, confidence, 0, edge_type from edges), c as (select node, count(*) n from (select node, lower(p) from x where o = 1 group by all having count(distinct lower(other)) > 1) group by node) select node, count(*) mentions, round(avg(confidence), 6) avg_confidence, cast(sum(o) as bigint) out_edges, cast(count(*) - sum(o) as bigint) in_edges, count(distinct other) related, (max({c: confidence, x: other})).x closest, coalesce(any_value(c.n), 0) contradicted from x left join c using (node) where node in (select n_name from nation) group by node"))
 def entity_profile(spark, d):
     return graph.profile(V.edges(spark, d), V.table(spark, d, "nation").select(F.col("n_name").alias("node")))
 
 
-@query("entity_compare", with_views("edges", ", both_ as (select src, dst from edges union all select dst, src from edges), a as (select distinct lower(dst) node from both_ where src = 'customer:1'), b as (select distinct lower(dst) node from both_ where src = 'customer:2') select coalesce(a.node, b.node) node, case when a.node is not null and b.node is not null then 'shared' when a.node is not null then 'first' else 'second' end kind from a full join b on a.node = b.node"))
+@query("entity_compare", with_views("edges", ", both_ as (select src, dst from edges union all select dst, src from edges), a as (select distinct lower(dst) node from both_ where src = 'customer:1'), b as (select distinct lower(dst) node from both_ where src = 'customer:2') select coalesce(a.node, b.node) node, case when coalesce(a.node, b.node) in ('customer:1', 'customer:2') then 'direct' when a.node is not null and b.node is not null then 'shared' when a.node is not null then 'first' else 'second' end kind from a full join b on a.node = b.node"))
 def compare(spark, d):
     return graph.compared(V.edges(spark, d), "customer:1", "customer:2")
 
@@ -563,19 +623,20 @@ def session_groups(spark, d):
 ENTITIES = """list_distinct(list_concat(regexp_extract_all(text, '\\b[A-Z][a-z]+(?: [A-Z][a-z]+)*\\b', 0), regexp_extract_all(text, '"([^"]+)"', 1)))"""
 
 
-@query("entity_groups", f"with n as (select distinct doc_id, lower(unnest({ENTITIES})) entity from documents where lang = 'en') select entity, count(*) items from n group by entity having items >= 2")
+@query("entity_groups", f"with n as (select distinct doc_id, lower(unnest({ENTITIES})) entity from documents) select entity, count(*) items from n group by entity having items >= 2")
 def entity_groups(spark, d):
-    return R.entity_groups(V.table(spark, d, "documents").filter("lang = 'en'"), "doc_id", "text")
+    return R.entity_groups(V.table(spark, d, "documents"), "doc_id", "text")
 
 
-@query("entity_extract_caps", f"select doc_id, len({ENTITIES}) entities from documents where lang = 'en'")
+@query("entity_extract_caps", f"select doc_id, len({ENTITIES}) entities from documents")
 def entity_caps(spark, d):
-    return V.table(spark, d, "documents").filter("lang = 'en'").select("doc_id", F.size(R.entities_in(F.col("text"))).cast("long").alias("entities"))
+    return V.table(spark, d, "documents").select("doc_id", F.size(R.entities_in(F.col("text"))).cast("long").alias("entities"))
 
 
-@query("common_tags", with_views("experiences", ", n as (select session_id, count(*) n from experiences group by 1), u as (select session_id, content, count(*) uses from experiences group by 1, 2) select session_id, content, uses from u join n using (session_id) where uses >= greatest(2, floor(n / 2))"))
+@query("common_tags", with_views("experiences", ", e as (select session_id || '|' || strftime(occurred_at, '%Y-%m-%d') g, content from experiences), n as (select g, count(*) n from e group by 1), u as (select g, content, count(*) uses from e group by 1, 2) select g, content, uses from u join n using (g) where uses >= greatest(2, floor(n / 2))"))
 def common_tags(spark, d):
-    return R.common_tags(V.experiences(spark, d), "session_id", "content")
+    e = V.experiences(spark, d).select(F.concat_ws("|", F.col("session_id").cast("string"), F.date_format("occurred_at", "yyyy-MM-dd")).alias("g"), "content")
+    return R.common_tags(e, "g", "content")
 
 
 @query("group_dedupe_jaccard", "with m as (select distinct l_orderkey g, l_suppkey i from lineitem), n as (select g, count(*) n from m group by g), p as (select a.g a, b.g b, count(*) s from m a join m b on a.i = b.i and a.g < b.g group by 1, 2) select a, b, round(s / (x.n + y.n - s), 6) jaccard from p join n x on x.g = a join n y on y.g = b where s / (x.n + y.n - s) > 0.8")
@@ -616,60 +677,17 @@ def pattern_strength(spark, d):
 
 # -- text ---------------------------------------------------------------------------------------
 
-NOTES = [
-    (1, "Standup\nACTION: ship the parser\nMaria should review the budget\n- todo: water the plants"),
-    (2, "# Plan\nIntro line\n## Scope\nAll of it\n## Risks\nNone known\nTom will call the bank"),
-    (3, "I think that the cache is too small for this\nNothing here\nwe know the disks are the bottleneck"),
-    (4, "The committee met on Monday in the old hall. Is that so strange to anyone here? Budgets were cut by a third this year. Short one."),
-]
-NOTES_SQL = "notes(id, text) as (values " + ", ".join(f"({i}, '{t}')" for i, t in NOTES).replace("\n", "' || chr(10) || '") + ")"
-LINES_SQL = f"{NOTES_SQL}, l as (select id, generate_subscripts(a, 1) - 1 line_no, unnest(a) line from (select id, string_split(text, chr(10)) a from notes))"
-
-
-def _notes(spark):
-    return spark.createDataFrame(NOTES, "id int, text string")
-
-
-@query("action_items", f"""with {LINES_SQL}, x as (select id, cast(line_no as int) line_no, nullif(trim(regexp_extract(line, '(?i)^\\s*(?:[-*]\\s*)?(?:ACTION|TODO|FIXME)\\s*:\\s*(.+)$', 1)), '') m, nullif(regexp_extract(line, '\\b([A-Z][a-z]+) (?:will|should|needs to) (.+)$', 1), '') o, nullif(regexp_extract(line, '\\b([A-Z][a-z]+) (?:will|should|needs to) (.+)$', 2), '') a from l)
- select id, line_no, coalesce(m, a) action, case when m is null then o end as owner from x where coalesce(m, a) is not null""")
-def actions(spark, d):
-    return T.action_items(_notes(spark), "text", "id")
-
-
-@query("chat_beliefs", f"with {LINES_SQL} select id, cast(line_no as int) line_no, trim(regexp_extract(line, '{T.BELIEVED}', 1)) claim from l where regexp_matches(line, '{T.BELIEVED}')")
-def chat_beliefs(spark, d):
-    return T.chat_beliefs(_notes(spark), "text", "id")
-
-
 @query("news_claims", """with s as (select doc_id, list_slice(list_filter(list_transform(string_split(replace(text, chr(10), ' '), '.'), lambda x: trim(x)), lambda x: length(x) >= 20 and not ends_with(x, '?') and not starts_with(x, '"')), 1, 20) c from documents)
  select doc_id, cast(generate_subscripts(c, 1) - 1 as int) claim_no, unnest(c) claim from s""")
 def news_claims(spark, d):
     return T.claims(V.table(spark, d, "documents"), "text", "doc_id")
 
 
-@query("alias_discover", "with x as (select unnest(regexp_extract_all(text, '([A-Z][A-Za-z]+(?: [A-Za-z]+)*) \\(([A-Za-z]{2,10})\\)', 1)) a, unnest(regexp_extract_all(text, '([A-Z][A-Za-z]+(?: [A-Za-z]+)*) \\(([A-Za-z]{2,10})\\)', 2)) b from documents) select distinct case when length(a) < length(b) then a else b end alias, case when length(a) < length(b) then b else a end canonical from x")
-def alias_discover(spark, d):
-    return T.aliases_in(V.table(spark, d, "documents"), "text")
-
-
-@query("alias_resolve", "with a as (select 'supplier ' || s_suppkey alias, s_name canonical from supplier), e as (select ' Supplier  ' || l_suppkey || ' ' entity, count(*) n from lineitem group by 1) select canonical, n from e join a on regexp_replace(lower(trim(entity)), '\\s+', ' ', 'g') = alias")
-def alias_resolve(spark, d):
-    a = V.table(spark, d, "supplier").select(V.numbered("supplier ", F.col("s_suppkey")).alias("alias"), F.col("s_name").alias("canonical"))
-    e = V.table(spark, d, "lineitem").groupBy(F.concat(F.lit(" Supplier  "), F.col("l_suppkey").cast("string"), F.lit(" ")).alias("entity")).agg(F.count(F.lit(1)).alias("n"))
-    return e.join(a, T.normal(F.col("entity")) == F.col("alias")).select("canonical", "n")
-
-
 @query("html_strip", "select page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) plain from pages")
 def html(spark, d):
     return V.table(spark, d, "pages").select("page_id", T.without_tags(F.col("html")).alias("plain"))
 
 
-@query("markdown_sections", f"""with {LINES_SQL}, h as (select *, length(regexp_extract(line, '^(#{{1,4}})\\s+(.+)$', 1)) level, regexp_extract(line, '^(#{{1,4}})\\s+(.+)$', 2) title from l), s as (select *, cast(sum((level > 0)::int) over (partition by id order by line_no) as bigint) section from h)
- select id, section, cast(max(level) as int) level, max(title) title, coalesce(string_agg(case when level = 0 then line end, chr(10) order by line_no), '') body from s group by id, section""")
-def sections(spark, d):
-    return T.markdown_sections(_notes(spark), "text", "id")
-
-
 @query("thread_text", "select conv_id, string_agg(role || ': ' || text, chr(10) order by turn) thread_text, count(*) messages, count(distinct role) participants from conversations group by conv_id having count(*) between 2 and 500")
 def thread_text(spark, d):
     return T.threads(V.table(spark, d, "conversations"), "conv_id", "turn", "role", "text")
@@ -681,23 +699,12 @@ def reply_threads(spark, d):
     return T.reply_roots(m, "key", "parent").groupBy("root").agg(F.count(F.lit(1)).alias("messages"))
 
 
-@query("participant_pairs", "with m as (select distinct conv_id, role from conversations) select a.role p1, b.role p2, count(*) conversations from m a join m b on a.conv_id = b.conv_id and a.role < b.role group by all")
-def participants(spark, d):
-    return T.participant_pairs(V.table(spark, d, "conversations"), "conv_id", "role")
-
-
-@query("entity_detect_extract")
-def detect_extract(spark, d):
-    found = T.detected(V.table(spark, d, "documents"), "doc_id", "text", [T.Detector("mail", r"[\w.]+@[\w.]+"), T.Detector("address", r"\b\d+\.\d+\.\d+\.\d+\b"), T.Detector("number", r"\b\d{4,}\b")])
-    named = T.extracted(found, [T.Extractor("host", "host", r"@([\w.]+)", "{group1}", 0.9), T.Extractor("mail", "mail", r".+@.+", "{match_lower}", 0.8), T.Extractor("any", "number", r"\d+", "{entity_type}:{match}", 0.5)])
-    aliases = spark.createDataFrame([("mail0.example.com", "First mail host")], "alias string, canonical string")
-    return T.resolved(named, aliases, "doc_id", "start").select("doc_id", "start", "stop", "detector", "entity", "entity_type", "canonical", "confidence")
-
-
-@query("transcript_blocks")
+@query("transcript_blocks", """with recursive e as (select user_id, event_id, epoch_us(ts) us from events), starts(user_id, f, block) as (select user_id, min(us), 0 from e group by user_id
+ union all select s.user_id, (select min(us) from e where e.user_id = s.user_id and us > s.f + 300000000), s.block + 1 from starts s where exists (select 1 from e where e.user_id = s.user_id and us > s.f + 300000000))
+ select e.user_id, e.event_id, cast(s.block as bigint) block from e asof join starts s on e.user_id = s.user_id and e.us >= s.f""")
 def transcript_blocks(spark, d):
-    e = V.table(spark, d, "events").select("user_id", "event_id", (V.micros(F.col("ts")) / 60_000_000.0).alias("minute"))
-    return T.anchored(e, "user_id", "minute", "event_id", 5.0)
+    e = V.table(spark, d, "events").select("user_id", "event_id", V.micros(F.col("ts")).alias("us"))
+    return T.anchored(e, "user_id", "us", "event_id", 300_000_000)
 
 
 # -- governance ---------------------------------------------------------------------------------
@@ -775,7 +782,7 @@ def provenance(spark, d):
     b = V.beliefs(spark, d)
     events = b.select("subject", V.micros(b.observed_at).alias("at"), F.lit("observed").alias("event"), F.col("source_id").alias("by"))
     items = b.groupBy("subject").agg(F.min(V.micros(b.observed_at)).alias("created_us"), F.min("owner_id").alias("owner_id"))
-    return G.provenance(items, events, "subject").select("subject", F.size("chain").cast("long").alias("events"), F.col("chain")[0]["at"].alias("first_us"))
+    return G.provenance(items, events, "subject").select("subject", "events", F.col("chain")[0]["at"].alias("first_us"))
 
 
 # -- smaller pieces -----------------------------------------------------------------------------
@@ -796,12 +803,6 @@ def edge_search(spark, d):
     return scoring.top(found.select(F.col("vec_id").alias("edge_id"), r6(scoring.cosine(F.col("embedding"), F.col("q"))).alias("score")), "score", "edge_id", 10)
 
 
-@query("latest_snapshot", "with r as (select *, row_number() over (partition by user_id order by ts desc, event_id desc) n from events where event_type = 'purchase') select user_id, epoch_us(ts) taken_us, event_id snapshot_id from r where n = 1")
-def latest_snapshot(spark, d):
-    e = V.table(spark, d, "events").filter("event_type = 'purchase'").withColumn("us", V.micros(F.col("ts")))
-    return e.groupBy("user_id").agg(F.max("us").alias("taken_us"), F.max(F.struct("us", "event_id"))["event_id"].alias("snapshot_id"))
-
-
 @query("procedure_text", "select p_partkey, p_name || chr(10) || p_type || chr(10) || 'Trigger: ' || p_brand || chr(10) || 'Step 1: pick' || chr(10) || 'Step 2: pack' body from part")
 def procedure_text(spark, d):
     steps = F.transform(F.array(F.lit("pick"), F.lit("pack")), lambda s, i: F.concat(F.lit("Step "), (i + 1).cast("string"), F.lit(": "), s))
@@ -815,17 +816,6 @@ def decision_payload(spark, d):
     return o.select("o_orderkey", F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("status"))).alias("payload"))
 
 
-@query("causal_patterns", "select doc_id, right(trim(string_split(text, ' the ')[1]), 100) cause, left(trim(substr(text, strpos(text, ' the ') + 5)), 100) effect from documents where contains(text, ' the ')")
-def causal(spark, d):
-    docs = V.table(spark, d, "documents")
-    return docs.select("doc_id", R.causal_split(F.col("text"), [" the "]).alias("p")).filter("p is not null").select("doc_id", "p.cause", "p.effect")
-
-
-@query("correlations", "with m as (select distinct conv_id, role from conversations) select a.role a, b.role b, count(*) weight, round(least(0.9, 0.4 + 0.1 * count(*)), 6) confidence from m a join m b on a.conv_id = b.conv_id and a.role < b.role group by 1, 2 having count(*) >= 2")
-def correlations(spark, d):
-    return R.correlations(V.table(spark, d, "conversations"), "conv_id", "role")
-
-
 @query("tumbling_windows", "select epoch_us(time_bucket(interval 1 hour, ts)) start_us, event_type, count(*) n from events group by all")
 def tumbling(spark, d):
     w = V.table(spark, d, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
@@ -850,9 +840,3 @@ def causal_edges(spark, d):
     e = V.table(spark, d, "events")
     parent = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     return e.select(parent.alias("parent"), F.col("event_id").alias("child")).filter("parent is not null")
-
-
-@query("transcript_minutes", "select doc_id, round(cast(doc_id % 7 as double) * 60 + 5 + doc_id % 50 / 60, 6) as minutes from documents")
-def minutes(spark, d):
-    stamp = F.format_string("%d:05:%02d", F.col("doc_id") % 7, F.col("doc_id") % 50)
-    return V.table(spark, d, "documents").select("doc_id", r6(temporal.clock_minutes(stamp)).alias("minutes"))

@@ -2,13 +2,34 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorebase.storage import materialise
 
-def by_entity(beliefs: DataFrame, entity: str) -> DataFrame:
-    """Beliefs with the entity as subject or object, by exact case."""
-    return beliefs.filter((F.col("subject") == entity) | (F.col("object") == entity))
+
+def by_entity(beliefs: DataFrame, entity: str, each: int | None = None, key: str = "belief_id") -> DataFrame:
+    """Beliefs with the entity as subject or object, by exact case, each once.
+
+    each: at most so many on either side, subjects first; then with the column ``place``.
+    """
+    named = beliefs.filter((F.col("subject") == entity) | (F.col("object") == entity))
+    if each is None:
+        return named
+    side = F.when(F.col("subject") == entity, 0).otherwise(1)
+    best = named.withColumn("_side", side).withColumn("place", F.row_number().over(Window.partitionBy("_side").orderBy(key)))
+    return best.filter(F.col("place") <= each).withColumn("place", F.col("place") + F.col("_side") * each).drop("_side")
+
+
+def scan(triples: DataFrame, subject: str | None = None, object_: str | None = None, least: float = 0.0, k: int = 100, key: str = "belief_id") -> DataFrame:
+    """Triples by subject, object and least probability (null counts as 1), the k most probable."""
+    sure = F.coalesce("confidence", F.lit(1.0))
+    out = triples.filter(sure >= least)
+    out = out if subject is None else out.filter(F.col("subject") == subject)
+    out = out if object_ is None else out.filter(F.col("object") == object_)
+    return out.orderBy(sure.desc(), key).limit(k)
 
 
 def contradiction_groups(beliefs: DataFrame) -> DataFrame:
@@ -24,7 +45,7 @@ def contradiction_pairs(beliefs: DataFrame) -> DataFrame:
     """
     side = lambda p: beliefs.select(F.lower("subject").alias("s"), F.lower("predicate").alias("p"), F.col("belief_id").alias(f"{p}_id"), F.lower("object").alias(f"{p}_object"), F.col("confidence").alias(f"{p}_confidence"))
     pairs = side("a").join(side("b"), ["s", "p"]).filter("a_id < b_id and a_object != b_object")
-    score = F.greatest(F.lit(0.0), F.col("a_confidence") + F.col("b_confidence") - 1)
+    score = contradiction_score(F.col("a_confidence"), F.col("b_confidence"))
     return pairs.select("a_id", "b_id", F.col("s").alias("subject"), score.alias("score"))
 
 
@@ -51,13 +72,18 @@ def best_inferred(inferred: DataFrame) -> DataFrame:
 
 
 def backward_counts(beliefs: DataFrame, fresh: DataFrame) -> DataFrame:
-    """What new beliefs say of each old one: same statement, another object, or a statement about its object."""
+    """What new beliefs say of each old one: same statement, another object, or a statement about its object.
+
+    New beliefs are counted by statement first; all that an old one needs of a subject and
+    predicate is their number and how many name its own object.
+    """
     old = beliefs.select("belief_id", F.lower("subject").alias("s"), F.lower("predicate").alias("p"), F.lower("object").alias("o"))
-    new = fresh.select(F.lower("subject").alias("s"), F.lower("predicate").alias("p"), F.lower("object").alias("no"))
-    same = old.join(new, ["s", "p"]).groupBy("belief_id").agg(F.count_if(F.col("o") == F.col("no")).alias("confirmed"), F.count_if(F.col("o") != F.col("no")).alias("denied"))
-    about = old.join(new.groupBy(F.col("s").alias("o")).agg(F.count(F.lit(1)).alias("n")), "o").select("belief_id", F.col("n").alias("about"))
-    out = same.join(about, "belief_id", "full_outer")
-    return out.select("belief_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("confirmed", "denied", "about")])
+    said = fresh.groupBy(F.lower("subject").alias("s"), F.lower("predicate").alias("p"), F.lower("object").alias("o")).agg(F.count(F.lit(1)).alias("n"))
+    every = said.groupBy("s", "p").agg(F.sum("n").alias("every"))
+    about = said.groupBy(F.col("s").alias("o")).agg(F.sum("n").alias("about"))
+    out = old.join(every, ["s", "p"], "left").join(said.withColumnRenamed("n", "confirmed"), ["s", "p", "o"], "left").join(about, "o", "left")
+    out = out.select("belief_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("confirmed", "every", "about")]).filter("every + about > 0")
+    return out.select("belief_id", "confirmed", (F.col("every") - F.col("confirmed")).alias("denied"), "about")
 
 
 def exclusive(a: Column, b: Column) -> Column:
@@ -70,12 +96,29 @@ def exclusive(a: Column, b: Column) -> Column:
 
 
 def judged(candidates: DataFrame, beliefs: DataFrame) -> DataFrame:
-    """Candidates against beliefs on the same subject and predicate: how many support and contradict each."""
+    """Candidates against beliefs on the same subject and predicate: how many support and contradict each.
+
+    Beliefs are counted by statement and candidates met by statement, so a pair is made for each
+    two different statements and not for each two rows.
+    """
     c = candidates.select("candidate_id", F.lower("subject").alias("s"), F.lower("predicate").alias("p"), F.lower("object").alias("co"))
-    b = beliefs.select(F.lower("subject").alias("s"), F.lower("predicate").alias("p"), F.lower("object").alias("bo"))
-    both = c.join(b, ["s", "p"], "left")
+    b = beliefs.groupBy(F.lower("subject").alias("s"), F.lower("predicate").alias("p"), F.lower("object").alias("bo")).agg(F.count(F.lit(1)).alias("n"))
+    both = c.select("s", "p", "co").distinct().join(b, ["s", "p"])
     support = F.contains("co", F.col("bo")) | F.contains("bo", F.col("co"))
-    return both.groupBy("candidate_id").agg(F.count_if(support).alias("supports"), F.count_if(exclusive(F.col("co"), F.col("bo")) & ~support).alias("contradicts"))
+    against = exclusive(F.col("co"), F.col("bo")) & ~support
+    verdicts = both.groupBy("s", "p", "co").agg(F.sum(F.when(support, F.col("n")).otherwise(0)).alias("supports"), F.sum(F.when(against, F.col("n")).otherwise(0)).alias("contradicts"))
+    out = c.join(verdicts, ["s", "p", "co"], "left")
+    return out.select("candidate_id", *[F.coalesce(k, F.lit(0)).alias(k) for k in ("supports", "contradicts")])
+
+
+def conflicts(ranked: DataFrame) -> DataFrame:
+    """Pairs of a bounded result set that contradict each other."""
+    return contradiction_pairs(ranked).select("a_id", "b_id", "subject")
+
+
+def contradiction_score(one: Column, two: Column) -> Column:
+    """How far two exclusive statements are held at once: what their probabilities exceed 1 by."""
+    return F.greatest(F.lit(0.0), one + two - 1)
 
 
 def knowledge_proof(ranked: DataFrame, by_status: str = "status") -> DataFrame:
@@ -87,6 +130,30 @@ def knowledge_proof(ranked: DataFrame, by_status: str = "status") -> DataFrame:
     ).crossJoin(F.broadcast(split))
 
 
+def full_proof(ranked: DataFrame, as_of: str, key: str = "belief_id", **how) -> DataFrame:
+    """:func:`knowledge_proof` of a bounded result set with each belief's validity, the evidence for and against, and the mean of what confidence is left."""
+    from lorebase.functions import temporal
+
+    v = temporal.validity(F.col("confidence"), F.col("observed_at"), F.col("valid_from"), F.col("valid_until"), F.col("ttl_seconds"), as_of, **how)
+    judged_ = ranked.withColumn("_v", v)
+    more = judged_.agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key), F.col("_v.reason"))))).alias("validity"), F.count_if("_v.is_valid").alias("valid"),
+        F.avg("_v.confidence").alias("mean_left"), F.count_if(F.col("status") == "validated").alias("evidence_for"), F.count_if(F.col("status") != "validated").alias("evidence_against"),
+    )
+    return knowledge_proof(ranked).crossJoin(F.broadcast(more))  # both are one row
+
+
+def brief(facts: DataFrame, precedents: DataFrame, unsure: float = 0.5) -> DataFrame:
+    """One row: facts found, those that are unsure, their mean confidence and entropy, and earlier decisions."""
+    f = facts.agg(F.count(F.lit(1)).alias("facts"), F.count_if(F.col("confidence") < unsure).alias("uncertain"), F.round(F.avg("confidence"), 6).alias("avg_confidence"), F.round(F.avg(1 - F.col("confidence")), 6).alias("avg_uncertainty"))
+    return f.crossJoin(F.broadcast(precedents.agg(F.count(F.lit(1)).alias("precedents"))))  # both are one row
+
+
+def snapshot(beliefs: DataFrame, chosen: DataFrame, snapshot_id: str, key: str = "belief_id") -> DataFrame:
+    """An immutable copy of the chosen beliefs, to be appended to a snapshot table."""
+    return beliefs.join(chosen.select(key).distinct(), key, "left_semi").withColumn("snapshot_id", F.lit(snapshot_id))
+
+
 def verdict(claims: DataFrame) -> Column:
     """Of the columns contradictions, best (confidence or null): what is known of a claim."""
     return (
@@ -115,8 +182,10 @@ def as_of_join(left: DataFrame, history: DataFrame, key: str, left_at: str, at:
 
 
 def drift(assumptions: DataFrame, now: DataFrame, threshold: float = 0.2) -> DataFrame:
-    """Decisions whose critical assumptions have moved by more than threshold: assumption's subject against its confidence now."""
-    moved = assumptions.filter("critical").join(now.select("subject", F.col("confidence").alias("confidence_now")), "subject")
+    """Active decisions whose critical assumptions have moved by more than threshold: assumption's subject against its confidence now."""
+    held = assumptions.filter("critical")
+    held = held.filter(F.col("status") == "active") if "status" in held.columns else held
+    moved = held.join(now.select("subject", F.col("confidence").alias("confidence_now")), "subject")
     moved = moved.withColumn("drift", F.abs(F.col("confidence_now") - F.col("confidence_then")))
     return moved.groupBy("decision_id").agg(F.max("drift").alias("max_drift")).filter(F.col("max_drift") > threshold).withColumn("status", F.lit("revisit_suggested"))
 
@@ -129,23 +198,58 @@ def bayes(prior: Column, confirmed: Column, denied: Column) -> Column:
     return F.struct(mean.alias("mean"), F.greatest(F.lit(0.0), mean - half).alias("low"), F.least(F.lit(1.0), mean + half).alias("high"))
 
 
+def sampled_update(prior: Column, confirmed: Column, denied: Column, draws: int = 2000, seed: int = 5) -> Column:
+    """(mean, low, high) of the posterior by sampling, its quantiles at 2.5 % and 97.5 %; equal inputs give equal results.
+
+    The posterior is a Beta distribution, drawn as a ratio of two gamma sums, in the JVM's own
+    random numbers, seeded by the row's inputs.
+    """
+
+    @F.pandas_udf("mean double, low double, high double")
+    def draw(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x, y in zip(a, b, strict=True):
+            rng = np.random.default_rng([seed, int(round(x * 1e6)), int(round(y * 1e6))])
+            sample = rng.beta(x, y, draws) if x > 0 and y > 0 else np.full(draws, float(x > 0))
+            rows.append((sample.mean(), *np.quantile(sample, [0.025, 0.975])))
+        return pd.DataFrame(rows, columns=["mean", "low", "high"])
+
+    return draw((2 * prior + confirmed).cast("double"), (2 * (1 - prior) + denied).cast("double"))
+
+
+#: Words that turn a statement round (fixed values).
+NEGATIONS = ("not", "no", "never", "incorrect", "wrong", "false")
+
+
 def cross_reference(internal: DataFrame, external: DataFrame, least: float = 0.3) -> DataFrame:
     """Texts of two sides that share words: shared / smaller > least; agreement unless just one side negates.
 
-    Texts meet on words, not all with all: each text keeps its words as rows, pairs are counted by shared word.
+    A pair shares more than ``least`` of the smaller text's words, so, with words in order of
+    rarity, one of the smaller text's rarest is among them: all but the commonest ``least`` of a
+    text's words look for larger texts that have them.  What is in every text pairs nobody.
     """
-    lexicon = ["not", "no", "never", "incorrect", "wrong", "false"]
 
-    def side(df: DataFrame, p: str) -> DataFrame:
+    def side(df: DataFrame) -> DataFrame:
         words = F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != ""))
-        return df.select(F.col("id").alias(f"{p}_id"), words.alias("w"), F.size(words).alias(f"{p}_n"), F.exists(words, lambda w: w.isin(lexicon)).alias(f"{p}_neg"))
-
-    a, b = side(internal, "a"), side(external, "b")
-    shared = a.withColumn("word", F.explode("w")).drop("w").join(b.withColumn("word", F.explode("w")).drop("w"), "word")
-    pairs = shared.groupBy("a_id", "b_id", "a_n", "b_n", "a_neg", "b_neg").agg(F.count(F.lit(1)).alias("n"))
-    overlap = F.col("n") / F.least("a_n", "b_n")
-    kind = F.when(F.col("a_neg") != F.col("b_neg"), "contradict").otherwise("agree")
-    return pairs.withColumn("overlap", F.round(overlap, 6)).filter(overlap > least).select("a_id", "b_id", "overlap", kind.alias("kind"))
+        return df.select("id", words.alias("w")).filter(F.size("w") > 0)
+
+    a, b = side(internal), side(external)
+    listed = a.select(F.explode("w").alias("word")).unionByName(b.select(F.explode("w").alias("word")))
+    rarity = listed.groupBy("word").agg(F.count(F.lit(1)).alias("f"))
+
+    def ordered(df: DataFrame, p: str) -> DataFrame:
+        each = df.select("id", F.explode("w").alias("word")).join(rarity, "word").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "word")))["word"].alias("w"))
+        return materialise(each.select(F.col("id").alias(f"{p}_id"), F.col("w").alias(f"{p}_w"), F.size("w").alias(f"{p}_n")), "cross-reference")
+
+    a, b = ordered(a, "a"), ordered(b, "b")
+    few = lambda p: F.explode(F.slice(f"{p}_w", F.lit(1), F.col(f"{p}_n") - F.floor(F.lit(least) * F.col(f"{p}_n")).cast("int"))).alias("word")
+    all_ = lambda p: F.explode(f"{p}_w").alias("word")
+    pairs = a.select("a_id", "a_n", few("a")).join(b.select("b_id", "b_n", all_("b")), "word").filter("a_n <= b_n").select("a_id", "b_id")
+    pairs = pairs.unionByName(b.select("b_id", "b_n", few("b")).join(a.select("a_id", "a_n", all_("a")), "word").filter("b_n < a_n").select("a_id", "b_id")).distinct()
+    full = pairs.join(a, "a_id").join(b, "b_id")
+    overlap = F.size(F.array_intersect("a_w", "b_w")) / F.least("a_n", "b_n")
+    negates = lambda p: F.exists(f"{p}_w", lambda w: w.isin(*NEGATIONS))
+    return full.withColumn("o", overlap).filter(F.col("o") > least).select("a_id", "b_id", F.round("o", 6).alias("overlap"), F.when(negates("a") != negates("b"), "contradict").otherwise("agree").alias("kind"))
 
 
 def candidate_confidence(confidence: Column, evidence: Column, occurrences: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorebase.storage import materialise
@@ -25,14 +25,18 @@ def directed(edges: DataFrame, direction: str) -> DataFrame:
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(start, node, depth): all nodes within reach of each start, at their least depth. Level by level; visited nodes are left out."""
+    """(start, node, depth): all nodes within reach of each start, at their least depth.
+
+    Level by level; each level is written, so that the next one reads what was visited instead of
+    working it out again.
+    """
     e = edges.select("src", "dst").distinct()
     reached = seeds.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth")).distinct()
     frontier = reached
     for level in range(1, depth + 1):
         step = frontier.join(e, frontier.node == e.src).select("start", F.col("dst").alias("node")).distinct()
         frontier = step.join(reached.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(level))
-        if level % CUT == 0:
+        if level < depth:
             frontier = materialise(frontier, "bfs")
         reached = reached.unionByName(frontier)
     return reached
@@ -50,34 +54,71 @@ def paths(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return out
 
 
-def shortest(edges: DataFrame, start: DataFrame, end: str, depth: int = 5) -> DataFrame:
-    """The shortest of the simple paths to a node; on a tie the most trusted, then the first by name."""
-    found = paths(edges, start, depth).filter(F.col("last") == end)
-    return found.orderBy("length", F.col("confidence").desc(), F.array_join("nodes", ">")).limit(1)
+def shortest(edges: DataFrame, start: DataFrame, end: str | DataFrame, depth: int = 5, least: float = 0.0) -> DataFrame:
+    """The shortest path from the starts to a node (or one of a column ``node``) over edges of at least some confidence.
+
+    On a tie the most trusted, then the first by name.  Breadth first: a node keeps the best of the
+    paths that first reach it, so a level has a row for each node and not one for each path.
+    """
+    e = edges.filter(F.col("confidence") >= least).groupBy("src", "dst").agg(F.max("confidence").alias("c"))
+    ends = edges.sparkSession.createDataFrame([(end,)], "node string") if isinstance(end, str) else end.select("node").distinct()
+    level = start.select("node", F.array("node").alias("nodes"), F.lit(0).alias("length"), F.lit(1.0).alias("confidence")).dropDuplicates(["node"])
+    visited = level.select("node")
+    for n in range(depth + 1):
+        level = materialise(level, "shortest")
+        found = level.join(ends, "node", "left_semi")
+        if n == depth or not found.isEmpty():
+            break
+        step = level.join(e, level.node == e.src).select(F.col("dst").alias("node"), F.array_append("nodes", F.col("dst")).alias("nodes"), (F.col("length") + 1).alias("length"), (F.col("confidence") * F.col("c")).alias("confidence"))
+        step = step.join(visited, "node", "left_anti")
+        best = Window.partitionBy("node").orderBy(F.col("confidence").desc(), F.array_join("nodes", ">"))
+        level = step.withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r")
+        visited = visited.unionByName(level.select("node"))
+    return found.orderBy("length", F.col("confidence").desc(), F.array_join("nodes", ">")).limit(1).select("nodes", F.col("node").alias("last"), "length", "confidence")
 
 
 def all_paths(edges: DataFrame, start: DataFrame, end: str, depth: int = 5, limit: int = 10) -> DataFrame:
-    found = paths(edges, start, depth).filter(F.col("last") == end)
+    """The first simple paths to a node by length and confidence.
+
+    Only edges that lie on a way of at most ``depth`` edges from a start to the end are followed:
+    steps from the start to the edge, the edge, and steps from there to the end.
+    """
+    ends = edges.sparkSession.createDataFrame([(end,)], "node string")
+    forth = bfs(edges, start, depth).groupBy("node").agg(F.min("depth").alias("f"))
+    back = bfs(directed(edges, "in"), ends, depth).select("node", F.col("depth").alias("b"))
+    useful = edges.join(forth, edges.src == forth.node).drop("node").join(back, F.col("dst") == back.node).filter(F.col("f") + 1 + F.col("b") <= depth)
+    found = paths(materialise(useful.select(*edges.columns), "path-edges"), start, depth).filter(F.col("last") == end)
     return found.orderBy("length", F.col("confidence").desc(), F.array_join("nodes", ">")).limit(limit)
 
 
-def profile(edges: DataFrame, entities: DataFrame) -> DataFrame:
-    """Of each entity (column node): mentions, mean confidence, edges in and out, best related entity."""
-    ends = edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), "confidence", F.lit(1).alias("out")).unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("other"), "confidence", F.lit(0).alias("out")))
+def profile(edges: DataFrame, entities: DataFrame, at: str | None = None) -> DataFrame:
+    """Of each entity (column node): mentions, mean confidence, edges in and out, best related entity, contradicted statements.
+
+    at: a column with an edge's time, for the first and last mention.
+    """
+    time = [F.col(at).alias("at")] if at else []
+    ends = edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), "confidence", "edge_type", F.lit(1).alias("out"), *time)
+    ends = ends.unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("other"), "confidence", "edge_type", F.lit(0).alias("out"), *time))
     mine = ends.join(entities, "node", "left_semi")
-    return mine.groupBy("node").agg(
+    said = mine.filter("out = 1").groupBy("node", F.lower("edge_type").alias("p")).agg(F.count_distinct(F.lower("other")).alias("o")).groupBy("node").agg(F.count_if(F.col("o") > 1).alias("contradicted"))
+    out = mine.groupBy("node").agg(
         F.count(F.lit(1)).alias("mentions"), F.round(F.avg("confidence"), 6).alias("avg_confidence"), F.sum("out").alias("out_edges"), (F.count(F.lit(1)) - F.sum("out")).alias("in_edges"),
-        F.count_distinct("other").alias("related"), F.max(F.struct("confidence", "other"))["other"].alias("closest"),
+        F.count_distinct("other").alias("related"), F.max(F.struct("confidence", "other"))["other"].alias("closest"), *([F.min("at").alias("first_at"), F.max("at").alias("last_at")] if at else []),
     )
+    return out.join(said, "node", "left").withColumn("contradicted", F.coalesce("contradicted", F.lit(0)))
 
 
-def compared(edges: DataFrame, one: str, two: str) -> DataFrame:
-    """Neighbours of two nodes: shared, or of one alone."""
+def compared(edges: DataFrame, one: str, two: str, own: int | None = None) -> DataFrame:
+    """Neighbours of two nodes: shared, of one alone (the first ``own``), and whether they are neighbours themselves (direct)."""
     near = both_ways(edges)
     a = near.filter(F.col("src") == one).select(F.lower("dst").alias("node")).distinct().withColumn("a", F.lit(True))
     b = near.filter(F.col("src") == two).select(F.lower("dst").alias("node")).distinct().withColumn("b", F.lit(True))
-    kind = F.when(F.col("a") & F.col("b"), "shared").when(F.col("a"), "first").otherwise("second")
-    return a.join(b, "node", "full_outer").select("node", kind.alias("kind"))
+    kind = F.when(F.col("node").isin(one.lower(), two.lower()), "direct").when(F.col("a") & F.col("b"), "shared").when(F.col("a"), "first").otherwise("second")
+    out = a.join(b, "node", "full_outer").select("node", kind.alias("kind"))
+    if own is None:
+        return out
+    few = F.row_number().over(Window.partitionBy("kind").orderBy("node"))
+    return out.withColumn("_n", few).filter((F.col("_n") <= own) | F.col("kind").isin("shared", "direct")).drop("_n")
 
 
 def common_ancestors(edges: DataFrame, entities: list[str], depth: int = 3) -> DataFrame:
@@ -144,8 +185,64 @@ def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     return labels.select("node", F.col("label").alias("community"))
 
 
+def louvain(edges: DataFrame, rounds: int = 6, levels: int = 3, resolution: float = 1.0) -> DataFrame:
+    """(node, community): communities of high modularity, by parallel local moves and contraction.
+
+    In a round the nodes of one half (by a hash, the halves take turns) each move to the community
+    nearby that gains most: weight to it, less ``resolution`` times what chance would give, both
+    without the node itself.  Ties go to the smaller name.  After a level, communities become
+    nodes.  Edges are undirected; repeated ones add up.
+    """
+    pairs = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).filter("a != b")
+    near = both_ways(pairs.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.count(F.lit(1)).cast("double").alias("w")))
+    near, member = materialise(near, "louvain-edges"), None
+    total = near.agg(F.sum("w").alias("w")).first()["w"] or 0.0  # twice the weight of all edges
+    for level in range(levels):
+        degree = materialise(near.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")), "louvain-degrees")
+        labels = degree.withColumn("label", F.col("node"))
+        for i in range(rounds):
+            half = F.pmod(F.xxhash64("node"), F.lit(2)) == i % 2
+            sums = labels.groupBy("label").agg(F.sum("k").alias("t"))
+            # A loop is weight within a node; it stays with the node wherever it goes.
+            ways = near.filter("src != dst").join(labels.select(F.col("node").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node"), "label").agg(F.sum("w").alias("w"))
+            home = labels.select("node", "label").withColumn("w", F.lit(0.0))
+            choice = ways.unionByName(home).groupBy("node", "label").agg(F.sum("w").alias("w")).join(sums, "label").join(labels.select("node", "k", F.col("label").alias("now")), "node")
+            rest = F.col("t") - F.when(F.col("label") == F.col("now"), F.col("k")).otherwise(0.0)
+            gain = F.round(F.col("w") - resolution * F.col("k") * rest / total, 9)
+            stay = (F.col("label") == F.col("now")).cast("int")
+            best = choice.groupBy("node").agg(F.min(F.struct((-gain).alias("g"), (1 - stay).alias("s"), "label"))["label"].alias("best"))
+            labels = materialise(labels.join(best, "node").select("node", "k", F.when(half, F.col("best")).otherwise(F.col("label")).alias("label")), "louvain-labels")
+        step = labels.select("node", "label")
+        member = step if member is None else member.join(step.withColumnsRenamed({"node": "label", "label": "up"}), "label").select("node", F.col("up").alias("label"))
+        member = materialise(member, "louvain-members")
+        if step.filter("node != label").isEmpty():
+            break
+        to, of = step.select(F.col("node").alias("dst"), F.col("label").alias("to")), step.select(F.col("node").alias("src"), F.col("label").alias("of"))
+        near = materialise(near.join(of, "src").join(to, "dst").groupBy(F.col("of").alias("src"), F.col("to").alias("dst")).agg(F.sum("w").alias("w")), "louvain-edges")
+    return member.select("node", F.col("label").alias("community"))
+
+
+def modularity(edges: DataFrame, member: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """One row: how much more weight lies within communities than chance would put there."""
+    pairs = both_ways(edges.select("src", "dst").filter("src != dst"))
+    m = member.select(F.col("node").alias("src"), F.col("community").alias("c1")), member.select(F.col("node").alias("dst"), F.col("community").alias("c2"))
+    every = pairs.join(m[0], "src").join(m[1], "dst")
+    by = every.groupBy("c1").agg(F.count(F.lit(1)).alias("t"), F.count_if(F.col("c1") == F.col("c2")).alias("inside"))
+    total = F.broadcast(every.agg(F.count(F.lit(1)).alias("n")))  # one row
+    return by.crossJoin(total).agg(F.sum(F.col("inside") / F.col("n") - resolution * F.pow(F.col("t") / F.col("n"), 2)).alias("modularity"))
+
+
+def clusters(member: DataFrame, most: int = 20) -> DataFrame:
+    """(community, members, links): sizes, and how many pairs their first ``most`` members form."""
+    n = F.least(F.col("members"), F.lit(most))
+    return member.groupBy("community").agg(F.count(F.lit(1)).alias("members")).withColumn("links", (n * (n - 1) / 2).cast("long"))
+
+
 def cooccurrences(members: DataFrame, group: str, item: str) -> DataFrame:
-    """(a, b, weight): in how many groups two items are met together, a < b; repeated members of a group count once."""
+    """(a, b, weight): in how many groups two items are met together, a < b; repeated members of a group count once.
+
+    Groups are sessions, orders, conversations: bounded by what one is.
+    """
     m = members.select(group, item).distinct()
     a, b = m.withColumnRenamed(item, "a"), m.withColumnRenamed(item, "b")
     return a.join(b, group).filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
@@ -170,6 +267,8 @@ class GraphQuery:
     least: float = 0.0
     predicate: Column | None = None
     most: int | None = None
+    kinds: tuple[str, ...] = ()
+    nodes: DataFrame | None = None
 
     def start(self, *entities: str) -> GraphQuery:
         return replace(self, starts=self.starts + entities)
@@ -177,8 +276,9 @@ class GraphQuery:
     def traverse(self, *types: str, direction: str = "out", depth: int = 1) -> GraphQuery:
         return replace(self, types=types, direction=direction, depth=depth)
 
-    def filter(self, least: float = 0.0, predicate: Column | None = None) -> GraphQuery:
-        return replace(self, least=least, predicate=predicate)
+    def filter(self, least: float = 0.0, predicate: Column | None = None, node_types: tuple[str, ...] = (), nodes: DataFrame | None = None) -> GraphQuery:
+        """node_types: kinds of node to return, as (node, node_type) of ``nodes`` says; any node may be passed through."""
+        return replace(self, least=least, predicate=predicate, kinds=node_types, nodes=nodes)
 
     def limit(self, n: int) -> GraphQuery:
         return replace(self, most=n)
@@ -193,8 +293,20 @@ class GraphQuery:
 
     def execute(self) -> DataFrame:
         found = bfs(self._edges(), self._seeds(), self.depth)
+        if self.kinds:
+            found = found.join(self.nodes.filter(F.col("node_type").isin(*self.kinds)).select("node").distinct(), "node", "left_semi")
         found = found.filter(self.predicate) if self.predicate is not None else found
         return found if self.most is None else found.orderBy("depth", "node", "start").limit(self.most)
 
+    def invoke(self, action: str, **how) -> DataFrame:
+        """The traversals by name, for tools: traverse, paths, shortest, profile, compare."""
+        known = {
+            "traverse": lambda: self.execute(), "paths": lambda: self.with_paths(), "shortest": lambda end: shortest(self._edges(), self._seeds(), end, self.depth),
+            "profile": lambda: profile(self._edges(), self._seeds()), "compare": lambda: compared(self._edges(), *self.starts),
+        }
+        if action not in known:
+            raise ValueError(f"unknown action {action!r}; there are {', '.join(known)}")
+        return known[action](**how)
+
     def with_paths(self) -> DataFrame:
         return paths(self._edges(), self._seeds(), self.depth)

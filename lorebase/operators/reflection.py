@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorebase.plans.views import micros
-from lorebase.storage import materialise
+from lorebase.storage import globally_ranked, materialise
 
 
 def gap_sessions(events: DataFrame, by: str, at: str, gap_seconds: int = 1800, least: int = 2) -> DataFrame:
@@ -33,6 +36,26 @@ def entities_in(text: Column) -> Column:
     return F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(CAPITALISED), F.lit(0)), F.regexp_extract_all(text, F.lit(QUOTED), F.lit(1))))
 
 
+#: Keys of an experience's context that name entities, and words that name none (fixed values).
+NAMING = ("entity", "subject", "topic", "user", "name")
+
+
+def all_entities(text: Column, context: Column, tags: Column) -> Column:
+    """Phrases of a text, what its context names, and its tags, each once; context is a map of strings."""
+    named = F.filter(F.transform(F.array(*[F.lit(k) for k in NAMING]), lambda k: context[k]), lambda x: x.isNotNull())
+    return F.array_distinct(F.concat(entities_in(text), F.coalesce(named, F.array().cast("array<string>")), F.coalesce(tags, F.array().cast("array<string>"))))
+
+
+#: Phrases of two capitalised words or more, and single ones of three letters or more.
+PHRASE, SINGLE = r"(?<![A-Za-z0-9_])[A-Z][a-z]++(?:\s++[A-Z][a-z]++(?![A-Za-z0-9_]))++", r"(?<![A-Za-z0-9_])[A-Z][a-z]{2,}+(?![A-Za-z0-9_])"
+
+
+def name_candidates(text: Column, stop_words: Sequence[str]) -> Column:
+    """What may be names in a text, in order: phrases, and single words that are no stop words."""
+    single = F.filter(F.regexp_extract_all(text, F.lit(SINGLE), F.lit(0)), lambda w: ~F.lower(w).isin(list(stop_words)))
+    return F.array_sort(F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(PHRASE), F.lit(0)), single)))
+
+
 def entity_groups(items: DataFrame, key: str, text: str, least: int = 2) -> DataFrame:
     """Inverted index of entities by lower case: how many items name each."""
     named = items.select(key, F.explode(F.array_distinct(F.transform(entities_in(F.col(text)), F.lower))).alias("entity"))
@@ -89,11 +112,50 @@ def consecutive(events: DataFrame, session: str, at: str, key: str, kind: str, l
     return events.select(F.col(kind).alias("first"), F.lead(kind).over(w).alias("then")).filter("then is not null").groupBy("first", "then").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") >= least)
 
 
-def causal_split(text: Column, indicators: list[str]) -> Column:
-    """(cause, effect): the last 100 characters before and the first 100 after the first indicator; null without one."""
-    parts = F.split(text, "|".join(indicators), 2)
-    cause, effect = F.trim(parts[0]), F.trim(F.element_at(parts, 2))
-    return F.when(F.size(parts) == 2, F.struct(F.substring(cause, F.greatest(F.length(cause) - 99, F.lit(1)), F.lit(100)).alias("cause"), F.substring(effect, 1, 100).alias("effect")))
+# What says that one thing came of another, by kind and in order; and how an outcome is told.
+CAUSES = (r"\b(?:because|caused|resulted in|led to|due to|therefore|hence)\b", r"\b(?:made|triggered|enabled|prevented|blocked)\b", r"->\s*")
+GOOD = (r"\b(?:success|worked|completed|solved|fixed|resolved)\b", r"\b(?:good|great|excellent|perfect)\b")
+
+
+def causal_split(text: Column, indicators: Sequence[str] = CAUSES) -> Column:
+    """(cause, effect): up to 100 characters on either side of an indicator, in any case of letters.
+
+    The first kind of indicator that a text has is the one it is parted at; null without one, or
+    if a side is empty.
+    """
+    out = None
+    for p in indicators:
+        parts = F.split(text, f"(?i){p}", 2)
+        cause, effect = F.trim(parts[0]), F.trim(F.try_element_at(parts, F.lit(2)))
+        both = F.struct(F.substring(cause, F.greatest(F.length(cause) - 99, F.lit(1)), F.lit(100)).alias("cause"), F.substring(effect, 1, 100).alias("effect"))
+        found = F.when((cause != "") & (effect != ""), both)
+        out = F.when(text.rlike(f"(?i){p}"), found) if out is None else out.when(text.rlike(f"(?i){p}"), found)
+    return out
+
+
+def causal_patterns(experiences: DataFrame, key: str) -> DataFrame:
+    """Experiences that tell what caused what: the texts on both sides and what they are about."""
+    text = F.concat("content", F.lit(" "), F.coalesce("outcome", F.lit("")))
+    p = experiences.select(key, causal_split(text).alias("p")).filter("p is not null").select(key, "p.cause", "p.effect")
+    return p.withColumns({"subject": subject_of(F.col("cause")), "object": subject_of(F.col("effect")), "confidence": F.lit(0.6)})
+
+
+def fact_patterns(groups: DataFrame, group: str, entity: str, least: int = 2) -> DataFrame:
+    """Entities that at least ``least`` experiences of a group name: (group, entity, size, confidence .5 + .05 min(10, size))."""
+    size = groups.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
+    named = groups.select(group, F.explode(F.array_distinct(F.transform(entity, F.lower))).alias("entity")).groupBy(group, "entity").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    return named.join(size, group).select(group, "entity", "size", F.round(0.5 + 0.05 * F.least(F.lit(10), F.col("size")), 6).alias("confidence"))
+
+
+def catch_all(items: DataFrame, grouped: DataFrame, key: str, group: str, name: str = "all") -> DataFrame:
+    """(key, group): the groups of items, and one more for all items that are in none."""
+    rest = items.join(grouped.select(key), key, "left_anti").select(key, F.lit(name).alias(group))
+    return grouped.select(key, F.col(group).cast("string").alias(group)).unionByName(rest)
+
+
+def link_count(groups: DataFrame, group: str) -> DataFrame:
+    """(group, links): how many pairs a group's members form."""
+    return groups.groupBy(group).agg(F.count(F.lit(1)).alias("n")).select(group, (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("links"))
 
 
 def outcome_generalisation(experiences: DataFrame, by: str, share: float = 0.7, least: int = 3) -> DataFrame:
@@ -111,29 +173,37 @@ def correlations(members: DataFrame, group: str, entity: str, least: int = 2) ->
     return n.withColumn("confidence", F.round(F.least(F.lit(0.9), 0.4 + 0.1 * F.col("weight")), 6))
 
 
-def merged_patterns(patterns: DataFrame) -> DataFrame:
-    """Patterns of one type and statement as one: best confidence, occurrences and evidence (ten at most) together."""
-    w = F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence"))))
-    return patterns.groupBy("type", "subject", "predicate", "object").agg(F.max("confidence").alias("confidence"), F.sum("occurrences").alias("occurrences"), F.slice(w, 1, 10).alias("evidence"))
+def merged_patterns(patterns: DataFrame, most: int = 10) -> DataFrame:
+    """Patterns of one type and statement as one: best confidence, occurrences and evidence (the first ``most``) together."""
+    by = ("type", "subject", "predicate", "object")
+    each = patterns.select(*by, F.explode("evidence").alias("e")).distinct()
+    each = each.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("e"))).filter(F.col("_n") <= most)
+    evidence = each.groupBy(*by).agg(F.array_sort(F.collect_list("e")).alias("evidence"))
+    same = lambda a, b: reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in by])
+    sums = patterns.groupBy(*by).agg(F.max("confidence").alias("confidence"), F.sum("occurrences").alias("occurrences"))
+    return sums.join(evidence, same(sums, evidence), "left").select(*[sums[c] for c in by], "confidence", "occurrences", F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence"))
 
 
-def strength(confidence: Column, occurrences: Column) -> Column:
-    return confidence * (0.5 + 0.5 * F.least(F.lit(1.0), occurrences / 10))
+def candidates(patterns: DataFrame, least: float = 0.5, k: int = 50) -> DataFrame:
+    """Merged patterns as candidate beliefs, the k surest: evidence and occurrences add to a pattern's confidence."""
+    from lorebase.operators.beliefs import candidate_confidence
 
+    c = candidate_confidence(F.col("confidence"), F.size("evidence"), F.col("occurrences"))
+    verb = F.when(F.col("type") == "causal", "causes").when(F.col("type") == "temporal", "precedes").when(F.col("type") == "correlation", "correlates with").otherwise(F.col("predicate"))
+    out = patterns.select("type", "subject", verb.alias("predicate"), "object", F.round(c, 6).alias("confidence")).filter(F.col("confidence") >= least)
+    return out.orderBy(F.col("confidence").desc(), "type", "subject", "predicate", "object").limit(k)
 
-def _ranked(scores: DataFrame, best_first: bool) -> tuple[DataFrame, int]:
-    """Scores with their distance from an end, found by counting scores, not by one global sort of all rows."""
-    n = scores.count()
-    counts = scores.groupBy("score").agg(F.count(F.lit(1)).alias("m"))
-    order = Window.orderBy(F.col("score").desc() if best_first else F.col("score"))
-    return counts.withColumn("upto", F.sum("m").over(order)), n
+
+def strength(confidence: Column, occurrences: Column) -> Column:
+    return confidence * (0.5 + 0.5 * F.least(F.lit(1.0), occurrences / 10))
 
 
 def fading(scores: DataFrame, cap: int = 100) -> DataFrame:
-    """(id, score) below the upper median, lowest first, at most ``cap``."""
-    counts, n = _ranked(scores, False)
-    median = counts.filter(F.col("upto") > n // 2).agg(F.min("score").alias("median"))
-    return scores.crossJoin(F.broadcast(median)).filter("score < median").orderBy("score", "id").limit(cap).select("id", "score")  # median is one row
+    """(id, score) below the upper median, lowest first, at most ``cap``; ranks are dealt out by range of score."""
+    ranked = globally_ranked(scores, F.col("score"), F.col("id"))
+    middle = F.broadcast(scores.agg((F.floor(F.count(F.lit(1)) / 2) + 1).alias("_m")))  # one row
+    median = F.broadcast(ranked.crossJoin(middle).filter(F.col("rank") == F.col("_m")).agg(F.min("score").alias("median")))  # one row
+    return scores.crossJoin(median).filter("score < median").orderBy("score", "id").limit(cap).select("id", "score")
 
 
 def strongest(scores: DataFrame, cap: int = 50) -> DataFrame:
