@@ -3,13 +3,15 @@
 1.  Every task reads its documents into *frequency blocks* of about ``BLOCK_BYTES`` of text: the
     distinct pre-tokens of the block, and for each document which of them it has and how often.
     A block is one row of a written table; no text is shuffled.
-2.  Each distinct pre-token of the corpus is counted once: blocks list theirs, the lists are made
-    distinct, and the library says how many pieces each has.
-3.  The counts are joined to the blocks' lists, go back by block, and are summed by document with
-    the frequencies as weights.
+2.  Blocks send their lists of pre-tokens in parcels, one for each slice of a hash of the
+    pre-token.  In a slice each distinct pre-token of the corpus is counted once, by the library,
+    and the count is joined to every block that lists it.
+3.  The counts go back by block and are summed by document with the frequencies as weights.
 
 A row for each document and pre-token would be more bytes than the documents have; a block
-lists a pre-token once for all its documents, so that is what travels.
+lists a pre-token once for all its documents, so that is what travels, packed.  A slice holds
+about ``SLICE_BYTES`` of text's worth of lists, whatever the size of the corpus, and no pre-token
+has more than one entry from each block.
 
 Vocabularies that are not split into pre-tokens by the format known here (other normalizers,
 ``.model`` files) have no pre-tokens to count; whole texts are counted, each as one.
@@ -31,23 +33,31 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorebase.llm.arrow import id_and_text, slices
+from lorebase.llm.blocks import blocks_for
 from lorebase.storage import materialise
 
 #: Bytes of text in a frequency block, and pre-tokens that go to the library at once.
-BLOCK_BYTES, BATCH = 12_000_000, 20_000
+BLOCK_BYTES, BATCH = 24_000_000, 20_000
+#: Bytes of text whose lists a slice of the hash takes in.
+SLICE_BYTES = 8_000_000
 #: How byte-level BPE vocabularies of this family split a text (a fixed value of the format).
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Code points from here on may be newer than the library's tables: such texts go through its own splitter.
 STABLE = regex.compile("[^\x00-ԯ‐-‧]")
 SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
 #: known: whether the id is one; extra: tokens besides those of pre-tokens; starts, codes, times: by document, which pre-tokens (by place in the block's list) how often.
-FREQUENCIES = "block bigint, pieces array<string>, ids binary, known binary, bytes binary, extra binary, starts binary, codes binary, times binary"
-_frequencies = pa.schema([("block", pa.int64()), ("pieces", pa.list_(pa.string())), *[(c.split(" ")[0], pa.binary()) for c in FREQUENCIES.split(", ")[2:]]])
+FREQUENCIES = "block bigint, ids binary, known binary, bytes binary, extra binary, starts binary, codes binary, times binary, parcels array<struct<slice: int, ends: binary, pieces: binary, places: binary>>"
+_parcel = pa.struct([("slice", pa.int32()), ("ends", pa.binary()), ("pieces", pa.binary()), ("places", pa.binary())])
+_frequencies = pa.schema([("block", pa.int64()), *[(c, pa.binary()) for c in ("ids", "known", "bytes", "extra", "starts", "codes", "times")], ("parcels", pa.list_(_parcel))])
+COUNTS = "owner bigint, places binary, n binary"
+_counts = pa.schema([("owner", pa.int64()), ("places", pa.binary()), ("n", pa.binary())])
+_result = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 _loaded: dict[str, "PieceCounter"] = {}
 
 
@@ -112,8 +122,10 @@ class Block:
         place = self.place
         if counter.splits:
             found, extra = counter.frequencies(text)
-            self.codes.append(np.array([place.setdefault(piece, len(place)) for piece in found], np.int32))
-            self.times.append(np.array(list(found.values()), np.int32))
+            codes = np.array([place.setdefault(piece, len(place)) for piece in found], np.int64)
+            order = np.argsort(codes)
+            self.codes.append(np.diff(codes[order], prepend=0))
+            self.times.append(np.array(list(found.values()), np.int64)[order])
         else:
             extra = counter.count([text])[0]
         self.sizes.append(len(found) if counter.splits else 0)
@@ -123,12 +135,29 @@ class Block:
         self.extra.append(extra)
         self.held += size
 
-    def row(self, number: int) -> pa.RecordBatch:
+    def row(self, number: int, slices_: int) -> pa.RecordBatch:
         packed = lambda x, kind: np.array(x, kind).tobytes()
-        joined = lambda x: np.concatenate(x).tobytes() if x else b""
-        starts = np.cumsum([0, *self.sizes])
-        values = [number, list(self.place), packed(self.ids, np.int64), packed(self.known, bool), packed(self.bytes, np.int64), packed(self.extra, np.int64), packed(starts, np.int64), joined(self.codes), joined(self.times)]
-        return pa.RecordBatch.from_pylist([dict(zip(_frequencies.names, values, strict=True))], schema=_frequencies)
+        joined = lambda x: planes(np.concatenate(x)) if x else b""
+        out = {
+            "block": number, "ids": packed(self.ids, np.int64), "known": packed(self.known, bool), "bytes": packed(self.bytes, np.int64), "extra": packed(self.extra, np.int64),
+            "starts": np.cumsum([0, *self.sizes]).tobytes(), "codes": joined(self.codes), "times": joined(self.times), "parcels": [],
+        }
+        pieces = [piece.encode() for piece in self.place]
+        slice_ = np.array([xxhash.xxh64_intdigest(p) % slices_ for p in pieces], np.int32)
+        order = np.argsort(slice_, kind="stable")
+        for group in np.split(order, np.flatnonzero(np.diff(slice_[order])) + 1) if len(order) else ():
+            own = [pieces[i] for i in group.tolist()]
+            out["parcels"].append({"slice": int(slice_[group[0]]), "ends": packed(np.cumsum([len(p) for p in own]), np.int32), "pieces": b"".join(own), "places": packed(group, np.int32)})
+        return pa.RecordBatch.from_pylist([out], schema=_frequencies)
+
+
+def planes(values: np.ndarray) -> bytes:
+    """32-bit integers as all their lowest bytes, then all the next, and so on: small ones leave planes of zeros, which compress to nothing."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
 
 
 def counter(path: str) -> PieceCounter:
@@ -140,6 +169,9 @@ def counter(path: str) -> PieceCounter:
 def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: UTF-8 bytes, tokens, and whether the tokens exceed ``limit``."""
 
+    rows = id_and_text(docs, id_col, text_col)
+    slices_ = blocks_for(docs, text_col, SLICE_BYTES)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, number = Block(), TaskContext.get().partitionId() << 32
         for part in slices(batches):
@@ -147,36 +179,42 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             for doc_id, text, size in zip(ids, texts, sizes, strict=True):
                 block.add(counter(tokenizer_path), doc_id, text, size)
                 if block.held >= block_bytes:
-                    yield block.row(number)
+                    yield block.row(number, slices_)
                     block, number = Block(), number + 1
         if block.ids:
-            yield block.row(number)
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, BATCH):
-                pieces = batch.column(0)[a : a + BATCH]
-                yield pa.record_batch([pieces, pa.array(counter(tokenizer_path).count(pieces.to_pylist()), pa.int32())], names=["piece", "n"])
+            yield block.row(number, slices_)
+
+    def counted(parcels: pa.Table) -> pa.Table:
+        """Each distinct pre-token of a slice once, and its count for every block that lists it."""
+        lists = []
+        for ends, data in zip(parcels.column("ends").to_pylist(), parcels.column("pieces").to_pylist(), strict=True):
+            offsets = np.concatenate([[0], np.frombuffer(ends, np.int32)]).astype(np.int32)
+            lists.append(pa.Array.from_buffers(pa.string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]))
+        coded = pa.concat_arrays(lists).dictionary_encode()
+        own = coded.dictionary.to_pylist()
+        n = np.array([x for a in range(0, len(own), BATCH) for x in counter(tokenizer_path).count(own[a : a + BATCH])], np.uint32)
+        each = np.split(n[coded.indices.to_numpy()], np.cumsum([len(x) for x in lists])[:-1])
+        return pa.table([parcels.column("owner"), parcels.column("places"), pa.array([planes(x) for x in each], pa.binary())], schema=_counts)
 
     def summed(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        for row in left.select([c.split(" ")[0] for c in FREQUENCIES.split(", ") if not c.startswith("pieces")]).to_pylist():
-            own = lambda c, kind: np.frombuffer(row[c], kind)  # noqa: B023, E731
-            n = np.zeros(right.num_rows, np.int64)
-            n[right.column("place").to_numpy()] = right.column("n").to_numpy()
-            sums = np.concatenate([[0], np.cumsum(n[own("codes", np.int32)] * own("times", np.int32))])
-            starts = own("starts", np.int64)
-            tokens = sums[starts[1:]] - sums[starts[:-1]] + own("extra", np.int64)
-            columns = [pa.array(own("ids", np.int64), mask=~own("known", bool)), pa.array(own("bytes", np.int64)), pa.array(tokens), pa.array(tokens > limit)]
-            out.append(pa.table(columns, names=["doc_id", "n_bytes", "n_tokens", "over_limit"]))
-        return pa.concat_tables(out) if out else _result.empty_table()
-
-    blocks = materialise(id_and_text(docs, id_col, text_col).mapInArrow(read, FREQUENCIES), "token-frequencies")
-    listed = blocks.select(F.col("block").alias("owner"), F.posexplode("pieces").alias("place", "piece"))
-    counts = listed.select("piece").distinct().mapInArrow(counted, "piece string, n int")
-    # The distinct pre-tokens grow with the documents; they are met the same way at every size.
-    priced = listed.join(counts.hint("merge"), "piece").select("owner", "place", "n")
-    return blocks.groupBy("block").cogroup(priced.groupBy("owner")).applyInArrow(summed, SCHEMA)
-
-
-_result = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
+        if not left.num_rows:
+            return _result.empty_table()
+        row = left.to_pylist()[0]
+        own = lambda c: np.frombuffer(row[c], np.int64)
+        places = [np.frombuffer(x, np.int32) for x in right.column("places").to_pylist()]
+        n = np.zeros(sum(map(len, places)), np.int64)
+        for at, x in zip(places, right.column("n").to_pylist(), strict=True):
+            n[at] = from_planes(x)
+        starts, steps = own("starts"), from_planes(row["codes"]).astype(np.int64)
+        # Codes are steps from one to the next within a document.
+        codes = np.cumsum(steps)
+        first = starts[:-1][np.diff(starts) > 0]
+        codes -= np.repeat(codes[first] - steps[first], np.diff(starts)[np.diff(starts) > 0])
+        sums = np.concatenate([[0], np.cumsum(n[codes] * from_planes(row["times"]))])
+        tokens = sums[starts[1:]] - sums[starts[:-1]] + own("extra")
+        return pa.table([pa.array(own("ids"), mask=~np.frombuffer(row["known"], bool)), pa.array(own("bytes")), pa.array(tokens), pa.array(tokens > limit)], schema=_result)
+
+    blocks = materialise(rows.mapInArrow(read, FREQUENCIES), "token-frequencies")
+    parcels = blocks.select(F.col("block").alias("owner"), F.explode("parcels").alias("p")).select("owner", "p.*")
+    priced = parcels.groupBy("slice").applyInArrow(counted, COUNTS)
+    return blocks.drop("parcels").groupBy("block").cogroup(priced.groupBy("owner")).applyInArrow(summed, SCHEMA)
