@@ -27,11 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
     return own.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> str:
-    """Write ``df`` as Parquet under the shared folder; where it lies.  The files are removed when the driver's JVM ends."""
+def written(df: DataFrame, label: str, packed: bool = False) -> str:
+    """Write ``df`` as Parquet under the shared folder; where it lies.  The files are removed when the driver's JVM ends.
+
+    packed: values of megabytes that don't compress; they are written as they are, as a codec would
+    hold buffers of their size beside the heap.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lorebase/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression="none" if packed else None)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return path
