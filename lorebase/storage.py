@@ -27,26 +27,25 @@ def shared_dir(spark: SparkSession) -> str:
     return own.rstrip("/")
 
 
-def written(df: DataFrame, label: str, packed: bool = False) -> str:
-    """Write ``df`` as Parquet under the shared folder; where it lies.  The files are removed when the driver's JVM ends.
+def written(df: DataFrame, label: str, codec: str | None = None) -> str:
+    """Write ``df`` as Parquet under the shared folder, by the session's codec or another; where it lies.
 
-    packed: values of megabytes that don't compress; they are written as they are, as a codec would
-    hold buffers of their size beside the heap.
+    The files are removed when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lorebase/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression="none" if packed else None)
+    df.write.parquet(path, compression=codec)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return path
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` under the shared folder and read it back.
 
     Cuts the lineage, keeps exact sizes for the optimiser and survives lost executors.
     """
-    return df.sparkSession.read.schema(df.schema).parquet(written(df, label))
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, label, codec))
 
 
 def globally_ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
