@@ -214,7 +214,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         tokens = sums[starts[1:]] - sums[starts[:-1]] + own("extra")
         return pa.table([pa.array(own("ids"), mask=~np.frombuffer(row["known"], bool)), pa.array(own("bytes")), pa.array(tokens), pa.array(tokens > limit)], schema=_result)
 
-    blocks = materialise(rows.mapInArrow(read, FREQUENCIES), "token-frequencies")
+    blocks = materialise(rows.mapInArrow(read, FREQUENCIES), "token-frequencies", "zstd")
     parcels = blocks.select(F.col("block").alias("owner"), F.explode("parcels").alias("p")).select("owner", "p.*")
     priced = parcels.groupBy("slice").applyInArrow(counted, COUNTS)
     return blocks.drop("parcels").groupBy("block").cogroup(priced.groupBy("owner")).applyInArrow(summed, SCHEMA)
