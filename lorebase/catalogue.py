@@ -710,19 +710,6 @@ def transcript_blocks(spark, d):
 # -- governance ---------------------------------------------------------------------------------
 
 
-def _forget(name, chosen_sql, chosen):
-    @query(f"forget_{name}", with_views("experiences", f"select tenant_id, count(*) n, cast(sum(experience_id) as bigint) ids from experiences where not (owner_id = '7' and ({chosen_sql})) group by 1"))
-    def run(spark, d):
-        left = G.forget(V.experiences(spark, d), chosen(), access.Principal("7", "t3"), "experience_id")
-        return left.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n"), F.sum("experience_id").alias("ids"))
-
-
-_forget("session", "session_id = 7", lambda: F.col("session_id") == 7)
-_forget("topic", "content in ('error', 'view')", lambda: F.col("content").isin("error", "view"))
-_forget("time_range", "occurred_at < timestamp '2024-01-05' or occurred_at > timestamp '2024-01-25'", lambda: G.outside(temporal.at("2024-01-05 00:00:00"), temporal.at("2024-01-25 00:00:00"), "occurred_at"))
-_forget("query", "contains(content, 'ch')", lambda: F.contains(F.col("content"), F.lit("ch")))
-
-
 @query("import_outcomes", "with c as (select o_orderkey k from orders where o_orderkey % 3 <> 0), i as (select case when o_orderkey % 11 = 0 then null else o_orderkey end k from orders) select case when i.k is null then 'failed' when c.k is not null then 'skipped' else 'imported' end outcome, count(*) n from i left join c on i.k = c.k group by all")
 def import_outcomes(spark, d):
     o = V.table(spark, d, "orders")

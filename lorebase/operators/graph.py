@@ -185,13 +185,14 @@ def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     return labels.select("node", F.col("label").alias("community"))
 
 
-def louvain(edges: DataFrame, rounds: int = 6, levels: int = 3, resolution: float = 1.0) -> DataFrame:
+def louvain(edges: DataFrame, rounds: int = 12, levels: int = 4, resolution: float = 1.0) -> DataFrame:
     """(node, community): communities of high modularity, by parallel local moves and contraction.
 
-    In a round the nodes of one half (by a hash, the halves take turns) each move to the community
-    nearby that gains most: weight to it, less ``resolution`` times what chance would give, both
-    without the node itself.  Ties go to the smaller name.  After a level, communities become
-    nodes.  Edges are undirected; repeated ones add up.
+    In a round the nodes of one half (another half each time, by a hash, so that neighbours don't
+    swap places for ever) move to the community nearby that gains most: weight to it, less
+    ``resolution`` times what chance would give, both without the node itself.  Ties go to the
+    smaller name.  Rounds end when no node has anywhere better to go; then communities become
+    nodes of the next level.  Edges are undirected; repeated ones add up.
     """
     pairs = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).filter("a != b")
     near = both_ways(pairs.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.count(F.lit(1)).cast("double").alias("w")))
@@ -201,7 +202,7 @@ def louvain(edges: DataFrame, rounds: int = 6, levels: int = 3, resolution: floa
         degree = materialise(near.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")), "louvain-degrees")
         labels = degree.withColumn("label", F.col("node"))
         for i in range(rounds):
-            half = F.pmod(F.xxhash64("node"), F.lit(2)) == i % 2
+            half = F.pmod(F.xxhash64("node", F.lit(level * rounds + i)), F.lit(2)) == 0
             sums = labels.groupBy("label").agg(F.sum("k").alias("t"))
             # A loop is weight within a node; it stays with the node wherever it goes.
             ways = near.filter("src != dst").join(labels.select(F.col("node").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node"), "label").agg(F.sum("w").alias("w"))
@@ -211,9 +212,12 @@ def louvain(edges: DataFrame, rounds: int = 6, levels: int = 3, resolution: floa
             gain = F.round(F.col("w") - resolution * F.col("k") * rest / total, 9)
             stay = (F.col("label") == F.col("now")).cast("int")
             best = choice.groupBy("node").agg(F.min(F.struct((-gain).alias("g"), (1 - stay).alias("s"), "label"))["label"].alias("best"))
-            labels = materialise(labels.join(best, "node").select("node", "k", F.when(half, F.col("best")).otherwise(F.col("label")).alias("label")), "louvain-labels")
+            labels = materialise(labels.join(best, "node").select("node", "k", F.when(half, F.col("best")).otherwise(F.col("label")).alias("label"), (F.col("best") != F.col("label")).alias("open")), "louvain-labels")
+            if labels.filter("open").isEmpty():
+                break
+            labels = labels.drop("open")
         step = labels.select("node", "label")
-        member = step if member is None else member.join(step.withColumnsRenamed({"node": "label", "label": "up"}), "label").select("node", F.col("up").alias("label"))
+        member = step if member is None else member.join(step.select(F.col("node").alias("label"), F.col("label").alias("up")), "label").select("node", F.col("up").alias("label"))
         member = materialise(member, "louvain-members")
         if step.filter("node != label").isEmpty():
             break

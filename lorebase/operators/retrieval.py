@@ -79,6 +79,14 @@ def evidence_ratio(positive: Column, negative: Column) -> Column:
     return success_rate(F.size(positive), F.size(negative))
 
 
+def classified(answer: Column) -> Column:
+    """(kind, confidence) of a memory as a classifier answers; without an answer it is a belief at 0.5.
+
+    answer: such a struct or null, from a rule or a language model's UDF.
+    """
+    return F.coalesce(answer, F.struct(F.lit("belief").alias("kind"), F.lit(0.5).alias("confidence")))
+
+
 def limited(memories: DataFrame, limits: dict[str, int]) -> DataFrame:
     """The best of each kind of memory, each kind by its own limit."""
     out = None

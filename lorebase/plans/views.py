@@ -140,4 +140,4 @@ def with_views(names: str, body: str) -> str:
     for n in names.split():
         out += [x for x in (*_NEEDS.get(n, ()), n) if x not in out]
     recursive = "recursive " if "recursive_" in body else ""
-    return f"with {recursive}" + ",\n ".join(SQL[n] for n in out) + body
+    return f"with {recursive}" + ",\n ".join(SQL[n] for n in out) + body.removeprefix("" if out else ", ")

@@ -291,3 +291,32 @@ def test_memory_of_every_kind(spark, tmp_path):
 @pytest.mark.parametrize(("request_", "problem"), [(G.ForgetRequest("session"), "session_id"), (G.ForgetRequest("time_range"), "before or after"), (G.ForgetRequest("query"), "query"), (G.ForgetRequest("topic"), "topics"), (G.ForgetRequest("x"), "unknown")])
 def test_requests_to_forget_say_what_is_missing(request_, problem):
     assert problem in request_.problems()[0] and G.ForgetRequest("all").problems() == []
+
+
+def test_louvain_finds_dense_groups(spark):
+    """Rings of cliques with one edge between neighbours: every clique is a community, and no labels do better."""
+    rows = [(f"c{c}n{i}", f"c{c}n{j}") for c in range(6) for i in range(5) for j in range(i)] + [(f"c{c}n0", f"c{(c + 1) % 6}n1") for c in range(6)]
+    e = spark.createDataFrame(rows, "src string, dst string")
+    found = graph.louvain(e)
+    assert {frozenset(r.m) for r in found.groupBy("community").agg(F.collect_set("node").alias("m")).collect()} == {frozenset(f"c{c}n{i}" for i in range(5)) for c in range(6)}
+    q = graph.modularity(e, found).first().modularity
+    assert q == pytest.approx(60 / 66 - 6 * (22 / 132) ** 2) and q >= graph.modularity(e, graph.communities(e)).first().modularity
+    assert graph.louvain(e.limit(0)).count() == 0
+
+
+def test_shortest_paths_equal_enumeration(spark):
+    import random
+
+    rng = random.Random(4)
+    for _ in range(3):
+        rows = [(str(rng.randint(0, 7)), str(rng.randint(0, 7)), "x", rng.randint(1, 9) / 10) for _ in range(18)]
+        e = spark.createDataFrame(rows, "src string, dst string, edge_type string, confidence double").cache()
+        start = spark.createDataFrame([("0",)], "node string")
+        best = {}
+        for r in graph.paths(e, start, 4).collect():
+            best.setdefault(r["last"], []).append((r.length, -round(r.confidence, 9), ">".join(r.nodes)))
+        for end in ("3", "5"):
+            got = [(r.length, -round(r.confidence, 9), ">".join(r.nodes)) for r in graph.shortest(e, start, end, 4).collect()]
+            assert got == sorted(set(best.get(end, [])))[:1]
+            every = [(r.length, -round(r.confidence, 9), ">".join(r.nodes)) for r in graph.all_paths(e, start, end, 4).collect()]
+            assert sorted(every) == sorted(best.get(end, []))[:10]
