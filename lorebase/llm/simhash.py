@@ -39,8 +39,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.arrow import id_and_text, map_slices
+from lorebase.llm.arrow import id_and_text, map_slices, text_or_empty
 from lorebase.llm.components import components
+from lorebase.llm.sliced import keyed, similar_classes
 from lorebase.storage import materialise
 
 MAX_BITS, SHARED_BYTES = 3, 5
@@ -76,9 +77,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(1).cast(pa.large_binary()).to_pylist()
         fp = np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64)
-        return pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(fp)], names=["doc_id", "fp"])
+        return pa.record_batch([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
-    return map_slices(id_and_text(docs, id_col, text_col), work, "doc_id bigint, fp bigint")
+    rows = id_and_text(docs, id_col, text_col)
+    kind = "string" if dict(rows.dtypes)["doc_id"] == "string" else "bigint"
+    return map_slices(rows.withColumn("doc_id", F.col("doc_id").cast(kind)), work, f"doc_id {kind}, fp bigint")
 
 
 def masks_below(mask: int) -> list[int]:
@@ -178,31 +181,35 @@ def _digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float | None = None) -> DataFrame:
     """``docs`` with one document of each component: the one that names it.
 
-    Of rows with a null or a repeated id the fingerprint says which is meant: a component keeps
-    one row of its smallest id (null only if it has no other) and that id's smallest fingerprint.
+    Components join texts whose fingerprints differ in at most MAX_BITS bits or, with
+    ``similarity``, whose sets of shingles have at least that Jaccard similarity
+    (:mod:`lorebase.llm.sliced`).  A component keeps one row: that of its smallest id (null only
+    if it has no other), of these the one with the smallest digest of its text, of rows alike in
+    id and text any one.
     """
-    rows, classes = _classed(docs, id_col, text_col, words)
-    best = F.min(F.struct(F.col("least").isNull().alias("nameless"), F.col("least").alias("id"), "fp"))
-    kept = materialise(classes.groupBy("root").agg(best.alias("k")).select(F.col("k.id").alias("_id"), _digits(F.col("k.fp")).alias("_digits")), "simhash-kept")
-    unclear = materialise(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("doc_id is null or n > 1").select(F.col("doc_id").alias("_unclear")), "simhash-unclear")
-    # The kept ids grow with the documents; they are met the same way at every size.
-    clear = kept.filter("_id is not null").join(unclear.hint("merge"), F.col("_id") == F.col("_unclear"), "left_anti")
-    out = docs.join(clear.hint("merge"), docs[id_col] == clear["_id"], "left_semi")
-    if unclear.isEmpty():
-        return out
-    several = fingerprinted(docs.join(unclear.hint("merge"), docs[id_col].eqNullSafe(unclear["_unclear"]), "left_semi"), text_col, words)
-    meant = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_fingerprint") == F.col("_digits"))
-    return out.unionByName(several.join(kept.hint("merge"), meant, "left_semi").dropDuplicates([id_col, "_fingerprint"]).drop("_fingerprint"))
-
-
-def fingerprinted(docs: DataFrame, text_col: str, words: int) -> DataFrame:
-    """``docs`` with their fingerprints as hex digits in a further column."""
-
-    @F.pandas_udf("string")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([f"{fingerprint((t or '').encode(), words):016x}" for t in texts], index=texts.index)
-
-    return docs.withColumn("_fingerprint", of(F.coalesce(docs[text_col], F.lit(""))))
+    key = keyed(docs, id_col, text_col)
+    rows = docs.select(key.alias("key"), docs[id_col].cast("long").alias("doc_id"), text_or_empty(docs[text_col]).alias("text"))
+    if similarity is None:
+        found, classes = _classed(rows, "key", "text", words)
+        classed = found.join(classes.select("fp", "root"), "fp").select(F.col("doc_id").alias("key"), F.col("root").cast("string").alias("root"))
+    else:
+        classed = similar_classes(rows.select("key", "text"), words, similarity).select("key", "root")
+    # The id leads the key.
+    number = F.nullif(F.substring_index("key", ":", 1), F.lit("-")).cast("long")
+    best = F.min(F.struct(number.isNull().alias("nameless"), number.alias("id"), "key"))
+    kept = materialise(classed.groupBy("root").agg(best["key"].alias("_key")).select("_key"), "simhash-kept")
+    twice = materialise(classed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("_twice")), "simhash-twice")
+    # The kept rows grow with the documents; they are met the same way at every size.
+    own, names = "_own_key", {c.lower() for c in docs.columns}
+    while own in names:
+        own += "_"
+    marked = docs.withColumn(own, key)
+    out = marked.join(kept.hint("merge"), marked[own] == kept["_key"], "left_semi")
+    if not twice.isEmpty():
+        single = out.join(twice.hint("merge"), out[own] == twice["_twice"], "left_anti")
+        several = out.join(twice.hint("merge"), out[own] == twice["_twice"], "left_semi")
+        out = single.unionByName(several.dropDuplicates([own]))
+    return out.drop(own)

@@ -113,6 +113,63 @@ def test_one_of_each(docs, rows):
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(set(classes(prints).values()))
 
 
+def similar(texts, least=0.8):
+    """By id: the smallest id of its class, classes joining sets of five-word shingles of that Jaccard similarity."""
+    sets = {}
+    for i, text in texts.items():
+        w = words(lower(text))
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        either = sets[a] | sets[b]
+        if not either or len(sets[a] & sets[b]) >= least * len(either) - 1e-12:
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    return {i: root(i) for i in sets}
+
+
+def test_one_of_each_at_a_similarity(spark, docs, rows):
+    kept = simhash.one_of_each(docs, similarity=0.8).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(set(similar({r.doc_id: r.text for r in rows}).values()))
+    rng, texts = random.Random(8), {}
+    # Clusters of edited copies, from a few words to hundreds, near the bound on either side; a passage that all share; one text copied very often.
+    passage = " ".join(f"p{j}" for j in range(40))
+    for c in range(60):
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.choice([3, 6, 12, 40, 120, 300]))] + (passage.split() if c % 2 else [])
+        for _ in range(rng.choice([1, 3, 6])):
+            own = list(base)
+            for _ in range(rng.randint(0, max(1, len(own) // 40))):
+                own[rng.randrange(len(own))] = f"e{rng.randint(0, 10**6)}"
+            texts[len(texts)] = " ".join(own)
+    base = [f"h{j}" for j in range(150)]
+    for _ in range(150):
+        own = list(base)
+        own[rng.randrange(150)] = f"e{rng.randint(0, 10**6)}"
+        texts[len(texts)] = " ".join(own)
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(4)
+    got, want = sorted(r.doc_id for r in simhash.one_of_each(df, similarity=0.8).collect()), sorted(set(similar(texts).values()))
+    assert got == want
+
+
+def test_slices_of_similar_texts_agree():
+    rng = np.random.default_rng(6)
+    from lorebase.llm import sliced
+
+    for n in (2, 4, 5, 9, 20, 33, 64, 127, 400, 3000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for least in (0.8, 0.9):
+            apart = int(len(a) * (1 - least))
+            b = np.unique(np.concatenate([a[apart:], rng.integers(0, 1 << 63, 0, dtype=np.uint64)]))
+            one, two = ({tuple(p.values()) for p in sliced.postings(x, least)} for x in (a, b))
+            assert one & two and len(one) <= 3 * sliced.POSITIONS
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (5, 5), (None, 3)], "a bigint, b bigint")
     assert {r.node: r.root for r in components(edges).collect()} == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
@@ -505,6 +562,53 @@ def test_empty_tables(nothing):
     assert [df.count() for df in each] == [0] * len(each)
 
 
+@pytest.fixture(scope="session")
+def hostile(spark):
+    """Rows alike in id and text, an id on different texts, null ids by value, a text of a megabyte, and columns with the operators' own names."""
+    long = " ".join(f"w{i % 7919}x{i % 17}" for i in range(130_000))
+    rows = [(1, "one two three " * 9), (1, "one two three " * 9), (1, "another text altogether, with a@b.org"), (2, "one two three " * 9), (3, long), (None, "one two three " * 9), (None, None), (None, None), (4, ""), (5, "x"), (20, "three two one")]
+    kinds = "fingerprint string, _row int, _id int, block int, text_hash int, size string, row string, source_key string, kept string, score string, h string, gram string, shard string, asked string, known string, pieces string, spans string"
+    return spark.createDataFrame([(*r, "s", *[1 if " int" in k else "x" for k in kinds.split(", ")]) for r in rows], f"doc_id bigint, text string, source string, {kinds}").repartition(3)
+
+
+def test_repeated_rows_and_null_ids_get_the_results_of_their_text(spark, hostile):
+    """Every operator gives each row what the row alone would get by its text, whatever else the table holds."""
+    texts = Counter((r.doc_id, r.text) for r in hostile.collect())
+    by_text = {
+        "near": (simhash.near_duplicates(hostile), lambda t: f"{plain_fingerprint(t):016x}", "fingerprint"),
+        "quality": (quality.quality(hostile), lambda t: len(words(t)), "n_words"),
+        "mix": (mixing.mix(hostile), lambda t: len(words(t)), "size"),
+        "tokens": (token_counts.token_counts(hostile, tokenizer("byte_bpe_50k.json")), lambda t: len((t or "").encode()), "n_bytes"),
+        "pii": (pii.pii_spans(hostile), lambda t: ",".join(f"{k}:{a}:{b}" for k, a, b in plain_spans(t)), "spans"),
+        "substring": (substring_dedup.remove_repeated_words(hostile), lambda t: len(words(t)), "n_words"),
+        "suffix": (suffix_dedup.remove_repeated_bytes(hostile), lambda t: len((t or "").encode()), "n_bytes"),
+        "lm": (ppm.lm_scores(hostile), lambda t: len(words(t)) + 1, "n_tokens"),
+        "bpe": (bpe_stream.bpe_round_trip(hostile, tokenizer("word_bpe_49k.json"), payload=False), lambda t: None, "doc_id"),
+    }
+    for name, (df, of, column) in by_text.items():
+        got = Counter((r.doc_id, r[column]) if column != "doc_id" else (r.doc_id, None) for r in df.collect())
+        want = Counter()
+        for (i, t), n in texts.items():
+            want[i, of(t)] += n
+        assert got == want, name
+
+
+def test_repeated_rows_are_one_document_to_the_substring_operators(hostile):
+    words_, bytes_ = substring_dedup.remove_repeated_words(hostile).collect(), suffix_dedup.remove_repeated_bytes(hostile).collect()
+    # The text of 27 words: first at id 1 (twice, alike), repeated at 2 and at the null id, where all of it goes.
+    assert Counter((r.doc_id, r.n_removed) for r in words_ if r.n_words == 27) == {(1, 24): 2, (2, 27): 1, (None, 27): 1}
+    assert Counter((r.doc_id, r.n_removed > 0, r.n_removed == r.n_bytes) for r in bytes_ if r.n_bytes == 126) == {(1, True, False): 2, (2, True, True): 1, (None, True, True): 1}
+
+
+def test_one_of_each_keeps_clashing_columns(hostile):
+    for how in ({}, {"similarity": 0.8}):
+        kept = simhash.one_of_each(hostile, **how)
+        assert kept.columns == hostile.columns
+        texts = {"one two three " * 9: 1, "another text altogether, with a@b.org": 1, "x": 5, "three two one": 20}
+        got = {(r.text or "")[:20]: r.doc_id for r in kept.collect() if (r.doc_id, len(r.text or "")) and r.doc_id != 3}
+        assert got == {t[:20]: i for t, i in texts.items()} | {"": 4}
+
+
 def test_null_ids_get_results(docs):
     each = [simhash.near_duplicates(docs), quality.quality(docs), token_counts.token_counts(docs, tokenizer("byte_bpe_50k.json")), pii.pii_spans(docs), substring_dedup.remove_repeated_words(docs), suffix_dedup.remove_repeated_bytes(docs), ppm.lm_scores(docs)]
     assert [df.filter("doc_id is null").count() for df in each] == [2] * len(each)

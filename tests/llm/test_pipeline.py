@@ -9,7 +9,7 @@ import corpus_pipeline
 from lorebase.llm.queries import tokenizer
 from lorebase.storage import materialise
 from tests.conftest import SF
-from tests.llm.test_operators import WORD, classes, plain_fingerprint, plain_spans, words
+from tests.llm.test_operators import WORD, plain_spans, similar, words
 
 
 def test_stages(spark):
@@ -32,8 +32,7 @@ def test_stages(spark):
         if failed or r.doc_id in labels:
             assert (r.doc_id in kept) == (not failed and labels.get(r.doc_id) == 1)
 
-    one = set(classes({r.doc_id: plain_fingerprint(r.text, 5) for r in clean}).values())
-    assert sorted(r.doc_id for r in unique) == sorted(one)
+    assert sorted(r.doc_id for r in unique) == sorted(set(similar({r.doc_id: r.text for r in clean}).values()))
 
     texts = {r.doc_id: r.text for r in unique}
     for r in private:
@@ -56,6 +55,31 @@ def test_stages(spark):
         assert (r.n_tokens, bytes(r.ids), r.ids_sha256) == (len(by_doc[r.doc_id]), ids, hashlib.sha256(ids).hexdigest())
 
 
-def test_run_equals_the_stages(spark):
+def test_run_is_the_stages_one_after_another(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = materialise(stage(spark, docs, SF), "test-run")
     once = corpus_pipeline.run(spark, SF)
-    assert once.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"] and once.count() > 50
+    assert once.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"] == docs.columns
+    assert Counter(map(tuple, once.collect())) == Counter(map(tuple, docs.collect()))
+
+
+def test_hostile_rows_pass_all_stages(spark, docs, nothing, tmp_path):
+    """Nulls, repeated ids and rows, ties, a very long text, columns with the operators' own names; and no rows at all."""
+    text = lambda i: " ".join(f"stone{(i * 31 + j) % 977} river" for j in range(60))
+    rows = [(i, text(i), "en", "a" if i % 2 else None, 1) for i in range(12)]
+    rows += [(3, text(40), "en", "b", 1), (3, text(3), "en", "a", 1), (None, text(50), None, None, None), (None, text(50), None, None, None), (None, text(51), "de", "b", 2), (20, None, None, None, None), (21, "", "en", "a", 0)]
+    rows += [(30, " ".join(f"w{j:x}" for j in range(150_000)), "en", "b", 5), (31, text(1) + " more", "en", "c", 1)]
+    hostile = spark.createDataFrame([(*r, "x", 1, "k", "n") for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, fingerprint string, _row int, _own_key string, node string").repartition(3)
+    before, columns = hostile, hostile.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = materialise(stage(spark, before, SF), "test-hostile")
+        assert before.columns == columns, name
+        if name == "simhash near-dedup":
+            got = Counter((r.doc_id, r.text[:40]) for r in before.collect())
+            want = [(i, text(i)) for i in range(12)] + [(3, text(40)), (None, text(50)), (None, text(51)), (30, rows[19][1])]
+            assert got == Counter((i, t[:40]) for i, t in want)
+    last = corpus_pipeline.STAGES[-1][1](spark, before, SF)
+    assert last.count() == before.count() > 12
+    hostile.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
