@@ -49,6 +49,16 @@ OP6 = f"""with d as (select doc_id, {_WORDS} ws from documents),
  kept as (select e.doc_id, count(g.i) n_removed, sha256(coalesce(string_agg(word, ' ' order by e.i) filter (g.i is null), '')) kept_sha256 from each e left join gone g on g.doc_id = e.doc_id and g.i = e.i group by e.doc_id)
  select d.doc_id, len(ws) n_words, coalesce(n_removed, 0) n_removed, coalesce(kept_sha256, sha256('')) kept_sha256 from d left join kept using (doc_id)"""
 
+#: Bytes as pairs of hex digits; runs of removed bytes are windows that begin at most 100 bytes apart.
+OP7 = """with d as (select row_number() over () r, doc_id, hex(encode(coalesce(text, ''))) h from documents),
+ w as (select r, doc_id, s, md5(substr(h, 2 * s + 1, 200)) k from (select r, doc_id, h, unnest(range(0, length(h) // 2 - 99)) s from d)),
+ later as (select r, s from (select r, s, row_number() over (partition by k order by doc_id, s) n from w) where n > 1),
+ marked as (select r, s, case when s <= lag(s) over (partition by r order by s) + 100 then 0 else 1 end begins from later),
+ runs as (select r, min(s) a, max(s) + 100 b from (select r, s, sum(begins) over (partition by r order by s) run from marked) group by r, run),
+ gaps as (select r, a, b, coalesce(lag(b) over (partition by r order by a), 0) before from runs),
+ kept as (select r, cast(sum(b - a) as bigint) n_removed, count(*) n_spans, max(b) last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' order by a) front from gaps join d using (r) group by r)
+ select doc_id, length(h) // 2 n_bytes, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0) n_spans, sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(last, 0) + 1))) kept_sha256 from d left join kept using (r)"""
+
 OP8 = f"""with w as (select doc_id, unnest({_LOWERED}) term from documents),
  dl as (select doc_id, count(*) dl from w group by doc_id),
  stats as (select (select count(*) from documents) n, (select sum(dl) from dl) / (select count(*) from documents) avgdl),
@@ -60,4 +70,4 @@ OP8 = f"""with w as (select doc_id, unnest({_LOWERED}) term from documents),
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": op2(), "op6_substring_dedup": OP6, "op8_bm25_top_k": OP8}
+    return {"op2_quality_rules": op2(), "op6_substring_dedup": OP6, "op7_suffix_array_dedup": OP7, "op8_bm25_top_k": OP8}
