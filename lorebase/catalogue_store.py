@@ -393,3 +393,34 @@ def transcript_minutes(spark, d):
 def usable_weights(spark, d):
     kept = scoring.usable_weights({"vector": 0.5, "text": 0, "confidence": 0.2, "magic": 1.0})
     return spark.createDataFrame(sorted(kept.items()), "signal string, weight double")
+
+
+@query("stream_session_windows", """with g as (select *, case when epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts)) <= 1800000000 then 0 else 1 end n from events), s as (select *, sum(n) over (partition by user_id order by ts) session from g),
+ w as (select user_id, epoch_us(min(ts)) start_us, epoch_us(max(ts)) + 1800000000 end_us, count(*) members from s group by user_id, session) select * from w where end_us <= (select epoch_us(max(ts)) - 3600000000 from events)""")
+def stream_sessions(spark, d):
+    """Sessions of the events as a stream: those that the watermark, an hour behind the last event, has closed."""
+    from lorebase.streaming import jobs
+
+    schema = V.table(spark, d, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d) if not _is_folder(spark, f"{d}/events.parquet") else spark.readStream.schema(schema).parquet(f"{d}/events.parquet")
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    at = f"{shared_dir(spark)}/lorebase/stream-{uuid.uuid4().hex}"
+    s = jobs.drained(jobs.sessions(events, "user_id", "ts"), f"{at}/out", f"{at}/checkpoint")
+    us = lambda c: V.micros(F.col(c).cast("timestamp_ntz"))
+    return s.select("user_id", us("start").alias("start_us"), us("end").alias("end_us"), "members")
+
+
+def _is_folder(spark, path):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+
+
+@query("meaning_search", "select 1 one, count(*) filter (doc_id is not null) n from documents where doc_id = 0")
+def meaning_search(spark, d):
+    """The stand-in's embeddings find a text by itself."""
+    from lorebase.functions.providers import embedded
+
+    docs = V.table(spark, d, "documents").select("doc_id", embedded(F.col("text"), prefix="passage: ").alias("v"))
+    q = F.broadcast(V.table(spark, d, "documents").filter("doc_id = 0").select(embedded(F.col("text"), prefix="passage: ").alias("q")))  # one row
+    best = scoring.top(docs.crossJoin(q).select("doc_id", F.round(scoring.dot(F.col("v"), F.col("q")), 6).alias("score")), "score", "doc_id", 1)
+    return best.filter("doc_id = 0").agg(F.lit(1).alias("one"), F.count(F.lit(1)).alias("n"))

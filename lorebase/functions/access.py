@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -86,6 +86,16 @@ class Preferences:
         """The cautious preset: personal data blocked, short retention."""
         return cls(blocked_patterns=list(PII.values()), default_days=30, max_days=90)
 
+    def blocking(self, *topics: str, patterns: Sequence[str] = ()) -> Preferences:
+        """These preferences with more that is blocked; what is blocked already stays once."""
+        merged = lambda old, new: list(dict.fromkeys([*old, *new]))
+        return replace(self, blocked_topics=merged(self.blocked_topics, topics), blocked_patterns=merged(self.blocked_patterns, patterns))
+
+    def allowing(self, *topics: str) -> Preferences:
+        """These preferences without some blocked topics, in any case of letters."""
+        low = {t.lower() for t in topics}
+        return replace(self, blocked_topics=[t for t in self.blocked_topics if t.lower() not in low])
+
 
 def may_remember(p: Preferences, content: Column, tags: Column) -> Column:
     ok = F.lit(p.store)

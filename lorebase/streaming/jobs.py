@@ -60,3 +60,14 @@ def reflect(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoin
             dream(batch_id)
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def reflect_periodically(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, every: str = "5 minutes") -> StreamingQuery:
+    """A worker that reflects on what has come in, once in each interval, until it is stopped."""
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def drained(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """All that a stream has to give now, written to a table and read back."""
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)

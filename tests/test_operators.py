@@ -320,3 +320,51 @@ def test_shortest_paths_equal_enumeration(spark):
             assert got == sorted(set(best.get(end, [])))[:1]
             every = [(r.length, -round(r.confidence, 9), ">".join(r.nodes)) for r in graph.all_paths(e, start, end, 4).collect()]
             assert sorted(every) == sorted(best.get(end, []))[:10]
+
+
+def test_tools_dispatch_by_name(spark, tmp_path):
+    from lorebase import tools
+
+    m = Memory(spark, str(tmp_path), access.Principal("u1", "t1"), access.Preferences().blocking("secret", "SECRET", "other").allowing("Other"))
+    new = spark.createDataFrame([("b1", "sky", "is", "blue", 0.9), ("b2", "sky", "is", "green", 0.6)], "belief_id string, subject string, predicate string, object string, confidence double")
+    tools.memory_tool(m).invoke("commit_belief", beliefs=new, updated_us=1)
+    assert tools.query_tool(m).invoke("verify", subject="Sky", object_="BLUE").first().verdict == "contested"
+    assert tools.query_tool(m).invoke("entity", name="blue").count() == 1 and tools.query_tool(m).invoke("graph", start="sky", depth=1).count() == 3
+    p = tools.privacy_tool(m)
+    assert not p.invoke("may_remember", text="a secret") and p.invoke("may_remember", text="other")
+    more = spark.createDataFrame([("b2", "sky", "is", "grey", 0.5), ("b3", "sea", "is", "blue", 0.5), (None, "x", "y", "z", 0.1)], new.schema)
+    assert p.invoke("import", rows=more, updated_us=2) == {"skipped": 1, "imported": 1, "failed": 1} and p.invoke("export").count() == 3
+    assert p.invoke("forget", updated_us=3, scope="query", query="GREEN") == "completed" and p.invoke("export").count() == 2
+    assert [r.action for r in p.invoke("audit").collect()] == ["forget_query"] == [r.action for r in p.invoke("access_log").collect()]
+    with pytest.raises(ValueError, match="known|there are"):
+        p.invoke("nothing")
+
+
+def test_adapters_by_name(spark):
+    from lorebase.sources import adapters
+
+    df = spark.createDataFrame([(1, "# A\n- b\ntext"), (2, "HEADING HERE\nline")], "id int, raw string")
+    assert {(r.id, r.title) for r in adapters.ingest("document", df, "raw", "id").collect()} == {(1, "A"), (2, "HEADING HERE")}
+    adapters.add("lines", lambda d, raw, *keep: T.lines(d, raw, *keep))
+    assert "lines" in adapters.names() and adapters.ingest("lines", df, "raw", "id").count() == 5
+    with pytest.raises(ValueError, match="slack"):
+        adapters.ingest("fax", df, "raw", "id")
+
+
+def test_providers_and_registered_functions(spark):
+    from lorebase.functions import providers
+
+    class Loud:
+        def complete(self, prompts):
+            return [p.upper() for p in prompts]
+
+        def embed(self, texts):
+            return [[float(len(t))] for t in texts]
+
+    df = spark.createDataFrame([("one\ntwo",), (None,)], "t string")
+    assert [r[0] for r in df.select(providers.completed(F.col("t"))).collect()] == ["two", ""]
+    assert [r[0] for r in df.select(providers.completed(F.col("t"), Loud())).collect()] == ["ONE\nTWO", ""] and df.select(providers.embedded(F.col("t"), Loud(), "q: ")).first()[0] == [10.0]
+    assert set(providers.register(spark)) == {"mended_json", "posterior_mean", "text_lines"}
+    assert spark.sql("select mended_json('x [1, 2')").first()[0] == "[1]"
+    assert spark.sql("select posterior_mean(0.5, c) from values (1.0D), (1.0D), (0.0D) t(c)").first()[0] == pytest.approx(0.6)
+    assert [r.line for r in spark.sql("select * from text_lines('a\nb')").collect()] == ["a", "b"]
