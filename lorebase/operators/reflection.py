@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorebase.plans.views import micros
-from lorebase.storage import globally_ranked, materialise
+from lorebase.storage import globally_ranked, materialise, released
 
 
 def gap_sessions(events: DataFrame, by: str, at: str, gap_seconds: int = 1800, least: int = 2) -> DataFrame:
@@ -95,12 +95,13 @@ def first_wins(groups: DataFrame, pairs: DataFrame, group: str) -> DataFrame:
     group at least, so all get settled.
     """
     pairs = materialise(pairs.select("a", "b").filter("a < b"), "first-wins-pairs")
-    state = groups.select(F.col(group).alias("g")).withColumn("kept", F.lit(None).cast("boolean"))
+    state = materialise(groups.select(F.col(group).alias("g")).withColumn("kept", F.lit(None).cast("boolean")), "first-wins")
     while True:
         earlier = pairs.join(state.select(F.col("g").alias("a"), F.col("kept").alias("k")), "a").groupBy(F.col("b").alias("g"))
         seen = earlier.agg(F.coalesce(F.max(F.col("k")), F.lit(False)).alias("hit"), F.count_if(F.col("k").isNull()).alias("open"))
         new = F.when(F.col("hit"), False).when(F.coalesce("open", F.lit(0)) == 0, True)
-        state = materialise(state.join(seen, "g", "left").select("g", F.coalesce("kept", new).alias("kept")), "first-wins")
+        before, state = state, materialise(state.join(seen, "g", "left").select("g", F.coalesce("kept", new).alias("kept")), "first-wins")
+        released(before)
         if state.filter("kept is null").isEmpty():
             break
     return state.filter("kept").select(F.col("g").alias(group))

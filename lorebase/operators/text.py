@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorebase.storage import materialise
+from lorebase.storage import materialise, released
 
 # What marks an action item anywhere, in chats and in mail, and what marks a
 # belief in chats.  An expression with two groups names the owner first.
@@ -235,13 +235,13 @@ def reply_roots(messages: DataFrame, key: str, parent: str) -> DataFrame:
     pairs = messages.select(F.col(key).alias("id"), F.col(parent).alias("to"))
     ids = pairs.select(F.col("id").alias("_there")).distinct()
     known = pairs.join(ids, F.col("to") == F.col("_there"), "left")
-    at = materialise(known.select("id", F.when(F.col("_there") != F.col("id"), F.col("_there")).alias("up")), "replies")
+    at = materialise(known.select("id", F.coalesce(F.when(F.col("_there") != F.col("id"), F.col("_there")), "id").alias("root"), F.coalesce(F.col("_there") == F.col("id"), F.lit(True)).alias("done")), "replies")
     n, hops = at.count(), 1
-    at = at.select("id", F.coalesce("up", "id").alias("root"), F.col("up").isNull().alias("done"))
     while hops <= n and not at.filter("not done").isEmpty():
         above = at.select(F.col("id").alias("a"), F.col("root").alias("up"), F.col("done").alias("end"))
         going = at.filter("not done").join(above, F.col("root") == F.col("a")).select("id", F.col("up").alias("root"), F.col("end").alias("done"))
-        at = materialise(at.filter("done").unionByName(going), "replies")
+        before, at = at, materialise(at.filter("done").unionByName(going), "replies")
+        released(before)
         hops *= 2
     return at.filter("done").select("id", "root")
 

@@ -45,7 +45,17 @@ def materialise(df: DataFrame, label: str, codec: str | None = None) -> DataFram
 
     Cuts the lineage, keeps exact sizes for the optimiser and survives lost executors.
     """
-    return df.sparkSession.read.schema(df.schema).parquet(written(df, label, codec))
+    path = written(df, label, codec)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._own_files = path
+    return out
+
+
+def released(df: DataFrame) -> None:
+    """Remove the files of a table that :func:`materialise` returned and nothing reads any more, such as a round's before the last."""
+    spark = df.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._own_files)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def globally_ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
