@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.storage import materialise
+from lorebase.storage import materialise, released
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -33,6 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: a node and its smaller neighbours go to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = materialise(small.filter("u != v").distinct(), "edges")
+        before, edges = edges, materialise(small.filter("u != v").distinct(), "edges")
+        released(before)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

@@ -10,8 +10,9 @@ There are at most ``3 ** len(RULES)`` patterns whatever the number of documents,
 many counts reach the driver; everything by document is DataFrame expressions.
 
 Defined cases: a null or empty text has no words, so ``base_failed`` is true and ``kept`` is
-false; repeated rows and equal texts get equal results; a null id stays null; an empty table
-gives an empty result; other columns are ignored.
+false; repeated rows and equal texts get equal results; a very long text is one row's arrays of
+words and windows; a null id stays null; an empty table gives an empty result; other columns,
+whatever their names, are ignored, and :func:`keep_clean` carries them inside one column.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ ITERATIONS, SMOOTHING = 25, 1.0
 def signals(docs: DataFrame, text_col: str, *keep: Column) -> DataFrame:
     """What the rules look at, by document, beside the columns of ``keep``.
 
-    The column ``_nth`` is there for filters to use: a filter on it stays above the
-    projections, where each signal is computed once, instead of being pushed below them.
+    To be written before it is filtered: a filter would be pushed below the projections and
+    compute the signals again.
     """
     text = text_or_empty(docs[text_col])
     trimmed = F.btrim(text, F.lit(SPACES))
@@ -71,7 +72,7 @@ def signals(docs: DataFrame, text_col: str, *keep: Column) -> DataFrame:
     fifth = fourth.withColumn("_p", F.when(F.size("_k") > 0, places)).drop("_k", "_s")
     covered = F.expr("3 + aggregate(sequence(1, size(_p) - 1), 0, (n, k) -> n + least(3, _p[k] - _p[k - 1]))")
     repeats = F.when(F.size("_p") > 1, covered).otherwise(0).cast("long")
-    return fifth.select("*", repeats.alias("n_repeat_words"), F.monotonically_increasing_id().alias("_nth")).drop("_p")
+    return fifth.select("*", repeats.alias("n_repeat_words")).drop("_p")
 
 
 def matched(text: Column, characters: str) -> Column:
@@ -140,14 +141,14 @@ def learned(found: DataFrame) -> Column:
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """Per document: the signals, base_failed, the probability of being clean, and kept."""
-    found = materialise(signals(docs, text_col, docs[id_col].alias("doc_id")).drop("_nth"), "quality-signals")
+    found = materialise(signals(docs, text_col, docs[id_col].alias("doc_id")), "quality-signals")
     out = found.withColumn("base_failed", base_failed()).withColumn("p_clean", learned(found))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_clean") >= threshold))
 
 
 def keep_clean(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that :func:`quality` keeps, with all their columns."""
-    clean = learned(materialise(signals(docs, text_col).drop("_nth"), "quality-signals"))
     packed = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
-    kept = ~base_failed() & (clean >= threshold) & (F.col("_nth") >= 0)
-    return signals(docs, text_col, packed).filter(kept).select("_row.*")
+    # Signals cost more than writing the rows beside them once.
+    found = materialise(signals(docs, text_col, packed), "quality-signals")
+    return found.filter(~base_failed() & (learned(found) >= threshold)).select("_row.*")
