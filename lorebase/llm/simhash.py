@@ -157,8 +157,9 @@ def links(distinct: DataFrame) -> DataFrame:
             return out.distinct()
         below = {m: masks_below(m & (1 << 64) - 1) for m in hot}
         masks = {x for xs in below.values() for x in xs}
-        finer = F.create_map(*[c for m, xs in below.items() for c in (F.lit(m), F.array(*[F.lit(signed(x)) for x in xs]))])
-        rows = _posted(long_.select("fp", finer[F.col("mask")].alias("finer")), F.col("finer")).select("fp", "mask", "key").distinct()
+        # As many rows as masks whose lists are long, four times as many a level at most; levels end when no bits are free.
+        finer = distinct.sparkSession.createDataFrame([(m, [signed(x) for x in xs]) for m, xs in below.items()], "mask bigint, finer array<bigint>")
+        rows = _posted(long_.select("fp", "mask").join(F.broadcast(finer), "mask").select("fp", "finer"), F.col("finer")).select("fp", "mask", "key").distinct()
 
 
 def _classed(docs: DataFrame, id_col: str, text_col: str, words: int) -> tuple[DataFrame, DataFrame]:
