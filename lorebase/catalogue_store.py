@@ -342,6 +342,15 @@ def provenance_events(spark, d):
     return chain.select("subject", F.size(more).cast("long").alias("events"))
 
 
+@query("session_profiles", with_views("experiences", """, n as (select session_id, count(*) members, min(occurred_at) a, max(occurred_at) b from experiences group by 1 having count(*) >= 2), u as (select session_id, content, count(*) uses from experiences group by 1, 2),
+ t as (select session_id, array_to_string(list_sort(list(content)), ',') tags from u join n using (session_id) where uses >= greatest(2, floor(members / 2)) group by 1),
+ e as (select session_id, count(*) entities from (select session_id, e from (select session_id, unnest(list_distinct([lower(content), lower(tenant_id)])) e from experiences) group by all having count(*) >= 2) group by 1)
+ select session_id, members, epoch_us(a) start_us, epoch_us(b) end_us, coalesce(tags, '') tags, coalesce(entities, 0) entities from n left join t using (session_id) left join e using (session_id)"""))
+def session_profiles(spark, d):
+    p = R.session_profiles(V.experiences(spark, d), "session_id", "occurred_at", "content", F.array("content", "tenant_id"))
+    return p.select("session_id", "members", V.micros(F.col("start")).alias("start_us"), V.micros(F.col("end")).alias("end_us"), F.array_join("tags", ",").alias("tags"), "entities")
+
+
 # -- windows, cubes, defaults -------------------------------------------------------------------
 
 

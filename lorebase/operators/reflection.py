@@ -69,6 +69,19 @@ def common_tags(groups: DataFrame, group: str, tag: str) -> DataFrame:
     return tags.join(size, group).filter(F.col("uses") >= F.greatest(F.lit(2), F.floor(F.col("n") / 2))).select(group, tag, "uses")
 
 
+def session_profiles(events: DataFrame, session: str, at: str, tag: str, entities: Column, least: int = 2) -> DataFrame:
+    """Sessions of ``least`` members or more: size, bounds, their common tags, and the number of entities that two members name.
+
+    A common tag is on half of the rows at least, so a session has few of them, whatever its size.
+    """
+    size = events.groupBy(session).agg(F.count(F.lit(1)).alias("members"), F.min(at).alias("start"), F.max(at).alias("end")).filter(F.col("members") >= least)
+    tags = common_tags(events, session, tag).groupBy(session).agg(F.array_sort(F.collect_list(tag)).alias("tags"))
+    named = events.select(session, F.explode(F.array_distinct(F.transform(entities, F.lower))).alias("e")).groupBy(session, "e").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    shared = named.groupBy(session).agg(F.count(F.lit(1)).alias("entities"))
+    out = size.join(tags, session, "left").join(shared, session, "left")
+    return out.select(session, "members", "start", "end", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), F.coalesce("entities", F.lit(0)).alias("entities"))
+
+
 def similar_groups(members: DataFrame, group: str, item: str, above: float = 0.8) -> DataFrame:
     """Pairs of groups whose members' Jaccard exceeds a threshold.
 
