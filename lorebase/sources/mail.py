@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The line that begins a quoted answer, and the one that begins a forwarded message.
-ANSWERED = r"(?m)^On\s+(.+?),?\s+(.+?)\s+wrote:[ \t]*$"
+# The line that begins a quoted answer (one line: prose that begins with "On" isn't one), and the one that begins a forwarded message.
+ANSWERED = r"(?m)^On[ \t]+([^\n]+?),?[ \t]+([^\n]+?)[ \t]+wrote:[ \t]*$"
 FORWARDED = r"(?im)^-{5,}\s*Forwarded message\s*-{5,}[ \t]*$"
 
 

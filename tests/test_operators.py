@@ -236,6 +236,13 @@ def test_chat_formats(spark):
     assert chat.discord(spark.createDataFrame([("c", discord)], "channel string, export string"), "export", "channel").first().author == "Bo"
 
 
+def test_prose_that_begins_with_on_is_no_quotation(spark):
+    body = "On Monday we met.\nOn the whole\nit went well.\n\nOn Tue, 2 Jan 2024, Ann Lee wrote:\n> before"
+    parts = mail.thread_parts(spark.createDataFrame([(1, body)], "id int, body string"), "body", "id").orderBy("part").collect()
+    assert [(r.author, r.text) for r in parts][0] == ("", "On Monday we met.\nOn the whole\nit went well.")
+    assert parts[1].author.endswith("Lee") and parts[1].text == "before" and len(parts) == 2
+
+
 def test_mail(spark):
     raw = "From: Ann <a@b.org>\r\nTo: x@y, z@w\r\nSubject: A long\r\n subject\r\n\r\nNew text\n\nOn Monday, Bob wrote:\n> old text\n> > more"
     parsed = '{"from": "Cy", "to": ["a@b", "c@d"], "subject": "S", "body": "B"}'
