@@ -37,6 +37,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             start = stop
 
 
+def unsliced(column: pa.Array | pa.ChunkedArray) -> pa.Array:
+    """A copy whose offsets begin at 0: kernels read what was cast from a slice at the wrong place."""
+    return pa.concat_arrays(column.chunks if isinstance(column, pa.ChunkedArray) else [column])
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column end to end, and the offsets of its rows in them."""
     if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):

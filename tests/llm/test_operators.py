@@ -475,6 +475,24 @@ def test_search(docs, shard_bytes, k, monkeypatch):
         assert exact or len({x[2] for x in want[i]}) < len(want[i]) or any(abs(a[2] - b[2]) < 2e-6 for a, b in itertools.pairwise(sorted(want[i], key=lambda x: x[2])))
 
 
+def test_search_over_shards_of_several_slices(spark):
+    """A shard of 5 MB is read in three slices; every document of it is indexed and found."""
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"W{x}" for x in rng.zipf(1.3, 5500) % 5000) + f" own{i // 2}" * 40 for i in range(250)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    assert sum(map(len, texts)) > 4 * 2**20
+    rows, got = df.filter("doc_id % 50 = 0").collect(), by_query(search.top_k(df, df["doc_id"] % 50 == 0, k=4, shard_bytes=1 << 30))
+    want = dict(zip(range(250), plain_search(df.collect(), 4), strict=True))
+    assert got == {r.doc_id: [(d, pytest.approx(s, abs=2e-6)) for d, s in want[r.doc_id]] for r in rows}
+
+
+def by_query(df):
+    out = defaultdict(list)
+    for r in df.orderBy("query_id", "rank").collect():
+        out[r.query_id].append((r.doc_id, r.score))
+    return out
+
+
 def test_pruned_blocks_hold_nothing_better():
     rng = np.random.default_rng(5)
     texts = [" ".join(rng.choice(["a", "b", "c", "d", "e", "f", "g", f"r{i}"], rng.integers(1, 30))) for i in range(3000)]
