@@ -69,5 +69,32 @@ OP8 = f"""with w as (select doc_id, unnest({_LOWERED}) term from documents),
  select query_id, rank, doc_id, score from ranked where rank <= 10"""
 
 
+def crc32(text: str) -> str:
+    """CRC-32 of ASCII text, bit by bit: a step takes in a byte (0 or more) or shifts by one bit (-1)."""
+    steps = f"list_prepend(4294967295, flatten(list_transform(string_split({text}, ''), lambda c: [cast(ord(c) as bigint), -1, -1, -1, -1, -1, -1, -1, -1])))"
+    return f"xor(list_reduce({steps}, lambda a, s: case when s >= 0 then xor(a, s) else xor(a >> 1, (a & 1) * 3988292384) end), 4294967295)"
+
+
+def op13() -> str:
+    """Trees level by level, siblings by place, and the fold of each row's siblings."""
+    leaf = lambda text: "sha256(" + " || ".join(f"coalesce(strlen(cast({c} as varchar)) || ':' || cast({c} as varchar), '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    beside = lambda tree, leaves, same: f"""select l.r, u.lv, coalesce(string_agg(u.h, '' order by u.pos) filter (u.pos < l.pos // pow3), '') a, coalesce(string_agg(u.h, '' order by u.pos) filter (u.pos > l.pos // pow3), '') b
+  from {leaves} l join (select *, cast(pow(3, lv) as bigint) pow3 from {tree}) u on {same} and u.c > 1 and u.pos // 3 = l.pos // pow3 // 3 group by 1, 2"""
+    grow = lambda tree, start, by: f"""{tree} as (select {by} g, 0 as lv, pos, h, count(*) over (partition by {by}) c from {start}
+  union all select g, lv, pos, h, count(*) over (partition by g) from (select g, lv + 1 as lv, pos // 3 as pos, sha256(string_agg(h, '' order by pos)) h from {tree} where c > 1 group by g, lv, pos // 3))"""
+    return f"""with recursive d as (select *, {leaf('text')} h, case when {crc32('cast(doc_id as varchar)')} % 2 = 0 then {leaf("replace(text, chr(10), '')")} else {leaf('text')} end t from documents),
+ l as materialized (select row_number() over () r, row_number() over (partition by source order by doc_id, h) - 1 as pos, * from d),
+ {grow('up', 'l', 'source')},
+ s as (select row_number() over (order by encode(g) nulls first) - 1 as pos, row_number() over () r, g, h from (select g, arg_max(h, lv) h from up group by g)),
+ {grow('top', 's', '0')},
+ near as (select l.r, 0 part, x.lv, x.a, x.b from l join ({beside('up', 'l', 'u.g is not distinct from l.source')}) x using (r)
+  union all select l.r, 1, x.lv, x.a, x.b from l join s on s.g is not distinct from l.source join ({beside('top', 's', 'true')}) x on x.r = s.r),
+ path as (select r, string_agg(a || b, '' order by part, lv) p, list(a || '|' || b order by part, lv) steps from near group by r),
+ folded as (select doc_id, l.h leaf, s.h subroot, (select arg_max(h, lv) from top) root, sha256(coalesce(p, '')) proof_sha256,
+   list_reduce(list_prepend(t, coalesce(steps, [])), lambda x, y: sha256(split_part(y, '|', 1) || x || split_part(y, '|', 2))) folded_root
+  from l join s on s.g is not distinct from l.source left join path on path.r = l.r)
+ select *, folded_root = root verified from folded"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": op2(), "op6_substring_dedup": OP6, "op7_suffix_array_dedup": OP7, "op8_bm25_top_k": OP8}
+    return {"op2_quality_rules": op2(), "op6_substring_dedup": OP6, "op7_suffix_array_dedup": OP7, "op8_bm25_top_k": OP8, "op13_merkle_manifest": op13()}
