@@ -27,16 +27,23 @@ def shared_dir(spark: SparkSession) -> str:
     return own.rstrip("/")
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A folder of its own under the shared one, removed with all in it when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/lorebase/{label}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return path
+
+
 def written(df: DataFrame, label: str, codec: str | None = None) -> str:
     """Write ``df`` as Parquet under the shared folder, by the session's codec or another; where it lies.
 
     The files are removed when the driver's JVM ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lorebase/{label}-{uuid.uuid4().hex}"
+    path = f"{new_folder(df.sparkSession, label)}/table"
     df.write.parquet(path, compression=codec)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return path
 
 
