@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorebase.llm.bpe_stream import bpe_round_trip
+from lorebase.llm.changes import apply_changes
 from lorebase.llm.merkle import proofs
 from lorebase.llm.mixing import mix
 from lorebase.llm.oracle import oracle_sql  # noqa: F401
@@ -75,6 +76,10 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), payload=False)
 
 
+def op12_apply_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_changes(spark.read.parquet(f"{sf_dir}/client_changes.parquet")).drop("n")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     lost = F.when(F.crc32(docs["doc_id"].cast("string")) % 2 == 0, F.replace(docs["text"], F.lit("\n"), F.lit(""))).otherwise(docs["text"])
@@ -93,5 +98,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bm25_top_k": op8_bm25_top_k,
         "op9_lm_scores": op9_lm_scores,
         "op10_bpe_round_trip": op10_bpe_round_trip,
+        "op12_apply_changes": op12_apply_changes,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
