@@ -69,6 +69,16 @@ OP8 = f"""with w as (select doc_id, unnest({_LOWERED}) term from documents),
  select query_id, rank, doc_id, score from ranked where rank <= 10"""
 
 
+#: Components by walking from node to node; every pair that shares a shingle is compared.
+OP11 = f"""with recursive d as (select row_number() over () r, doc_id, {_LOWERED} ws from documents),
+ s as (select r, doc_id, case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')] else list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' '))) end g from d),
+ n as (select g, min(r) node, min(doc_id) least from (select r, doc_id, list_sort(g) g from s) where len(g) > 0 group by g), t as (select node, len(g) n, unnest(g) k from n),
+ e as (select a.node a, b.node b from t a join t b on a.k = b.k and a.node <> b.node group by a.node, b.node having 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+ walk as (select node, node other from n union select walk.node, e.b from walk join e on walk.other = e.a),
+ c as (select walk.node, min(least) component_id from walk join n on n.node = walk.other group by walk.node)
+ select doc_id, len(s.g) n_shingles, case when len(s.g) = 0 then doc_id else component_id end component_id from s left join n on n.g = list_sort(s.g) and len(s.g) > 0 left join c on c.node = n.node"""
+
+
 def crc32(text: str) -> str:
     """CRC-32 of ASCII text, bit by bit: a step takes in a byte (0 or more) or shifts by one bit (-1)."""
     steps = f"list_prepend(4294967295, flatten(list_transform(string_split({text}, ''), lambda c: [cast(ord(c) as bigint), -1, -1, -1, -1, -1, -1, -1, -1])))"
@@ -97,4 +107,4 @@ def op13() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": op2(), "op6_substring_dedup": OP6, "op7_suffix_array_dedup": OP7, "op8_bm25_top_k": OP8, "op13_merkle_manifest": op13()}
+    return {"op2_quality_rules": op2(), "op6_substring_dedup": OP6, "op7_suffix_array_dedup": OP7, "op8_bm25_top_k": OP8, "op11_ngram_jaccard": OP11, "op13_merkle_manifest": op13()}

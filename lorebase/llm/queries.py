@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lorebase.llm.bpe_stream import bpe_round_trip
 from lorebase.llm.changes import apply_changes
+from lorebase.llm.jaccard import jaccard_components
 from lorebase.llm.merkle import proofs
 from lorebase.llm.mixing import mix
 from lorebase.llm.oracle import oracle_sql  # noqa: F401
@@ -76,6 +77,10 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), payload=False)
 
 
+def op11_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir), words=5, percent=80)
+
+
 def op12_apply_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_changes(spark.read.parquet(f"{sf_dir}/client_changes.parquet")).drop("n")
 
@@ -98,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bm25_top_k": op8_bm25_top_k,
         "op9_lm_scores": op9_lm_scores,
         "op10_bpe_round_trip": op10_bpe_round_trip,
+        "op11_ngram_jaccard": op11_ngram_jaccard,
         "op12_apply_changes": op12_apply_changes,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
