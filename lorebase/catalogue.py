@@ -40,7 +40,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 def _load() -> None:
     """The queries that stand in modules of their own."""
-    from lorebase import catalogue_store, catalogue_text  # noqa: F401
+    from lorebase import catalogue_engine, catalogue_store, catalogue_text  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

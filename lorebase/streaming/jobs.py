@@ -6,9 +6,9 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 
 def sessions(events: DataFrame, by: str, at: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
@@ -23,29 +23,70 @@ def windows(events: DataFrame, at: str, *by: str, size: str = "1 hour", slide: s
     return g.select(F.col("w.start").alias("start"), *by, "n")
 
 
-def working_memory(writes: DataFrame, owner: str = "owner_id", key: str = "key", value: str = "value", ttl_ms: str = "ttl_ms") -> DataFrame:
-    """Latest value by (owner, key), emitted on each write and once more, as null, when its time is over.
+LIVE = "owner_id string, key string, value string, at_us bigint, live boolean"
 
-    writes: the columns named, with the time to live of each write in milliseconds.
+
+class LatestValue(StatefulProcessor):
+    """The latest value of a key by event time, until its life is over.
+
+    Value state holds (value, time in microseconds, end of life in milliseconds); an event-time
+    timer stands at the end.  A write that is older than what is held changes nothing, whenever it
+    comes; of writes at one time the greatest value counts, null least.
     """
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    def keep(who: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"owner_id": [str(who[0])], "key": [str(who[1])], "value": [None], "live": [False]})
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.held = handle, handle.getValueState("held", "value string, at_us bigint, ends bigint")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        order, last = (lambda at, value: (at, value is not None, value or "")), None
+        for frame in rows:
+            latest = frame[frame["at_us"] == frame["at_us"].max()]
+            for value, ttl in zip(latest["value"], latest["ttl_ms"], strict=True):
+                new = (value if isinstance(value, str) else None, int(latest["at_us"].iloc[0]), int(ttl))
+                last = new if last is None or order(new[1], new[0]) > order(last[1], last[0]) else last
+        before = self.held.get()
+        if last is None or (before is not None and order(last[1], last[0]) <= order(before[1], before[0])):
             return
-        last: Any = None
-        for frame in frames:
-            if len(frame):
-                last = frame.iloc[-1]
-        if last is not None:
-            state.update((str(last[value]),))
-            state.setTimeoutDuration(max(1, int(last[ttl_ms])))
-            yield pd.DataFrame({"owner_id": [str(who[0])], "key": [str(who[1])], "value": [str(last[value])], "live": [True]})
-
-    grouped = writes.select(owner, key, value, ttl_ms).groupBy(owner, key)
-    return grouped.applyInPandasWithState(keep, "owner_id string, key string, value string, live boolean", "value string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+        ends = last[1] // 1000 + max(1, last[2])
+        if before is not None:
+            self.handle.deleteTimer(before[2])
+        self.held.update((last[0], last[1], ends))
+        self.handle.registerTimer(ends)
+        yield self._row(key, last[0], last[1], True)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        before = self.held.get()
+        if before is not None and before[2] <= expiredTimerInfo.getExpiryTimeInMs():
+            self.held.clear()
+            yield self._row(key, None, before[1], False)
+
+    def close(self) -> None:
+        pass
+
+    def _row(self, key: Any, value: str | None, at_us: int, live: bool) -> pd.DataFrame:
+        return pd.DataFrame({"owner_id": [key[0]], "key": [key[1]], "value": [value], "at_us": [at_us], "live": [live]})
+
+
+def working_memory(writes: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Changes of the latest value by (owner_id, key): a live row when a later write comes, one that isn't when its life is over.
+
+    writes: owner_id, key, value, at (event time), ttl_ms (how long it lives from then on); rows
+    without a time are left out, and rows later than ``late`` by the watermark.  The session keeps
+    state in RocksDB (:func:`stateful`).
+    """
+    rows = writes.filter(F.col("at").isNotNull()).select(F.col("owner_id").cast("string"), F.col("key").cast("string"), F.col("value").cast("string"), F.col("at").cast("timestamp"), F.unix_micros(F.col("at").cast("timestamp")).alias("at_us"), F.col("ttl_ms").cast("bigint"))
+    return rows.withWatermark("at", late).groupBy("owner_id", "key").transformWithStateInPandas(LatestValue(), LIVE, "append", "eventTime")
+
+
+def stateful(spark: SparkSession) -> SparkSession:
+    """A session of its own whose streaming state lies in RocksDB, as ``transformWithState`` needs."""
+    own = spark.newSession()
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(name, spark.conf.get(name))
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
+    return own
 
 
 def reflect(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, dream: Callable[[int], None] | None = None, every: int = 5) -> StreamingQuery:

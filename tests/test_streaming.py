@@ -1,10 +1,13 @@
 """Streaming jobs on small folders of files."""
 
-import time
+from datetime import datetime
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from lorebase.streaming import jobs
+from lorebase.streaming import jobs, late
+from lorebase.streaming.ledger import Files, Ledger
 
 
 def test_sessions_close_behind_the_watermark(spark, tmp_path):
@@ -30,14 +33,78 @@ def test_reflection_takes_each_row_once(spark, tmp_path):
     assert sum(seen) == 20 and dreams == [1]
 
 
-def test_working_memory_emits_the_latest(spark, tmp_path):
-    df = spark.createDataFrame([("u", "k", "1", 60000), ("u", "j", "2", 60000)], "owner_id string, key string, value string, ttl_ms bigint")
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = jobs.working_memory(stream).writeStream.format("memory").queryName("live").outputMode("update").trigger(processingTime="1 second").option("checkpointLocation", str(tmp_path / "c")).start()
-    # State with a life never runs out of work, so there is no "all available" to wait for.
-    ends = time.time() + 90
-    while time.time() < ends and spark.table("live").count() < 2:
-        time.sleep(1)
-    q.stop()
-    assert {(r.key, r.value, r.live) for r in spark.table("live").collect()} == {("k", "1", True), ("j", "2", True)}
+def fed(spark, rows, schema, path):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+
+
+WRITES = "owner_id string, key string, value string, at timestamp, ttl_ms bigint"
+
+
+def remembered(spark, tmp_path, parts, late="1 hour"):
+    """What working memory emits for parts, each fed to a stream that is started anew."""
+    own = jobs.stateful(spark)
+    stream, out = None, str(tmp_path / "out")
+    for part in parts:
+        fed(own, [(o, k, v, datetime.fromisoformat(at), ttl) for o, k, v, at, ttl in part], WRITES, str(tmp_path / "in"))
+        stream = own.readStream.schema(WRITES).parquet(str(tmp_path / "in"))
+        jobs.working_memory(stream, late).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    return sorted((r.key or "", r.value or "", r.live) for r in spark.read.schema(jobs.LIVE).parquet(out).collect())
+
+
+def test_a_value_ends_with_its_life(spark, tmp_path):
+    """A value lives by event time: a key that nothing comes for any more ends when the watermark passes its end, also after a restart."""
+    hour = 3_600_000
+    parts = [[("u", "short", "1", "2024-01-01T00:00:00", hour), ("u", "long", "2", "2024-01-01T00:00:00", 9 * hour)], [("u", "other", "3", "2024-01-01T03:00:00", hour)]]
+    assert remembered(spark, tmp_path, parts) == [("long", "2", True), ("other", "3", True), ("short", "", False), ("short", "1", True)]
+
+
+def test_latest_is_by_event_time(spark, tmp_path):
+    day = 86_400_000
+    parts = [[("u", "k", "new", "2024-01-02T00:00:00", day), ("u", "k", "newer", "2024-01-02T00:30:00", day)], [("u", "k", "old", "2024-01-01T23:50:00", day), ("u", "k", "newest", "2024-01-02T00:40:00", day), ("u", None, "x", "2024-01-02T00:40:00", day)]]
+    assert [x for x in remembered(spark, tmp_path, parts) if x[0] == "k"] == [("k", "newer", True), ("k", "newest", True)]
+
+
+def test_a_batch_that_is_killed_before_its_commit_counts_once(spark, tmp_path):
+    """The step writes, the driver is lost before the commit; the batch runs again; a batch that is committed runs no more."""
+    ledger, killed = Ledger(spark, str(tmp_path / "l"), "q"), []
+
+    def kill(batch_id):
+        if batch_id == 1 and not killed:
+            killed.append(batch_id)
+            raise RuntimeError("lost")
+
+    def start():
+        stream = spark.readStream.schema("id bigint").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        return stream.writeStream.foreachBatch(ledger.run(lambda df, i: {"rows": df.withColumn("batch", F.lit(i))}, kill)).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+
+    for i in range(3):
+        spark.range(i * 10, i * 10 + 10).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    with pytest.raises(StreamingQueryException):
+        start().awaitTermination()
+    assert ledger.table("rows", "id bigint, batch int").count() == 10 and killed == [1]
+    start().awaitTermination()
+    assert sorted(r.id for r in ledger.table("rows", "id bigint, batch int").collect()) == list(range(30))
+    # A batch that the checkpoint forgot and the ledger has.
+    ledger.run(lambda df, i: {"rows": df.withColumn("batch", F.lit(i))})(spark.range(10), 0)
+    other = Ledger(spark, str(tmp_path / "l"), "other")
+    other.run(lambda df, i: {"rows": df.withColumn("batch", F.lit(i))})(spark.range(5), 0)
+    assert ledger.table("rows", "id bigint, batch int").count() == 30 and other.table("rows", "id bigint, batch int").count() == 5
+    assert ledger.compact_log(1) == 2 and ledger.table("rows", "id bigint, batch int").count() == 30
+    assert len(list((tmp_path / "l" / "q" / "rows").iterdir())) == 3
+
+
+def test_only_one_creates_a_file(spark, tmp_path):
+    files = Files(spark, str(tmp_path / "f"))
+    assert files.create("a", "one") and not files.create("a", "two") and files.read("a") == "one" and files.names() == ["a"]
+
+
+def test_late_rows_go_to_their_own_table(spark, tmp_path):
+    schema, ledger = "id bigint, at timestamp_ntz, v double", Ledger(spark, str(tmp_path / "l"), "w")
+    parts = [[(1, "2024-01-01T10:10", 1.0), (2, "2024-01-01T12:00", 2.0)], [(3, "2024-01-01T10:50", 4.0), (4, "2024-01-01T11:20", 8.0), (5, None, 16.0), (6, "2024-01-01T15:00", None)]]
+    step = late.parted(ledger, "at", "1 hour", "1 hour", F.col("v"), ["id"])
+    for part in parts:
+        fed(spark, [(i, at and datetime.fromisoformat(at), v) for i, at, v in part], schema, str(tmp_path / "in"))
+        spark.readStream.schema(schema).parquet(str(tmp_path / "in")).writeStream.foreachBatch(ledger.run(step)).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert [(r.id, r.watermark.hour) for r in ledger.table("late", "id bigint, watermark timestamp_ntz").collect()] == [(3, 11)]
+    got = sorted((r.start.hour, r.n, r.total, r.closed) for r in late.counts(ledger, "1 hour").collect())
+    assert got == [(10, 1, 1.0, True), (11, 1, 8.0, True), (12, 1, 2.0, True), (15, 1, None, False)]
