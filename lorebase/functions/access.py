@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PII = {"ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "card": r"[0-9]{16}", "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"}
@@ -71,6 +71,34 @@ def decided(policies: Sequence[Policy]) -> Column:
     return none if out is None else out.otherwise(none)
 
 
+#: Columns of a table of policies; ``since`` orders the changes of one name, ``removed`` ends it.
+POLICIES = "name string, priority int, condition string, allow boolean, since bigint, removed boolean"
+#: What people write comes to the driver; a larger table is an error, not cut.
+MOST_POLICIES = 1000
+
+
+def policies_of(table: DataFrame, columns: Sequence[str]) -> list[Policy]:
+    """Policies from rows (:data:`POLICIES`): of each name the latest change, unless it removes the name.
+
+    A condition is SQL over ``columns`` and nothing else: one that can't be read, isn't boolean or names another column is an error
+    that names the policy.  A condition that is null for a row doesn't match it.
+    """
+    latest = table.groupBy("name").agg(F.max_by(F.struct(*[c for c in table.columns if c != "name"]), F.struct("since", "removed", "priority", "condition", "allow")).alias("p"))
+    rows = latest.filter(~F.coalesce("p.removed", F.lit(False))).select("name", "p.*").orderBy(F.desc("priority"), "name").limit(MOST_POLICIES + 1).collect()
+    if len(rows) > MOST_POLICIES:
+        raise ValueError(f"more than {MOST_POLICIES} policies")
+    out = []
+    for r in rows:
+        try:
+            kind = table.sparkSession.createDataFrame([], ", ".join(columns)).select(F.expr(r["condition"]).alias("c")).schema["c"].dataType.simpleString()
+        except Exception as e:
+            raise ValueError(f"policy {r['name']}: {str(e).splitlines()[0]}") from e
+        if kind != "boolean":
+            raise ValueError(f"policy {r['name']}: its condition is {kind}")
+        out.append(Policy(r["name"], r["priority"], F.coalesce(F.expr(r["condition"]), F.lit(False)), bool(r["allow"])))
+    return out
+
+
 @dataclass
 class Preferences:
     """What a user wants remembered, and for how long."""
