@@ -40,12 +40,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from lorebase.storage import materialise, new_folder, released
+from lorebase.storage import materialise, new_folder
 
 BATCHES, FIRST_DAY, DAYS, PATIENCE = 12, 19723, 160, 3
 SLOTS, BAND = 8, 4096
-#: Rows for which there is a bucket more.
-BUCKET_ROWS = 100_000
+#: Buckets that there are at least, and rows for which there is one more.
+BUCKETS, BUCKET_ROWS = 16, 20_000
 #: Days before and after all others.
 NEVER, ALWAYS = -(1 << 40), 1 << 40
 TICK, LEAD, LATER = 0, 1, 2
@@ -227,9 +227,11 @@ def apply_changes(changes: DataFrame) -> DataFrame:
     """
     spark = changes.sparkSession
     own, fed, folder = session_for_state(spark), new_folder(spark, "changes-fed"), new_folder(spark, "changes")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(2 * parts, changes.count() // BUCKET_ROWS)
-    rows = materialise(prepared(changes, buckets), "changes-prepared")
+    buckets = BUCKETS + changes.count() // BUCKET_ROWS
+    path = f"{new_folder(spark, 'changes-prepared')}/rows"
+    # By batch, so that feeding one reads no other.
+    prepared(changes, buckets).repartition("batch", F.pmod("bucket", F.lit(8))).write.partitionBy("batch").parquet(path)
+    rows = spark.read.schema(FED).parquet(path)
     # As many rows as batches.
     largest = {r["batch"]: r["day"] for r in rows.groupBy("batch").agg(F.max("day").alias("day")).collect()}
     later = F.col("kind") == LATER
@@ -248,7 +250,6 @@ def apply_changes(changes: DataFrame) -> DataFrame:
         query = out.writeStream.format("parquet").option("path", f"{folder}/given").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
         query.awaitTermination()
         seen = max(seen, largest.get(batch, NEVER))
-    released(rows)
     given = spark.read.schema(GIVEN).parquet(f"{folder}/given")
     last = given.filter("status = 'applied'").groupBy(F.col("client_id").alias("_c")).agg(F.max("n").alias("_n"))
     met = given.join(last.hint("merge"), F.col("client_id").eqNullSafe(F.col("_c")) & (F.col("n") == F.col("_n")) & (F.col("status") == "applied"), "left")
