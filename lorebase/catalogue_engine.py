@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorebase.catalogue import query
+from lorebase.catalogue_text import MAILS
 from lorebase.functions import access
 from lorebase.operators import learning, reading
 from lorebase.plans import views as V
+from lorebase.sources import mail
+from lorebase.sources.exports import SCHEMA as MESSAGES
+from lorebase.sources.exports import Exports
 from lorebase.storage import new_folder
 from lorebase.streaming import jobs, late
 from lorebase.streaming.ledger import Ledger
@@ -302,3 +306,41 @@ def policy_table_decisions(spark, d):
         one = V.table(spark, d, "sales").select(F.lit(version).alias("version"), said.alias("s")).groupBy("version", "s.policy", "s.allowed").agg(F.count(F.lit(1)).alias("n"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+# -- a data source ------------------------------------------------------------------------------
+
+_MAILBOX = f"with {MAILS} select id, role || ' <' || role || '@x.org>' sender, t body from m"
+
+
+def _mailbox(spark, d, where):
+    """Mails of the turns of conversations, as mailboxes in a folder."""
+    c = V.table(spark, d, "conversations").filter(where).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "role", F.trim(F.regexp_replace("text", "\n+", " ")).alias("t"))
+    head = F.concat(F.lit("From - \nFrom: "), "role", F.lit(" <"), "role", F.lit("@x.org>\nSubject: turn "), F.col("id").cast("string"), F.lit("\n\n"))
+    return c.select(F.concat(head, F.regexp_replace("t", "(?m)^From ", ">From "), F.lit("\n")).alias("value"))
+
+
+def _mail_rows(raw):
+    m = mail.emails(raw, "raw", "file", "start")
+    return m.select(F.regexp_extract("subject", "turn ([0-9]+)", 1).cast("bigint").alias("id"), "sender", F.regexp_replace("body", "(?m)^>From ", "From ").alias("body"))
+
+
+@query("source_mailboxes", _MAILBOX)
+def source_mailboxes(spark, d):
+    """Mails by the data source, its files read in ranges of 16 KB."""
+    spark.dataSource.register(Exports)
+    path = new_folder(spark, "mailboxes")
+    _mailbox(spark, d, F.lit(True)).write.mode("append").text(path)
+    return _mail_rows(spark.read.format("lorebase_exports").option("path", path).option("split", 1 << 14).load())
+
+
+@query("source_mailboxes_stream", _MAILBOX)
+def source_mailboxes_stream(spark, d):
+    """The same as a stream, started anew after more files have come."""
+    spark.dataSource.register(Exports)
+    path, at = new_folder(spark, "mailboxes"), new_folder(spark, "mailboxes-read")
+    for part in range(2):
+        _mailbox(spark, d, F.col("conv_id") % 2 == part).write.mode("append").text(path)
+        stream = spark.readStream.format("lorebase_exports").option("path", path).option("split", 1 << 14).load()
+        stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return _mail_rows(spark.read.schema(MESSAGES).parquet(f"{at}/out"))
