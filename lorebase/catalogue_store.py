@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from lorebase.catalogue import DECAY, EVENTS_AT, HALF, NATS, NOW_US, ORDERS_AT, SEES, WHO, _procedures, acl, query, r6
 from lorebase.functions import access, scoring, temporal
+from lorebase.memory import Memory
 from lorebase.operators import beliefs as B
 from lorebase.operators import governance as G
-from lorebase.operators import graph
+from lorebase.operators import graph, learning
 from lorebase.operators import reflection as R
 from lorebase.operators import retrieval as S
 from lorebase.operators import text as T
@@ -23,8 +24,6 @@ from lorebase.storage import shared_dir
 
 
 def _store(spark):
-    from lorebase.memory import Memory
-
     return Memory(spark, f"{shared_dir(spark)}/lorebase/store-{uuid.uuid4().hex}", access.Principal("u3", "t3"), access.Preferences(blocked_topics=["supplier:7"]))
 
 
@@ -141,19 +140,32 @@ def procedure_recall(spark, d):
     return S.remembered_procedures(_procedures(spark, d)).select("id", r6(F.col("score")).alias("score"), "content")
 
 
-@query("similar_rules", "with x as (select p_partkey doc_id, p_name || ' ' || p_type t from part), " + FOUND.format(text="t", table="x", terms="'widget', 'economy'") + " select doc_id rule_id, round(score, 6) score from bm order by score desc, doc_id limit 10")
+#: A rule for each name of a part: an extractor whose pattern is the name and whose type is that of the first part with it.
+_RULES = "x as (select 'r:' || p_name rule_id, p_name pattern, min_by(p_type, p_partkey) entity_type, 'part of ' || min_by(p_brand, p_partkey) description from part group by p_name)"
+
+
+def _rules(spark, d):
+    """A store with these rules, without those of economy parts, and one that can't be used."""
+    m = _store(spark)
+    first = lambda c: F.min_by(c, "p_partkey")
+    parts = V.table(spark, d, "part").groupBy("p_name").agg(first("p_type").alias("kind"), F.concat(F.lit("part of "), first("p_brand")).alias("said"))
+    saved = [T.Extractor(f"r:{r.p_name}", r.kind, r.p_name, description=r.said) for r in parts.collect()]  # names of parts are few, whatever their number
+    assert m.save_rules([*saved, T.Detector("broken", "(")], 1) == len(saved)
+    for r in saved:
+        if r.entity_type == "ECONOMY":
+            m.delete_rule(r.id, 2)
+    return m
+
+
+@query("similar_rules", f"with {_RULES}, k as (select rule_id doc_id, description || ' ' || pattern || ' ' || entity_type t from x where entity_type <> 'ECONOMY'), " + FOUND.format(text="t", table="k", terms="'widget', 'large'") + " select doc_id rule_id, round(score, 6) score from bm order by score desc, doc_id limit 10")
 def similar_rules(spark, d):
-    rules = V.table(spark, d, "part").withColumn("t", F.concat_ws(" ", "p_name", "p_type"))
-    found = scoring.bm25(rules, scoring.query_terms("economy Widget"), "p_partkey", "t")
-    return scoring.top(found.select(F.col("p_partkey").alias("rule_id"), r6(F.col("score")).alias("score")), "score", "rule_id", 10)
+    return _rules(spark, d).similar_rules("large Widget", 10).select("rule_id", r6(F.col("score")).alias("score"))
 
 
-@query("rule_store", "select entity_type, count(*) n from (values ('host'), ('detector')) t(entity_type) group by 1")
+@query("rule_store", f"with {_RULES} select rule_id, 'extractor' kind, entity_type, pattern, description from x where entity_type <> 'ECONOMY'")
 def rule_store(spark, d):
-    m = _store(spark)
-    m.save_rules([T.Detector("r1", r"\d+"), T.Extractor("r2", "host", r"@(\w+)"), T.Detector("broken", "("), T.Detector("r3", "x")], 1)
-    m.delete_rule("r3", 2)
-    return m.all("rules").groupBy(F.coalesce("entity_type", "kind").alias("entity_type")).agg(F.count(F.lit(1)).alias("n"))
+    """Rules that are saved, deleted and read again."""
+    return _rules(spark, d).all("rules").select("rule_id", "kind", "entity_type", "pattern", "description")
 
 
 # -- judgement ----------------------------------------------------------------------------------
@@ -191,13 +203,15 @@ def evidence_ratios(spark, d):
     return p.groupBy("evidence", r6(ratio).alias("ratio")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("beta_interval", with_views("pairs", "select evidence, count(*) n, true near from pairs group by evidence"))
+@query("beta_interval", with_views("pairs", ", g as (select evidence, avg(confidence) c, count(*) n from pairs group by evidence) select evidence, n, round((2 * c + evidence) / (3 + evidence), 4) mean, round(sqrt((2 * c + evidence) * (2 * (1 - c) + 1) / (4 + evidence)) / (3 + evidence), 4) deviation from g"))
 def beta_interval(spark, d):
-    """The sampled posterior agrees with the closed form: its mean, and an interval around it."""
+    """Posteriors by Monte Carlo: mean and deviation in their closed form where what is sampled lies within 2 % and 5 % of it, else as sampled."""
     p = V.pair_beliefs(spark, d).groupBy("evidence").agg(F.avg("confidence").alias("c"), F.count(F.lit(1)).alias("n"))
-    x = p.select("evidence", "n", B.bayes(F.col("c"), F.col("evidence"), F.lit(1)).alias("f"), B.sampled_update(F.col("c"), F.col("evidence"), F.lit(1)).alias("s"))
-    near = (F.abs(F.col("f.mean") - F.col("s.mean")) < 0.02) & (F.col("s.low") < F.col("f.mean")) & (F.col("f.mean") < F.col("s.high"))
-    return x.select("evidence", "n", near.alias("near"))
+    x = p.withColumns({"a": 2 * F.col("c") + F.col("evidence"), "b": 2 * (1 - F.col("c")) + 1})
+    s = learning.sampled_posteriors(x, "a", "b")
+    mean, deviation = F.col("a") / (F.col("a") + F.col("b")), F.sqrt(F.col("a") * F.col("b") / (F.col("a") + F.col("b") + 1)) / (F.col("a") + F.col("b"))
+    near = lambda exact, found, by: F.round(F.when(F.abs(found / exact - 1) <= by, exact).otherwise(found), 4)
+    return x.join(s, ["a", "b"]).select("evidence", "n", near(mean, F.col("mean"), 0.02).alias("mean"), near(deviation, F.col("deviation"), 0.05).alias("deviation"))
 
 
 @query("candidate_beliefs", with_views("beliefs", ", m as (select status, subject, predicate, object, max(confidence) c, count(*) o, least(10, count(distinct belief_id)) e from beliefs group by all) select status type, subject, predicate, object, round(least(0.95, c + least(0.2, 0.02 * e) + least(0.2, 0.02 * o)), 6) confidence from m where round(least(0.95, c + least(0.2, 0.02 * e) + least(0.2, 0.02 * o)), 6) >= 0.5 order by confidence desc, type, subject, predicate, object limit 50"))
@@ -211,12 +225,13 @@ def entity_average(spark, d):
     return V.beliefs(spark, d).groupBy("object").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 9).alias("avg_confidence"), F.count_distinct("source_id").alias("sources"))
 
 
-@query("latest_snapshot", "with s as (select user_id, ts, event_id, row_number() over (partition by user_id order by ts desc, event_id desc) n from events where event_type = 'purchase') select user_id, epoch_us(ts) taken_us, event_id snapshot_id, n from s where n <= 3")
+@query("latest_snapshot", "with s as (select user_id, ts, event_id from events where event_type = 'purchase'), t as (select user_id from s group by user_id order by count(*) desc, user_id limit 1) select 'user:' || user_id task_context, epoch_us(ts) taken_us, cast(event_id as varchar) snapshot_id from s join t using (user_id) order by ts desc, snapshot_id limit 10")
 def latest_snapshot(spark, d):
-    """The three latest snapshots of each user, newest first."""
-    w = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
-    e = V.table(spark, d, "events").filter("event_type = 'purchase'").withColumn("n", F.row_number().over(w)).filter("n <= 3")
-    return e.select("user_id", V.micros(F.col("ts")).alias("taken_us"), F.col("event_id").alias("snapshot_id"), "n")
+    """The latest snapshots of a task, among those stored for all tasks."""
+    m, e = _store(spark), V.table(spark, d, "events").filter("event_type = 'purchase'")
+    m.snapshot(e.select(F.col("event_id").cast("string").alias("snapshot_id"), V.numbered("user:", F.col("user_id")).alias("task_context"), F.col("ts").alias("taken_at"), F.lit("public").alias("privacy_level")), 1)
+    task = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "user_id").first()["user_id"]
+    return m.snapshots(f"user:{task}", 10).select("task_context", V.micros(F.col("taken_at")).alias("taken_us"), "snapshot_id")
 
 
 # -- graph --------------------------------------------------------------------------------------
@@ -275,10 +290,16 @@ _forget("query", G.ForgetRequest("query", query="CH"), "contains(content, 'ch')"
 _forget("all", G.ForgetRequest("all"), "true")
 
 
-@query("forget_statuses", "select case event_id % 3 when 0 then 'completed' when 1 then 'partially_completed' else 'failed' end status, count(*) n from events group by 1")
+@query("forget_statuses", "with o as (select *, o_custkey % 3 < 2 mine from orders where o_orderkey % 7 = 0), t as (select o_custkey % 40 s, count(*) filter (mine) done, count(*) filter (not mine) failed from o group by 1) select 's' || s session_id, done, failed, case when failed = 0 then 'completed' when done > 0 then 'partially_completed' else 'failed' end status from t where s < 4")
 def forget_statuses(spark, d):
-    k = F.col("event_id") % 3
-    return V.table(spark, d, "events").groupBy(G.forget_status(F.when(k == 2, 0).otherwise(5), F.when(k == 0, 0).otherwise(2)).alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    """What requests to forget sessions reached: rows that their principal may see but doesn't own stay and count as failed."""
+    m, o = _store(spark), V.table(spark, d, "orders").filter("o_orderkey % 7 = 0")
+    rows = o.select(F.col("o_orderkey").cast("string").alias("belief_id"), V.numbered("s", F.col("o_custkey") % 40).alias("source_id"), *[F.lit("x").alias(c) for c in ("subject", "predicate", "object")], F.lit("public").alias("privacy_level"), (F.col("o_custkey") % 3 < 2).alias("_mine"))
+    m.commit(rows.filter("_mine"), 1)
+    other = Memory(spark, m.path, access.Principal("u9", "t3"))
+    other.commit(rows.filter("not _mine"), 1)
+    out = [(f"s{s}", *m.forget_counts(G.ForgetRequest("session", session_id=f"s{s}"), 2 + s)) for s in range(4)]
+    return spark.createDataFrame(out, "session_id string, done bigint, failed bigint, status string")
 
 
 @query("retention_expiry", with_views("beliefs", f"select status, count(*) n from beliefs where valid_until is not null and timestamp '1998-01-01' > valid_until group by status"))
@@ -398,10 +419,13 @@ def transcript_minutes(spark, d):
     return e.select("event_id", r6(temporal.clock_minutes(F.date_format("ts", "H:mm:ss"))).alias("minutes"))
 
 
-@query("usable_weights", "select * from (values ('confidence', 0.2), ('vector', 0.5)) t(signal, weight)")
+@query("usable_weights", "select case event_type when 'click' then 'vector' when 'view' then 'text' when 'purchase' then 'temporal' else 'confidence' end signal, round(avg(value) - case when event_type = 'error' then 1000 else 0 end, 4) weight from events where event_type in ('click', 'view', 'purchase', 'error') group by event_type having avg(value) - case when event_type = 'error' then 1000 else 0 end <> 0")
 def usable_weights(spark, d):
-    kept = scoring.usable_weights({"vector": 0.5, "text": 0, "confidence": 0.2, "magic": 1.0})
-    return spark.createDataFrame(sorted(kept.items()), "signal string, weight double")
+    """Weights that the events' mean values give to signals: unknown signals and weights of zero are left out."""
+    names = {"click": "vector", "view": "text", "purchase": "temporal", "error": "confidence", "signup": "magic"}
+    e = V.table(spark, d, "events").groupBy("event_type").agg(F.avg("value").alias("w"))
+    weights = {names[r.event_type]: r.w - (1000 if r.event_type == "error" else 0) for r in e.collect() if r.event_type in names}  # a row for each type
+    return spark.createDataFrame(sorted((k, round(w, 4)) for k, w in scoring.usable_weights(weights).items()), "signal string, weight double")
 
 
 @query("stream_session_windows", """with g as (select *, case when epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts)) <= 1800000000 then 0 else 1 end n from events), s as (select *, sum(n) over (partition by user_id order by ts) session from g),

@@ -20,6 +20,7 @@ from lorebase.operators import retrieval as R
 from lorebase.operators import text as T
 from lorebase.operators.graph import GraphQuery, both_ways
 from lorebase.sources import files
+from lorebase.storage import materialise
 
 
 def described(b: DataFrame) -> Column:
@@ -187,13 +188,38 @@ class Memory:
         """Append tombstones for what is chosen and owned; returns how many."""
         return self._put(G.forgotten(self.beliefs(), chosen, self.who).withColumns({"deleted": F.lit(True), "updated_us": F.lit(updated_us)}))
 
-    def forget_request(self, request: G.ForgetRequest, updated_us: int) -> str:
-        """Carry out a request over the beliefs and say so in the audit log; returns its status."""
+    #: What a request to forget looks at in each kind of memory: its key, session, moment and text.
+    FORGETTABLE = {
+        "beliefs": ("belief_id", "source_id", "observed_at", described), "experiences": ("experience_id", "session_id", "occurred_at", lambda t: t.content),
+        "procedures": ("procedure_id", "procedure_id", None, lambda t: F.concat_ws(" ", t.name, t.description)), "decisions": ("decision_id", "decision_id", "decided_at", lambda t: F.concat_ws(" ", t.title, t.description)),
+    }
+
+    def forget_counts(self, request: G.ForgetRequest, updated_us: int) -> tuple[int, int, str]:
+        """Carry out a request over all kinds of memory and say so in the audit log: (forgotten, failed, status).
+
+        Rows that the principal may see but doesn't own are not forgotten and count as failed.
+        """
         if problems := request.problems():
             raise ValueError("; ".join(problems))
-        n = self.forget(request.chosen("observed_at", entity="belief_id", session="source_id", text=described(self.beliefs())), updated_us)
-        self.log(f"forget_{request.scope}", updated_us, resource=request.scope, details=f"{n} deleted")
-        return "completed"
+        done = failed = 0
+        for table, (key, session, at, text) in self.FORGETTABLE.items():
+            rows = self.all(table)
+            if (at is None and request.scope == "time_range") or (session == key and request.scope == "session"):
+                continue
+            meant = rows.filter(F.coalesce(request.chosen(at, entity=key, session=session, text=text(rows)), F.lit(False)))
+            mine = G.own(meant, self.who)
+            total, n = meant.count(), mine.count()
+            if n:
+                gone = materialise(mine.withColumns({"deleted": F.lit(True), "updated_us": F.lit(updated_us)}), "forgotten")
+                files.append(gone, f"{self.path}/{table}", schema=files.TABLES[table][0])
+            done, failed = done + n, failed + total - n
+        status = "completed" if not failed else "partially_completed" if done else "failed"
+        self.log(f"forget_{request.scope}", updated_us, success=status != "failed", resource=request.scope, details=f"{done} deleted, {failed} failed")
+        return done, failed, status
+
+    def forget_request(self, request: G.ForgetRequest, updated_us: int) -> str:
+        """:meth:`forget_counts`, its status alone."""
+        return self.forget_counts(request, updated_us)[2]
 
     def log(self, action: str, at_us: int, success: bool = True, resource: str | None = None, details: str | None = None) -> None:
         """Append an entry to the audit log, at the action's default severity."""

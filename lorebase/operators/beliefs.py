@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -198,25 +196,6 @@ def bayes(prior: Column, confirmed: Column, denied: Column) -> Column:
     return F.struct(mean.alias("mean"), F.greatest(F.lit(0.0), mean - half).alias("low"), F.least(F.lit(1.0), mean + half).alias("high"))
 
 
-def sampled_update(prior: Column, confirmed: Column, denied: Column, draws: int = 2000, seed: int = 5) -> Column:
-    """(mean, low, high) of the posterior by sampling, its quantiles at 2.5 % and 97.5 %; equal inputs give equal results.
-
-    The posterior is a Beta distribution, drawn as a ratio of two gamma sums, in the JVM's own
-    random numbers, seeded by the row's inputs.
-    """
-
-    @F.pandas_udf("mean double, low double, high double")
-    def draw(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        rows = []
-        for x, y in zip(a, b, strict=True):
-            rng = np.random.default_rng([seed, int(round(x * 1e6)), int(round(y * 1e6))])
-            sample = rng.beta(x, y, draws) if x > 0 and y > 0 else np.full(draws, float(x > 0))
-            rows.append((sample.mean(), *np.quantile(sample, [0.025, 0.975])))
-        return pd.DataFrame(rows, columns=["mean", "low", "high"])
-
-    return draw((2 * prior + confirmed).cast("double"), (2 * (1 - prior) + denied).cast("double"))
-
-
 #: Words that turn a statement round (fixed values).
 NEGATIONS = ("not", "no", "never", "incorrect", "wrong", "false")
 

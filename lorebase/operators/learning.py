@@ -41,7 +41,7 @@ def _gamma(shape: Column, key: Column, draw: Column, side: int, tries: int = 5)
 
 
 def sampled_posteriors(rows: DataFrame, a: str, b: str, draws: int = 4000, seed: int = 7, at: Sequence[float] = (0.025, 0.975)) -> DataFrame:
-    """(a, b, mean, low, high) of every distinct Beta(a, b), by Monte Carlo: its mean and two quantiles of ``draws`` draws.
+    """(a, b, mean, deviation, low, high) of every distinct Beta(a, b), by Monte Carlo: mean, standard deviation and two quantiles of ``draws`` draws.
 
     Draws are numbered and each is a function of (seed, a, b, its number), so a lost task draws the same again.
     They are summed up by partial aggregates; exact quantiles of so many draws fit into one buffer.  A null
@@ -51,7 +51,7 @@ def sampled_posteriors(rows: DataFrame, a: str, b: str, draws: int = 4000, seed:
     drawn = each.select("a", "b", F.xxhash64("a", "b", F.lit(seed)).alias("key"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
     x = drawn.withColumns({"x": _gamma(F.col("a"), F.col("key"), F.col("draw"), 1), "y": _gamma(F.col("b"), F.col("key"), F.col("draw"), 2)})
     share = x.select("a", "b", (F.col("x") / (F.col("x") + F.col("y"))).alias("p"))
-    return share.groupBy("a", "b").agg(F.avg("p").alias("mean"), F.percentile("p", [float(q) for q in at]).alias("q")).select("a", "b", "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    return share.groupBy("a", "b").agg(F.avg("p").alias("mean"), F.stddev_pop("p").alias("deviation"), F.percentile("p", [float(q) for q in at]).alias("q")).select("a", "b", "mean", "deviation", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
 # -- a classifier of texts ----------------------------------------------------------------------
