@@ -54,7 +54,7 @@ SLICE_TOKENS, MOST_SLICES = 2_000_000, 1 << 16
 #: Turns go on while one pair in so many is a link.
 WORTH = 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_sets = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("digest", pa.binary()), ("n", pa.int32()), ("head", pa.int64()), ("listed", pa.binary())])
+_sets = ["doc_id", "text_key", "digest", "n", "head", "listed"]
 
 
 def required(n: Column, percent: int) -> Column:
@@ -73,18 +73,18 @@ def shared_least(n: Column, percent: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.floor(n * percent / 100) / 10))
 
 
-def read(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """(doc_id, text_key, digest, n, head, listed) of every row; head: the digest's first 8 bytes."""
+def read(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(doc_id, text_key, digest, n, head, listed) of every row of texts (doc_id, text); head: the digest's first 8 bytes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             every = [shingles(t, words) for t in part.column(2).cast(pa.large_binary()).to_pylist()]
             digests = [xxhash.xxh128_digest(h.tobytes()) for h in every]
             heads = np.frombuffer(b"".join(d[:8] for d in digests), np.int64)
-            yield pa.record_batch([part.column(0), part.column(1), pa.array(digests, pa.binary()), pa.array([len(h) for h in every], pa.int32()), pa.array(heads), pa.array([listed(h, percent).tobytes() for h in every], pa.binary())], schema=_sets)
+            yield pa.record_batch([part.column(0), part.column(1), pa.array(digests, pa.binary()), pa.array([len(h) for h in every], pa.int32()), pa.array(heads), pa.array([listed(h, percent).tobytes() for h in every], pa.binary())], names=_sets)
 
-    rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.xxhash64(docs[text_col]).alias("text_key"), text_or_empty(docs[text_col]).alias("text"))
-    return rows.mapInArrow(work, "doc_id bigint, text_key bigint, digest binary, n int, head bigint, listed binary")
+    rows = texts.select("doc_id", F.xxhash64("text").alias("text_key"), text_or_empty(F.col("text")).alias("text"))
+    return rows.mapInArrow(work, f"doc_id {dict(texts.dtypes)['doc_id']}, text_key bigint, digest binary, n int, head bigint, listed binary")
 
 
 def shared_counts(rows: DataFrame) -> DataFrame:
@@ -259,9 +259,9 @@ def joined(nodes: DataFrame, percent: int) -> DataFrame:
     return components(materialise(found.unionByName(links), "jaccard-links"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (the smallest id that links reach)."""
-    rows = materialise(read(docs, id_col, text_col, words, percent), "jaccard-sets")
+def similar_sets(texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of texts (doc_id, text): every row's (doc_id, text_key, digest, n, ...), and (digest, root) of the sets that are linked with others."""
+    rows = materialise(read(texts, words, percent), "jaccard-sets")
     wanted = shared_counts(rows).join(rows.filter("n > 0").groupBy("digest", "head").agg(F.first("n").alias("n"), F.min(F.struct("text_key", "doc_id")).alias("of")), "head")
     kept = materialise(wanted.filter(F.col("shared") >= shared_least(F.col("n"), percent)).select(F.monotonically_increasing_id().alias("node"), "digest", "n", "of"), "jaccard-kept")
 
@@ -270,17 +270,30 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             sets = [shingles(t, words).view(np.int64) for t in part.column(2).cast(pa.large_binary()).to_pylist()]
             yield pa.record_batch([part.column(0), part.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["node", "n", "tokens"])
 
-    texts = docs.select(docs[id_col].cast("bigint").alias("_i"), F.xxhash64(docs[text_col]).alias("_k"), docs[text_col].alias("text"))
     asked = kept.select("node", "n", F.col("of.text_key").alias("_text_key"), F.col("of.doc_id").alias("_doc_id"))
-    once = texts.join(asked, (F.col("_k") == F.col("_text_key")) & F.col("_i").eqNullSafe(F.col("_doc_id"))).groupBy("node", "n").agg(F.any_value("text").alias("text"))
+    keyed = texts.select(F.col("doc_id").alias("_i"), F.xxhash64("text").alias("_k"), "text")
+    once = keyed.join(asked, (F.col("_k") == F.col("_text_key")) & F.col("_i").eqNullSafe(F.col("_doc_id"))).groupBy("node", "n").agg(F.any_value("text").alias("text"))
     sets = materialise(once.mapInArrow(again, "node bigint, n int, tokens array<bigint>"), "jaccard-tokens")
     nodes = materialise(ordered(sets, percent), "jaccard-order")
     released(sets)
-    roots = joined(nodes, percent)
+    return rows, kept.select("node", "digest").join(joined(nodes, percent), "node").select("digest", "root")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (the smallest id that links reach)."""
+    rows, found = similar_sets(docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text")), words, percent)
     # Copies share a digest: ids are summed up by it before they meet their component.
-    named = kept.select("node", "digest").join(roots, "node").select(F.col("digest").alias("_digest"), "root")
+    named = found.withColumnRenamed("digest", "_digest")
     ids = rows.groupBy("digest").agg(F.min("doc_id").alias("least")).join(named, F.col("digest") == F.col("_digest"), "left")
     names = ids.filter("root is not null").groupBy("root").agg(F.min("least").alias("name"))
     classes = materialise(ids.join(names, "root", "left").select(F.col("digest").alias("_digest"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("name")).alias("component_id")), "jaccard-classes")
     met = rows.select("doc_id", "digest", "n").join(classes, F.col("digest") == F.col("_digest"))
     return met.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def similar_classes(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(key, root) of texts (key, text): classes of linked sets; texts of one set, the empty one among them, are one class."""
+    rows, found = similar_sets(texts.select(F.col("key").alias("doc_id"), "text"), words, percent)
+    named = found.select(F.col("digest").alias("_digest"), F.concat(F.lit("n"), "root").alias("root"))
+    met = rows.select(F.col("doc_id").alias("key"), "digest").join(named, F.col("digest") == F.col("_digest"), "left")
+    return met.select("key", F.coalesce("root", F.hex("digest")).alias("root"))
