@@ -20,7 +20,6 @@ ties go to the smaller id; ids are taken to be unique; an empty table finds noth
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
