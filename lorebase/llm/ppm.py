@@ -25,7 +25,6 @@ other columns are ignored.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +44,6 @@ PIECE = 1 << 16
 BLOCK = 24_000_000
 #: Bytes of text of a block that are turned into grams at once.
 SLICE = 500_000
-#: Most pairs that ``learn`` keeps of each order; ``lm_scores`` keeps all.
-MODEL_PAIRS = 1 << 21
 #: Pairs that a task counts before it hands them on.
 FLUSH = 3_000_000
 END, START, BITS, SYMBOLS = 256, 257, 9, 257
@@ -72,28 +69,6 @@ def codes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out[symbols != START], offsets[:-1] + np.arange(n)
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-        return keys, np.bincount(at, weights=np.concatenate([c for _, c in held])).astype(np.int64)
-
-    def batch() -> pa.RecordBatch:
-        keys, counts = merged()
-        return pa.record_batch([pa.array(keys.astype(np.int64)), pa.array(counts)], names=["gram", "n"])
-
-    for part in slices(batches):
-        held.append(np.unique(codes(*text_bytes(part.column(part.schema.get_field_index("text"))))[0], return_counts=True))
-        if sum(len(k) for k, _ in held) > FLUSH:
-            held = [merged()]
-            if len(held[0][0]) > FLUSH // 2:
-                yield batch()
-                held = []
-    if held:
-        yield batch()
-
-
 class Trie:
     """The model: by order, its sorted pairs and contexts with what escaping from them costs."""
 
@@ -148,24 +123,6 @@ def mask(symbols: int) -> np.uint64:
     return np.uint64((1 << BITS * symbols) - 1)
 
 
-def learn(texts: DataFrame, model_pairs: int = MODEL_PAIRS) -> Trie:
-    """One trie of the column ``text`` in memory, of pairs that make up at least one in ``model_pairs`` of the symbols."""
-    grams = materialise(texts.select("text").mapInArrow(_counted, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")), "ppm-grams")
-    symbols = grams.agg(F.sum("n").alias("n")).first()["n"] or 0
-    least = max(1, -(-symbols // model_pairs))
-    shorter = [F.struct(F.lit(o).alias("order"), F.col("gram").bitwiseAND(F.lit(int(mask(o + 1)))).alias("pair")) for o in range(DEPTH + 1)]
-    by_order = grams.select(F.explode(F.array(*shorter)).alias("p"), "n").groupBy("p.order", "p.pair").agg(F.sum("n").alias("n"))
-    kept = by_order.filter(F.col("n") >= least).toArrow()
-    order, pair, n = (kept.column(c).to_numpy() for c in ("order", "pair", "n"))
-    out = []
-    for o in range(DEPTH + 1):
-        own = order == o
-        keys = pair[own].astype(np.uint64)
-        at = np.argsort(keys)
-        out.append((keys[at], n[own][at].astype(float)))
-    return Trie(out)
-
-
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys, sorted, with their counts together."""
     distinct, at = np.unique(keys, return_inverse=True)

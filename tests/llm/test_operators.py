@@ -550,12 +550,19 @@ def test_lm_scores(docs, rows):
         assert g.held_out == (zlib.crc32(str(r.doc_id).encode()) % 10 == 0)
 
 
+def whole_trie(texts):
+    """One trie of all texts in memory."""
+    data = [t.encode() for t in texts]
+    grams, n = np.unique(ppm.codes(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))[0], return_counts=True)
+    return ppm.Trie([ppm._summed(grams & ppm.mask(o + 1), n.astype(float)) for o in range(ppm.DEPTH + 1)])
+
+
 def test_every_pair_of_a_large_corpus_counts(spark):
     """Common words beyond 2^21 symbols leave a pair seen once in its place; blocks and pieces of any size agree."""
     common = [(i, "stone river cloud " * 12_000, "s") for i in range(12)]
     rare = [(100 + i, f"zq{i} wxv{i}k", "s") for i in range(20)]
     df = spark.createDataFrame(common + rare, "doc_id bigint, text string, source string")
-    trie = ppm.learn(df.filter(~ppm.held_out(df.doc_id)), model_pairs=1 << 40)
+    trie = whole_trie([r.text for r in df.filter(~ppm.held_out(df.doc_id)).collect()])
     assert sum(trie.pairs[0][1]) > 1 << 21
     want = {i: trie.log10(ppm.codes(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))[0]).sum() for i, text, _ in rare}
     once = by_id(ppm.lm_scores(df))
@@ -564,11 +571,11 @@ def test_every_pair_of_a_large_corpus_counts(spark):
     assert {i: parts[i].score for i in want} == pytest.approx(want)
 
 
-def test_a_pruned_trie_is_still_a_distribution(spark, docs):
-    trie = ppm.learn(docs.select(ppm.F.coalesce("text", ppm.F.lit("")).alias("text")), model_pairs=300)
+def test_a_trie_is_a_distribution(rows):
+    trie = whole_trie([r.text or "" for r in rows])
     context = [257, 257, ord("t"), ord("h"), ord("e")]
     grams = np.array([sum(s << 9 * i for i, s in enumerate([x, *reversed(context)])) for x in range(257)], dtype=np.uint64)
-    assert all(len(k) <= 300 for k, _ in trie.pairs) and (10 ** trie.log10(grams)).sum() == pytest.approx(1)
+    assert (10 ** trie.log10(grams)).sum() == pytest.approx(1)
 
 
 # -- all ----------------------------------------------------------------------------------------
@@ -612,6 +619,22 @@ def test_repeated_rows_and_null_ids_get_the_results_of_their_text(spark, hostile
         assert got == want, name
 
 
+def test_verdicts_of_hostile_rows(hostile):
+    """Fingerprint classes, kept, taken, scores and hits of hostile rows are those of brute force."""
+    rows = hostile.collect()
+    known = [r for r in rows if r.doc_id is not None]
+    classes_ = {}
+    for r in rows:
+        near = [o.doc_id for o in known if (plain_fingerprint(o.text) ^ plain_fingerprint(r.text)).bit_count() <= 3]
+        classes_.setdefault((r.doc_id, plain_fingerprint(r.text)), min(near, default=None))
+    assert {(r.doc_id, int(r.fingerprint, 16)): r.component_id for r in simhash.near_duplicates(hostile).collect()} == classes_
+    assert {r.doc_id for r in quality.quality(hostile).collect() if r.kept} <= {3}
+    mixed = mixing.mix(hostile).collect()
+    assert all(0 <= r.taken <= 2 * r.size for r in mixed) and abs(sum(r.taken for r in mixed) - mixed[0].target) <= 10
+    got = Counter((r.query_id, r["rank"], r.doc_id, r.score) for r in search.top_k(hostile, hostile["doc_id"] % 20 == 0, k=20).collect())
+    assert got == Counter((20, i + 1, d, s) for i, (d, s) in enumerate(plain_search(rows, 20, lambda r: r.doc_id == 20)[0]))
+
+
 def test_repeated_rows_are_one_document_to_the_substring_operators(hostile):
     words_, bytes_ = substring_dedup.remove_repeated_words(hostile).collect(), suffix_dedup.remove_repeated_bytes(hostile).collect()
     # The text of 27 words: first at id 1 (twice, alike), repeated at 2 and at the null id, where all of it goes.
