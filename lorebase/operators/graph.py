@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorebase.storage import materialise
+from lorebase.storage import bucketed, materialise
 
 #: Rounds of an iteration between two written tables.
 CUT = 4
@@ -142,27 +142,32 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 10, seeds: D
     """(node, rank): damped walk; the rank of nodes without a way out goes back to where walks start.
 
     Walks start anywhere, or at the seeds (personalised).  Ranks add up to 1.  Repeated edges count once.
+    Nodes are numbered once, and edges and nodes laid out by number, so that a round shuffles only what flows, summed up
+    by target before it is sent.
     """
     e = materialise(edges.select("src", "dst").distinct(), "rank-edges")
-    nodes = e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct()
+    ends = e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct()
+    nodes = materialise(ends.withColumn("id", F.monotonically_increasing_id()), "rank-nodes")
+    numbered = lambda df, c: df.join(nodes.select(F.col("node").alias(c), F.col("id").alias(f"{c}_id")), c).drop(c)
     if seeds is None:
         n = nodes.count()
-        home = nodes.withColumn("home", F.lit(1.0 / n) if n else F.lit(0.0))
+        starts = nodes.select("id", F.lit(1.0 / n if n else 0.0).alias("s"))
     else:
-        starts = seeds.select("node").distinct().join(nodes, "node", "left_semi")
-        n = starts.count()
-        home = nodes.join(starts.withColumn("s", F.lit(1.0 / n) if n else F.lit(0.0)), "node", "left").select("node", F.coalesce("s", F.lit(0.0)).alias("home"))
-    home = home.join(e.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("out")), "node", "left")
-    home = materialise(home, "rank-home")
-    ranks = home.select("node", "home", "out", F.col("home").alias("rank"))
+        there = nodes.join(seeds.select("node").distinct(), "node", "left_semi").select("id")
+        n = there.count()
+        starts = there.withColumn("s", F.lit(1.0 / n if n else 0.0))
+    links = bucketed(numbered(numbered(e, "src"), "dst"), "rank-links", "src_id")
+    out = links.groupBy(F.col("src_id").alias("id")).agg(F.count(F.lit(1)).alias("out"))
+    home = bucketed(nodes.join(starts, "id", "left").join(out, "id", "left").select("id", "node", F.coalesce("s", F.lit(0.0)).alias("home"), "out"), "rank-home", "id")
+    ranks = home.select("id", "home", "out", F.col("home").alias("rank"))
     for i in range(rounds):
-        flow = ranks.filter("out is not null").select(F.col("node").alias("src"), (F.col("rank") / F.col("out")).alias("flow")).join(e, "src").groupBy(F.col("dst").alias("node")).agg(F.sum("flow").alias("flow"))
+        flow = ranks.filter("out is not null").select("id", (F.col("rank") / F.col("out")).alias("flow")).join(links, F.col("id") == F.col("src_id")).groupBy(F.col("dst_id").alias("id")).agg(F.sum("flow").alias("flow"))
         lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("rank"))), F.lit(0.0)).alias("lost"))
         new = damping * F.coalesce("flow", F.lit(0.0)) + (damping * F.col("lost") + (1 - damping)) * F.col("home")
-        ranks = home.join(flow, "node", "left").crossJoin(F.broadcast(lost)).select("node", "home", "out", new.alias("rank"))  # lost is one row
-        if (i + 1) % CUT == 0:
-            ranks = materialise(ranks, "ranks")
-    return ranks.select("node", "rank")
+        ranks = home.select("id", "home", "out").join(flow, "id", "left").crossJoin(F.broadcast(lost)).select("id", "home", "out", new.alias("rank"))  # lost is one row
+        if (i + 1) % CUT == 0 and i + 1 < rounds:
+            ranks = bucketed(ranks, "ranks", "id")
+    return home.select("id", "node").join(ranks.select("id", "rank"), "id").select("node", "rank")
 
 
 def propagated(edges: DataFrame, seeds: DataFrame, beliefs: DataFrame, confidence: float, decay: float = 0.5, depth: int = 3) -> DataFrame:

@@ -58,6 +58,17 @@ def materialise(df: DataFrame, label: str, codec: str | None = None) -> DataFram
     return out
 
 
+def bucketed(df: DataFrame, label: str, *by: str) -> DataFrame:
+    """:func:`materialise` laid out by a hash of some columns, sorted by them in each bucket, as many buckets as a shuffle has partitions.
+
+    Joins and aggregates on those columns read it without a shuffle.  The table is known to the session under a name of its own.
+    """
+    spark = df.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"lorebase_{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.repartition(n, *by).write.bucketBy(n, *by).sortBy(*by).format("parquet").option("path", f"{new_folder(spark, label)}/table").saveAsTable(name)
+    return spark.table(name)
+
+
 def released(df: DataFrame) -> None:
     """Remove the files of a table that :func:`materialise` returned and nothing reads any more, such as a round's before the last."""
     spark = df.sparkSession
