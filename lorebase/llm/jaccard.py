@@ -15,7 +15,7 @@ has a common shingle among the first ``n - ceil(percent * n) + 1`` of both.
 
 **Vertical partitions.**  The order is cut at quantiles into ``FRAGMENTS``; a node is cut into
 segments, one in each.  The overlap of a pair is counted fragment by fragment, separately, and
-summed per pair, so no row holds a whole long text and the work of a pair spreads over tasks.
+summed per pair: by fragment in tasks of their own for single pairs, one after another within a task for tiles.
 
 **Pairs without quadratic lists.**  Nodes with a common first shingle form a list.  Only
 connections are asked for, so a list's members are first compared with one of them, another each
@@ -48,7 +48,9 @@ from lorebase.llm.components import components
 from lorebase.llm.sliced import shingles
 from lorebase.storage import materialise, released
 
-FRAGMENTS, SHORT, TILE = 8, 12, 128
+FRAGMENTS, SHORT, TILE = 8, 12, 512
+#: Shingles of a tile's members together, about.
+TILE_SHINGLES = 400_000
 #: Tokens that a slice of the filter holds, and the most slices; beyond them slices grow.
 SLICE_TOKENS, MOST_SLICES = 2_000_000, 1 << 16
 #: Turns go on while one pair in so many is a link.
@@ -189,13 +191,17 @@ def crossing(values: np.ndarray, sizes: np.ndarray, root: np.ndarray, left: int,
     return out
 
 
-def across(lists: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """Links across components within lists (token, node, n, root) longer than SHORT, each cut into tiles."""
-    comps = lists.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"))
-    # A component that fills tiles has its own; small ones share tiles by their hash.
-    big = F.col("c") > TILE // 2
-    small = comps.groupBy("token").agg(F.sum(F.when(big, 0).otherwise(F.col("c"))).alias("rest"))
-    own = F.when(big, F.concat_ws(":", "root", F.pmod(F.xxhash64("node", "token"), F.ceil(F.col("c") / TILE)))).otherwise(F.concat_ws(":", F.lit("-"), F.pmod(F.xxhash64("root", "token"), F.ceil(F.col("rest") / TILE))))
+def across(lists: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """Links across components within lists (token, node, n, root) longer than SHORT, each cut into tiles.
+
+    ``held``: (node, held), each node's shingles by fragment.
+    """
+    # How many tiles a component fills, by its members and by their shingles.
+    comps = lists.groupBy("token", "root").agg((F.count(F.lit(1)) / TILE + F.sum("n") / TILE_SHINGLES).alias("c"))
+    # One that fills half a tile has its own; smaller ones share tiles by their hash.
+    big = F.col("c") > 0.5
+    small = comps.groupBy("token").agg(F.sum(F.when(big, 0.0).otherwise(F.col("c"))).alias("rest"))
+    own = F.when(big, F.concat_ws(":", "root", F.pmod(F.xxhash64("node", "token"), F.ceil("c")))).otherwise(F.concat_ws(":", F.lit("-"), F.pmod(F.xxhash64("root", "token"), F.greatest(F.lit(1), F.ceil("rest")))))
     tiled = materialise(lists.join(comps, ["token", "root"]).join(small, "token").select("token", "node", "n", "root", own.alias("tile")), "jaccard-tiles")
     tiles = tiled.groupBy("token", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("root").alias("r0"), F.max("root").alias("r1"))
     right = tiles.select("token", *[F.col(c).alias(f"_{c}") for c in ("tile", "low", "high", "r0", "r1")])
@@ -204,15 +210,13 @@ def across(lists: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     units = tiles.join(right, "token").filter((F.col("tile") <= F.col("_tile")) & ~one & sizes).select("token", "tile", F.col("_tile").alias("other"), F.xxhash64("token", "tile", "_tile").alias("unit"))
     both = units.select("token", "unit", F.col("tile").alias("t"), F.lit(0).alias("side")).unionByName(units.filter("tile != other").select("token", "unit", F.col("other").alias("t"), F.lit(1).alias("side")))
     members = both.join(tiled.withColumnRenamed("tile", "t"), ["token", "t"]).select("unit", "side", "node", "n", "root")
-    rows = members.join(segments, "node").groupBy("unit", "side", "node", "n", "root").agg(F.collect_list(F.struct("fragment", "tokens")).alias("segments"))
+    rows = members.join(held, "node")
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.sort_by([("side", "ascending"), ("node", "ascending")]).combine_chunks()
         own = lambda c: group.column(c).to_numpy()
         left = int((own("side") == 0).sum())
-        held = [{s["fragment"].as_py(): s["tokens"].values.to_numpy() for s in x.values} for x in group.column("segments")]
-        none = np.zeros(0, np.int64)
-        tokens = [[h.get(f, none) for h in held] for f in sorted({f for h in held for f in h})]
+        tokens = [list(f) for f in zip(*[[s.values.to_numpy() for s in x.values] for x in group.column("held")], strict=True)]
         found = crossing(own("node"), own("n").astype(np.int64), own("root"), left, tokens, percent)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
@@ -223,8 +227,9 @@ def joined(nodes: DataFrame, percent: int) -> DataFrame:
     """(node, root) of nodes (node, n, alone, items) that are linked with others."""
     cuts = fragments(nodes)
     fragment = lambda x: sum((F.when(x["place"] > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    segment = lambda k: F.struct(F.lit(k).alias("fragment"), F.transform(F.filter("items", lambda x: fragment(x) == k), lambda x: x["token"]).alias("tokens"))
-    segments = materialise(nodes.select("node", F.explode(F.array(*[segment(k) for k in range(len(cuts) + 1)])).alias("s")).select("node", "s.*").filter(F.size("tokens") > 0), "jaccard-segments")
+    segment = lambda k: F.transform(F.filter("items", lambda x: fragment(x) == k), lambda x: x["token"])
+    held = materialise(nodes.select("node", F.array(*[segment(k) for k in range(len(cuts) + 1)]).alias("held")), "jaccard-segments")
+    segments = held.select("node", F.posexplode("held").alias("fragment", "tokens")).filter(F.size("tokens") > 0)
     # Places count from 0 in the whole order, so those that are in no other node come first.
     first = F.col("n") - required(F.col("n"), percent) + 1 - F.col("alone")
     posted = nodes.filter(first > 0).select("node", "n", "alone", F.posexplode(F.slice("items", F.lit(1), first.cast("int"))).alias("i", "item")).select("node", "n", (F.col("alone") + F.col("i")).alias("at"), F.col("item.token").alias("token"))
@@ -237,8 +242,11 @@ def joined(nodes: DataFrame, percent: int) -> DataFrame:
         now = lists.withColumn("root", F.col("node")) if roots is None else lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         open_ = now.groupBy("token").agg(F.min("root").alias("_r0"), F.max("root").alias("_r1"), F.min_by(F.struct("node", "n", "root"), F.struct(F.xxhash64("root", F.lit(turn)), "node")).alias("e")).filter("_r0 != _r1").drop("_r0", "_r1")
         now = materialise(now.join(open_, "token"), "jaccard-open")
-        stars = now.filter(F.col("root") != F.col("e.root")).select("node", "n", F.col("e.node").alias("end"), F.col("e.n").alias("m")).filter(alike).select(*ends()).distinct()
-        stars = materialise(stars if seen is None else stars.join(seen.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-stars")
+        # Of what its lists offer, each node is compared with what most of them offer.
+        met = now.filter(F.col("root") != F.col("e.root")).select("node", "n", F.col("e.node").alias("end"), F.col("e.n").alias("m")).filter(alike).groupBy("node", "n", "end", "m").agg(F.count(F.lit(1)).alias("by"))
+        met = met if seen is None else met.select(*ends(), "node", "n", "end", "m", "by").join(seen.select("a", "b"), ["a", "b"], "left_anti")
+        best = met.groupBy("node", "n").agg(F.max(F.struct("by", F.xxhash64("end", F.lit(turn)).alias("h"), "end", "m")).alias("o")).select("node", "n", F.col("o.end").alias("end"), F.col("o.m").alias("m"))
+        stars = materialise(best.select(*ends()).distinct(), "jaccard-stars")
         new = materialise(linked(stars, segments, percent), "jaccard-links")
         found, seen, turn = new if found is None else found.unionByName(new), stars if seen is None else seen.unionByName(stars), turn + 1
         roots = materialise(components(found), "jaccard-roots")
@@ -255,7 +263,7 @@ def joined(nodes: DataFrame, percent: int) -> DataFrame:
     bound = F.max(F.least(F.col("n") - F.col("at"), F.col("m") - F.col("_at")))
     pairs = met.groupBy("node", "end", "n", "m").agg(bound.alias("bound")).filter((100 + percent) * F.col("bound") >= percent * (F.col("n") + F.col("m"))).select(*ends())
     pairs = materialise(pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-pairs")
-    links = linked(pairs, segments, percent).unionByName(across(rest.filter(F.col("size") > SHORT).select("token", "node", "n", "root"), segments, percent))
+    links = linked(pairs, segments, percent).unionByName(across(rest.filter(F.col("size") > SHORT).select("token", "node", "n", "root"), held, percent))
     return components(materialise(found.unionByName(links), "jaccard-links"))
 
 
