@@ -630,7 +630,8 @@ def test_verdicts_of_hostile_rows(hostile):
     assert {(r.doc_id, int(r.fingerprint, 16)): r.component_id for r in simhash.near_duplicates(hostile).collect()} == classes_
     assert {r.doc_id for r in quality.quality(hostile).collect() if r.kept} <= {3}
     mixed = mixing.mix(hostile).collect()
-    assert all(0 <= r.taken <= 2 * r.size for r in mixed) and abs(sum(r.taken for r in mixed) - mixed[0].target) <= 10
+    # A document is taken as a whole, so the longest one decides how near the target the mix can come.
+    assert all(r.taken in (0, r.size, 2 * r.size) for r in mixed) and abs(sum(r.taken for r in mixed) - mixed[0].target) <= max(r.size for r in mixed) / 2 + 10
     got = Counter((r.query_id, r["rank"], r.doc_id, r.score) for r in search.top_k(hostile, hostile["doc_id"] % 20 == 0, k=20).collect())
     assert got == Counter((20, i + 1, d, s) for i, (d, s) in enumerate(plain_search(rows, 20, lambda r: r.doc_id == 20)[0]))
 
