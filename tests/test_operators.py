@@ -375,3 +375,10 @@ def test_providers_and_registered_functions(spark):
     assert spark.sql("select mended_json('x [1, 2')").first()[0] == "[1]"
     assert spark.sql("select posterior_mean(0.5, c) from values (1.0D), (1.0D), (0.0D) t(c)").first()[0] == pytest.approx(0.6)
     assert [r.line for r in spark.sql("select * from text_lines('a\nb')").collect()] == ["a", "b"]
+
+
+def test_posteriors_are_of_means_that_were_summed_once(spark):
+    from lorebase import catalogue
+    from tests.conftest import SF
+
+    assert not any("lineitem" in f for f in catalogue.queries()["beta_interval"](spark, SF).inputFiles())
