@@ -51,8 +51,14 @@ def joined(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at:
 
     Both sides have a watermark and the condition bounds how far apart they lie, so state goes when neither
     side can meet it any more.  Columns of the right side come as ``r_`` and their name.
+
+    Rows meet by key and by slice of time as long as the bound: the left one's slices are those that its span
+    touches, so a row is held against a key's rows of those slices and not against all that state has of the key.
     """
     right = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
-    a, b = left.withWatermark(left_at, delay), right.withWatermark(f"r_{right_at}", delay)
+    size = F.expr(f"greatest(1L, unix_seconds(timestamp_seconds(0) + interval {within}))")
+    slice_of = lambda at: F.floor(F.unix_seconds(at) / size)
+    a = left.withWatermark(left_at, delay).withColumn("_slice", F.explode(F.sequence(slice_of(F.col(left_at)), slice_of(F.col(left_at) + F.expr(f"interval {within}")))))
+    b = right.withWatermark(f"r_{right_at}", delay).withColumn("_r_slice", slice_of(F.col(f"r_{right_at}")))
     span = (F.col(f"r_{right_at}") >= F.col(left_at)) & (F.col(f"r_{right_at}") <= F.col(left_at) + F.expr(f"interval {within}"))
-    return a.join(b, (F.col(key) == F.col(f"r_{key}")) & span)
+    return a.join(b, (F.col(key) == F.col(f"r_{key}")) & (F.col("_slice") == F.col("_r_slice")) & span).drop("_slice", "_r_slice")

@@ -108,3 +108,15 @@ def test_late_rows_go_to_their_own_table(spark, tmp_path):
     assert [(r.id, r.watermark.hour) for r in ledger.table("late", "id bigint, watermark timestamp_ntz").collect()] == [(3, 11)]
     got = sorted((r.start.hour, r.n, r.total, r.closed) for r in late.counts(ledger, "1 hour").collect())
     assert got == [(10, 1, 1.0, True), (11, 1, 8.0, True), (12, 1, 2.0, True), (15, 1, None, False)]
+
+
+def test_streams_meet_by_key_and_slice_of_time(spark, tmp_path):
+    at = lambda *s: [(i, 1, f"2024-01-01 {x}") for i, x in enumerate(s)]
+    for name, rows in (("l", at("00:00:00", "00:09:59", "01:00:00")), ("r", at("00:00:00", "00:10:00", "00:20:00", "00:59:59", "01:10:00"))):
+        df = spark.createDataFrame(rows, "id int, k int, at string").withColumn("at", F.col("at").cast("timestamp"))
+        df.write.parquet(str(tmp_path / name))
+    left, right = (spark.readStream.schema(df.schema).parquet(str(tmp_path / n)) for n in ("l", "r"))
+    out = late.joined(left, right, "k", "at", "at", "10 minutes", "1 day")
+    assert out.columns == ["id", "k", "at", "r_id", "r_k", "r_at"] and "_slice" in out._jdf.queryExecution().analyzed().toString()
+    got = jobs.drained(out.select("id", "r_id"), str(tmp_path / "out"), str(tmp_path / "c"))
+    assert sorted(tuple(r) for r in got.collect()) == [(0, 0), (0, 1), (1, 1), (2, 4)]
