@@ -82,22 +82,80 @@ def session_profiles(events: DataFrame, session: str, at: str, tag: str, entitie
     return out.select(session, "members", "start", "end", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), F.coalesce("entities", F.lit(0)).alias("entities"))
 
 
-def similar_groups(members: DataFrame, group: str, item: str, above: float = 0.8) -> DataFrame:
-    """Pairs of groups whose members' Jaccard exceeds a threshold.
+#: Sets of up to ``SMALL`` members meet by ``TOGETHER`` of their rarer members at once, larger ones by one.
+SMALL, TOGETHER = 24, 3
+#: Groups of one class that travel in a row.
+BLOCK = 1024
+
+
+def _classes(members: DataFrame, group: str, item: str) -> DataFrame:
+    """(group, class, place, s, n): the smallest group with just the same items, the place among those, and the first one's items from the rarest on."""
+    m = members.select(F.col(group).alias("group"), F.col(item).alias("item")).dropna().distinct()
+    m = m.join(m.groupBy("item").agg(F.count(F.lit(1)).alias("f")), "item")
+    sets = m.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("f", "item")))["item"].alias("s"))
+    w = Window.partitionBy("s").orderBy("group")
+    placed = sets.select("group", F.first("group").over(w).alias("class"), F.row_number().over(w).alias("place"), "s")
+    return materialise(placed.select("group", "class", "place", F.when(F.col("place") == 1, F.col("s")).alias("s"), F.size("s").alias("n")), "similar-groups")
 
-    Prefix filter: with items in order of rarity, groups that similar share one of the first
-    ``n - ceil(above * n) + 1`` items, so only those are joined.
+
+def _similar_classes(classes: DataFrame, above: float) -> DataFrame:
+    """(a, b, jaccard): pairs of different sets, a < b, whose Jaccard exceeds a threshold.
+
+    Prefix filter: similar sets share ``least`` items, so with items in order of rarity they share
+    k of the first ``n - least + k``.  Where a set has few items those are taken ``TOGETHER``, so
+    that what meets does not grow with how often an item is used.
     """
-    m = members.select(group, item).distinct()
-    m = m.join(m.groupBy(item).agg(F.count(F.lit(1)).alias("f")), item)
-    sets = m.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("f", item))).alias("s")).withColumn("n", F.size("s"))
-    sets = sets.withColumn("s", F.col(f"s.{item}"))
-    prefix = sets.select(group, F.explode(F.slice("s", F.lit(1), F.col("n") - F.ceil(F.lit(above) * F.col("n")).cast("int") + 1)).alias("i"))
-    pairs = prefix.withColumnRenamed(group, "a").join(prefix.withColumnRenamed(group, "b"), "i").filter("a < b").select("a", "b").distinct()
-    full = pairs.join(sets.select(F.col(group).alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col(group).alias("b"), F.col("s").alias("sb")), "b")
+    sets = classes.filter("place = 1").select("class", "s", "n").filter(F.col("n") / (F.col("n") + 1) > above)
+    under = F.floor(above * F.col("n"))
+    sets = sets.withColumn("least", F.when(under / F.col("n") > above, under).otherwise(under + 1).cast("int"))
+    sets = sets.withColumn("small", (F.col("n") <= SMALL) & (F.col("least") >= TOGETHER))
+    first = lambda k: F.slice("s", F.lit(1), F.least(F.col("n"), F.col("n") - F.col("least") + k))
+
+    several = sets.filter("small").select("class", "n", first(TOGETHER).alias("p"), F.lit(0).alias("at"), F.array().cast(classes.schema["s"].dataType).alias("key"))
+    for _ in range(TOGETHER):
+        rest = F.slice("p", F.col("at") + 1, F.greatest(F.lit(0), F.size("p") - F.col("at")))
+        several = several.select("class", "n", "p", "at", "key", F.posexplode(rest).alias("i", "x")).select("class", "n", "p", (F.col("at") + F.col("i") + 1).alias("at"), F.concat("key", F.array("x")).alias("key"))
+    one = sets.select("class", "n", "small", F.explode(first(1)).alias("key"))
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        few, many = F.least("an", "bn"), F.greatest("an", "bn")
+        best = F.when(few == many, (few - 1) / (few + 1)).otherwise(few / many)  # they are not the same set
+        a, b = (x.select("key", F.col("class").alias(p), F.col("n").alias(f"{p}n")) for x, p in ((left, "a"), (right, "b")))
+        return a.join(b, "key").filter((F.col("a") != F.col("b")) & (best > above)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    pairs = met(several, several).unionByName(met(one.filter("not small"), one)).distinct()
+    full = pairs.join(sets.select(F.col("class").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("class").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     jaccard = shared / (F.size("sa") + F.size("sb") - shared)
-    return full.select("a", "b", F.round(jaccard, 6).alias("jaccard")).filter(jaccard > above)
+    return full.select("a", "b", jaccard.alias("jaccard")).filter(F.col("jaccard") > above)
+
+
+def similar_groups(members: DataFrame, group: str, item: str, above: float = 0.8) -> DataFrame:
+    """Pairs of groups whose members' Jaccard exceeds a threshold (below 1).
+
+    Groups with just the same items are a class and only classes are compared; pairs of groups
+    come of them last, from rows that hold up to ``BLOCK`` groups of a class, and are not shuffled.
+    """
+    classes = _classes(members, group, item)
+    blocks = classes.groupBy("class", F.floor((F.col("place") - 1) / BLOCK).alias("block")).agg(F.collect_list("group").alias("groups"))
+    several = classes.filter("place = 2").select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("jaccard"))
+    pairs = _similar_classes(classes, above).unionByName(several)
+    side = lambda p: blocks.select(F.col("class").alias(p), F.col("block").alias(f"{p}_block"), F.col("groups").alias(f"{p}_groups"))
+    full = pairs.join(side("a"), "a").join(side("b"), "b").filter("a != b or a_block <= b_block")
+    each = full.select("jaccard", ((F.col("a") == F.col("b")) & (F.col("a_block") == F.col("b_block"))).alias("own"), F.explode("a_groups").alias("x"), "b_groups")
+    each = each.select("jaccard", "own", "x", F.explode("b_groups").alias("y")).filter("x < y or not own")
+    return each.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.round("jaccard", 6).alias("jaccard"))
+
+
+def first_of_similar(members: DataFrame, group: str, item: str, above: float = 0.8) -> DataFrame:
+    """Groups that stay when each is dropped if it resembles an earlier one that stays; see :func:`first_wins`.
+
+    Of groups with just the same items none but the first can stay, as what drops the first drops
+    them all; so pairs of different sets are enough.
+    """
+    classes = _classes(members, group, item)
+    groups = members.select(group).distinct().join(classes.filter("place > 1").select(F.col("group").alias(group)), group, "left_anti")
+    return first_wins(groups, _similar_classes(classes, above), group)
 
 
 def first_wins(groups: DataFrame, pairs: DataFrame, group: str) -> DataFrame:

@@ -377,6 +377,32 @@ def test_providers_and_registered_functions(spark):
     assert [r.line for r in spark.sql("select * from text_lines('a\nb')").collect()] == ["a", "b"]
 
 
+def test_similar_groups_of_copies_and_large_sets_equal_brute_force(spark):
+    import random
+
+    r = random.Random(3)
+    base = [r.sample(range(60), n) for n in (1, 2, 5, 6, 8, 11, 24, 25, 26, 30, 45)]
+    sets = [set(s) for s in base for _ in range(4)] + [set(s[:-1]) for s in base if s[:-1]] + [{*s, 99} for s in base] + [{*s[2:], 98} for s in base]
+    df = spark.createDataFrame([(g, i) for g, s in enumerate(sets) for i in s] + [(0, None), (None, 1)], "g int, i int")
+    for above in (0.8, 0.5):
+        alike = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) > above}
+        got = [(x.a, x.b) for x in reflection.similar_groups(df, "g", "i", above).collect()]
+        assert len(got) == len(alike) and set(got) == alike
+        kept = []
+        for g in range(len(sets)):
+            if not any((k, g) in alike for k in kept):
+                kept.append(g)
+        assert sorted(x.g for x in reflection.first_of_similar(df.filter("g is not null"), "g", "i", above).collect()) == kept
+
+
+def test_copies_meet_as_one_class(spark):
+    df = spark.createDataFrame([(g, i) for g in range(3000) for i in range(6)] + [(9000, i) for i in range(7)], "g int, i int")
+    classes = reflection._classes(df, "g", "i")
+    assert [(x.a, x.b) for x in reflection._similar_classes(classes, 0.8).collect()] == [(0, 9000)]
+    assert [x.g for x in reflection.first_of_similar(df, "g", "i").collect()] == [0]
+    assert reflection.similar_groups(df, "g", "i").count() == 3000 * 2999 // 2 + 3000
+
+
 def test_posteriors_are_of_means_that_were_summed_once(spark):
     from lorebase import catalogue
     from tests.conftest import SF
