@@ -408,3 +408,33 @@ def test_posteriors_are_of_means_that_were_summed_once(spark):
     from tests.conftest import SF
 
     assert not any("lineitem" in f for f in catalogue.queries()["beta_interval"](spark, SF).inputFiles())
+
+
+def _met(sets):
+    from collections import Counter
+    from itertools import combinations
+
+    return Counter(p for s in sets for p in combinations(sorted(s), 2))
+
+
+def test_cooccurrences_by_tiles_equal_brute_force(spark, monkeypatch):
+    import random
+
+    r = random.Random(5)
+    monkeypatch.setattr(graph, "AT_ONCE", 7)
+    sets = [{f"u{i}" for i in r.sample(range(90), r.choice((1, 2, 70, 90)))} for _ in range(40)]
+    df = spark.createDataFrame([(g, u) for g, s in enumerate(sets) for u in s] + [(0, next(iter(sets[0]))), (0, None), (None, "u1")], "g int, u string")
+    for blocks in (1, 5, 16):
+        got = {(x.a, x.b): x.weight for x in graph._tiled(df.dropna().distinct(), "g", "u", blocks).collect()}
+        assert got == _met(sets)
+    dense = graph.cooccurrences(df, "g", "u")
+    assert "_tile_counts" in dense._jdf.queryExecution().toString() and {(x.a, x.b): x.weight for x in dense.collect()} == _met(sets)
+    assert graph.cooccurrences(df.limit(0), "g", "u").count() == 0
+
+
+def test_cooccurrences_take_partitions_by_pairs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PAIRS", 20)
+    sets = [{g % 50, g % 31 + 100, g % 7 + 200} for g in range(300)]
+    out = graph.cooccurrences(spark.createDataFrame([(g, u) for g, s in enumerate(sets) for u in s], "g int, u int"), "g", "u")
+    assert {(x.a, x.b): x.weight for x in out.collect()} == _met(sets)
+    assert out.rdd.getNumPartitions() == 46
