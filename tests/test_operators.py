@@ -438,3 +438,13 @@ def test_cooccurrences_take_partitions_by_pairs(spark, monkeypatch):
     out = graph.cooccurrences(spark.createDataFrame([(g, u) for g, s in enumerate(sets) for u in s], "g int, u int"), "g", "u")
     assert {(x.a, x.b): x.weight for x in out.collect()} == _met(sets)
     assert out.rdd.getNumPartitions() == 46
+
+
+def test_known_facts_are_ordered_in_one_row_of_a_text(spark):
+    from lorebase.operators import retrieval
+
+    texts = spark.createDataFrame([(1, ["b", "a", "b"]), (2, ["z"]), (3, None)], "k int, c array<string>")
+    beliefs = spark.createDataFrame([(f"i{i}", s, "is", o) for i, (s, o) in enumerate([("b", "a"), ("a", "c"), ("a", "d"), ("a", "e"), ("b", "b")])], "belief_id string, subject string, predicate string, object string")
+    out = retrieval.known_facts(texts, beliefs, "k", F.col("c"), most=4)
+    assert [(r.k, r.n, r.fact) for r in out.orderBy("k", "n").collect()] == [(1, 1, "b is a"), (1, 2, "a is c"), (1, 3, "a is d"), (1, 4, "b is b")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("row_number()") <= 2  # none but the entity's
