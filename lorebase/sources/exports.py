@@ -7,7 +7,8 @@
   its address (``file:``, ``hdfs:``, ``s3:``, ``gs:``), the same for the driver and the executors;
 * ``kind``: ``mbox`` (a message begins with a line that begins with "From ", which isn't part of
   it) or ``lines`` (a message is a line, such as a chat export with one JSON object a line);
-* ``split``: bytes of a partition, 32 MB unless said.
+* ``split``: bytes of a partition, 32 MB unless said; a smaller number grows with the input, up to
+  32 MB, so that small ranges are not more than about ``RANGES`` and the files.
 
 Rows are (file, start, raw): the file's name, the byte at which the message begins, and its
 text.  A large file is several partitions: each reads the messages that begin in its range, to the
@@ -32,6 +33,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 SCHEMA = "file string, start bigint, raw string"
 CHUNK = 1 << 20
+USUAL, RANGES = 32 << 20, 512
 
 
 def _opened(path: str):
@@ -111,17 +113,18 @@ def messages(handle, kind: str, part: Range) -> Iterator[tuple[str, int, str]]:
 
 class _Reading:
     def __init__(self, options: dict[str, str]) -> None:
-        self.path, self.kind, self.split = options["path"].rstrip("/"), options.get("kind", "mbox"), int(options.get("split", 32 << 20))
+        self.path, self.kind, self.split = options["path"].rstrip("/"), options.get("kind", "mbox"), int(options.get("split", USUAL))
         if self.kind not in ("mbox", "lines"):
             raise ValueError(f"unknown kind {self.kind!r}: mbox or lines")
 
     def ranges(self, before: dict[str, int], after: dict[str, int]) -> list[Range]:
-        out = []
+        out, new = [], sum(after.values()) - sum(before.get(f, 0) for f in after)
+        split = max(self.split, min(USUAL, new // RANGES))
         for file in sorted(after):
             low, high = before.get(file, 0), after[file]
             if high < low:
                 raise ValueError(f"{file} has shrunk from {low} to {high} bytes")
-            out += [Range(file, a, min(high, a + self.split), high) for a in range(low, high, self.split)]
+            out += [Range(file, a, min(high, a + split), high) for a in range(low, high, split)]
         return out
 
     def rows(self, part: Range) -> Iterator[tuple[str, int, str]]:

@@ -448,3 +448,15 @@ def test_known_facts_are_ordered_in_one_row_of_a_text(spark):
     out = retrieval.known_facts(texts, beliefs, "k", F.col("c"), most=4)
     assert [(r.k, r.n, r.fact) for r in out.orderBy("k", "n").collect()] == [(1, 1, "b is a"), (1, 2, "a is c"), (1, 3, "a is d"), (1, 4, "b is b")]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("row_number()") <= 2  # none but the entity's
+
+
+def test_small_ranges_of_exports_grow_with_the_input():
+    from lorebase.sources.exports import Reader
+
+    r = Reader({"path": "x", "split": "16"})
+    of = lambda **files: r.ranges({}, files)
+    assert [(x.start, x.stop) for x in of(a=40)] == [(0, 16), (16, 32), (32, 40)]
+    for size in (10**6, 10**9):
+        got = of(a=size, b=7)
+        assert len(got) <= 514 and got[0].start == 0 and all(x.stop == y.start for x, y in zip(got[:-2], got[1:-1], strict=True)) and got[-2].stop == size
+    assert max(x.stop - x.start for x in of(a=10**12)) == 32 << 20
