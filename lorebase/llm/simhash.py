@@ -41,7 +41,8 @@ from pyspark.sql import functions as F
 
 from lorebase.llm.arrow import id_and_text, map_slices, text_or_empty
 from lorebase.llm.components import components
-from lorebase.llm.sliced import keyed, similar_classes
+from lorebase.llm.jaccard import similar_classes
+from lorebase.llm.sliced import keyed
 from lorebase.storage import materialise
 
 MAX_BITS, SHARED_BYTES = 3, 5
@@ -186,8 +187,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with one document of each component: the one that names it.
 
     Components join texts whose fingerprints differ in at most MAX_BITS bits or, with
-    ``similarity``, whose sets of shingles have at least that Jaccard similarity
-    (:mod:`lorebase.llm.sliced`).  A component keeps one row: that of its smallest id (null only
+    ``similarity`` (in whole hundredths), whose sets of shingles have at least that Jaccard
+    similarity, by the exact join of :mod:`lorebase.llm.jaccard`: no link is capped.  A component keeps one row: that of its smallest id (null only
     if it has no other), of these the one with the smallest digest of its text, of rows alike in
     id and text any one.
     """
@@ -197,7 +198,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         found, classes = _classed(rows, "key", "text", words)
         classed = found.join(classes.select("fp", "root"), "fp").select(F.col("doc_id").alias("key"), F.col("root").cast("string").alias("root"))
     else:
-        classed = similar_classes(rows.select("key", "text"), words, similarity).select("key", "root")
+        classed = similar_classes(rows.select("key", "text"), words, round(100 * similarity))
     # The id leads the key.
     number = F.nullif(F.substring_index("key", ":", 1), F.lit("-")).cast("long")
     best = F.min(F.struct(number.isNull().alias("nameless"), number.alias("id"), "key"))

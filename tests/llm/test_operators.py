@@ -655,3 +655,16 @@ def test_one_of_each_keeps_clashing_columns(hostile):
 def test_null_ids_get_results(docs):
     each = [simhash.near_duplicates(docs), quality.quality(docs), token_counts.token_counts(docs, tokenizer("byte_bpe_50k.json")), pii.pii_spans(docs), substring_dedup.remove_repeated_words(docs), suffix_dedup.remove_repeated_bytes(docs), ppm.lm_scores(docs)]
     assert [df.filter("doc_id is null").count() for df in each] == [2] * len(each)
+
+
+def test_near_dedup_joins_a_crowd_about_the_bound(spark):
+    """Copies of one text, each edited elsewhere: few pairs reach the bound, and every one of them counts."""
+    rng, texts = random.Random(4), {}
+    base = [f"h{j}" for j in range(120)]
+    for i in range(700):
+        own = list(base)
+        for _ in range(rng.choice((1, 2, 3))):
+            own[rng.randrange(120)] = f"e{rng.randint(0, 10**6)}"
+        texts[i] = " ".join(own)
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(4)
+    assert sorted(r.doc_id for r in simhash.one_of_each(df, similarity=0.8).collect()) == sorted(set(similar(texts).values()))
