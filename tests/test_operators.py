@@ -460,3 +460,19 @@ def test_small_ranges_of_exports_grow_with_the_input():
         got = of(a=size, b=7)
         assert len(got) <= 514 and got[0].start == 0 and all(x.stop == y.start for x, y in zip(got[:-2], got[1:-1], strict=True)) and got[-2].stop == size
     assert max(x.stop - x.start for x in of(a=10**12)) == 32 << 20
+
+
+def test_cross_reference_shuffles_no_pair_and_keeps_rows_that_share_an_id(spark):
+    said = [(i % 40 if i else None, " ".join(f"w{(i * j) % 23}" for j in range(1, 4 + i % 9)) + (" Never" if i % 7 == 0 else "")) for i in range(60)]
+    heard = [(i % 30, " ".join(f"W{(i + j * j) % 29}" for j in range(2 + i % 12)) + ("\nnot" if i % 5 == 0 else "")) for i in range(50)] + [(99, " "), (98, None)]
+    out = B.cross_reference(spark.createDataFrame(said, "id long, text string"), spark.createDataFrame(heard, "id long, text string"))
+    want = []
+    for a, s in said:
+        for b, t in heard:
+            x, y = set(s.lower().split()), set((t or "").lower().split())
+            if x and y and len(x & y) / min(len(x), len(y)) > 0.3:
+                want.append((a, b, round(len(x & y) / min(len(x), len(y)), 6), "contradict" if bool(x & set(B.NEGATIONS)) != bool(y & set(B.NEGATIONS)) else "agree"))
+    key = lambda r: (r[0] is not None, r[0] or 0, *r[1:])
+    assert sorted(map(tuple, out.collect()), key=key) == sorted(want, key=key)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
