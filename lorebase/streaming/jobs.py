@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -26,45 +29,89 @@ def windows(events: DataFrame, at: str, *by: str, size: str = "1 hour", slide: s
 LIVE = "owner_id string, key string, value string, at_us bigint, live boolean"
 
 
+#: Groups that keys are dealt to by a hash; part of a checkpoint, so it stays as it is.
+SLOTS = 1024
+_HELD = pa.schema([("owner_id", pa.string()), ("key", pa.string()), ("value", pa.string()), ("at_us", pa.int64()), ("ends", pa.int64())])
+
+
 class LatestValue(StatefulProcessor):
-    """The latest value of a key by event time, until its life is over.
+    """The latest value of each key of a slot by event time, until its life is over.
 
-    Value state holds (value, time in microseconds, end of life in milliseconds); an event-time
-    timer stands at the end.  A write that is older than what is held changes nothing, whenever it
-    comes; of writes at one time the greatest value counts, null least.
+    Value state holds a slot's entries (key, value, time in microseconds, end of life in milliseconds)
+    as one Arrow table, since each touch of state and timers costs the same whatever it holds; an
+    event-time timer stands at the first end.  A write that is older than what is held changes nothing,
+    whenever it comes; of writes at one time the greatest value counts, null least.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.held = handle, handle.getValueState("held", "value string, at_us bigint, ends bigint")
+        self.handle, self.held = handle, handle.getValueState("held", "entries binary")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        order, last = (lambda at, value: (at, value is not None, value or "")), None
+        before = self._read()
+        now = before.append_column("come", pa.array(np.full(len(before), -1, np.int64)))
+        seen = 0
         for frame in rows:
-            latest = frame[frame["at_us"] == frame["at_us"].max()]
-            for value, ttl in zip(latest["value"], latest["ttl_ms"], strict=True):
-                new = (value if isinstance(value, str) else None, int(latest["at_us"].iloc[0]), int(ttl))
-                last = new if last is None or order(new[1], new[0]) > order(last[1], last[0]) else last
-        before = self.held.get()
-        if last is None or (before is not None and order(last[1], last[0]) <= order(before[1], before[0])):
-            return
-        ends = last[1] // 1000 + max(1, last[2])
-        if before is not None:
-            self.handle.deleteTimer(before[2])
-        self.held.update((last[0], last[1], ends))
-        self.handle.registerTimer(ends)
-        yield self._row(key, last[0], last[1], True)
+            new = pa.Table.from_pandas(frame[["owner_id", "key", "value", "at_us"]], _HELD.remove(4), preserve_index=False)
+            ends = frame["at_us"].to_numpy(np.int64) // 1000 + np.maximum(1, frame["ttl_ms"].to_numpy(np.int64))
+            new = new.append_column(_HELD.field(4), pa.array(ends)).append_column("come", pa.array(np.arange(seen, seen + len(frame))))
+            seen += len(frame)
+            now = _last(pa.concat_tables([now, new]))
+        changed = now.filter(pc.greater_equal(now["come"], 0))
+        if len(changed):
+            self._write(before, now.drop_columns("come"))
+            yield _rows(changed, True)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        before = self.held.get()
-        if before is not None and before[2] <= expiredTimerInfo.getExpiryTimeInMs():
-            self.held.clear()
-            yield self._row(key, None, before[1], False)
+        before = self._read()
+        # All that ended, as a timer of each entry's own would tell: those up to the watermark are called.
+        over = pc.less_equal(before["ends"], timerValues.getCurrentWatermarkInMs())
+        gone = before.filter(over)
+        if len(gone):
+            self._write(before, before.filter(pc.invert(over)))
+            yield _rows(gone.set_column(2, _HELD.field(2), pa.nulls(len(gone), pa.string())), False)
 
     def close(self) -> None:
         pass
 
-    def _row(self, key: Any, value: str | None, at_us: int, live: bool) -> pd.DataFrame:
-        return pd.DataFrame({"owner_id": [key[0]], "key": [key[1]], "value": [value], "at_us": [at_us], "live": [live]})
+    def _read(self) -> pa.Table:
+        held = self.held.get()
+        return _HELD.empty_table() if held is None else pa.ipc.open_stream(held[0]).read_all()
+
+    def _write(self, before: pa.Table, now: pa.Table) -> None:
+        old, new = (pc.min(t["ends"]).as_py() for t in (before, now))
+        if old != new:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            if new is not None:
+                self.handle.registerTimer(new)
+        if not len(now):
+            self.held.clear()
+            return
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, _HELD) as stream:
+            stream.write_table(now)
+        self.held.update((out.getvalue().to_pybytes(),))
+
+
+def _last(entries: pa.Table) -> pa.Table:
+    """Of each key's entries the last by time and value; of equal ones the one that came first."""
+    entries = entries.combine_chunks()
+    order = pc.sort_indices(entries, [("owner_id", "ascending"), ("key", "ascending"), ("at_us", "ascending"), ("value", "ascending"), ("come", "descending")], null_placement="at_start")
+    entries = entries.take(order)
+    owner, key = (_numbered(entries[c]) for c in ("owner_id", "key"))
+    ends = np.ones(len(entries), bool)
+    ends[:-1] = (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])
+    return entries.filter(pa.array(ends))
+
+
+def _numbered(column: pa.ChunkedArray) -> np.ndarray:
+    """Equal values, nulls among them, as equal numbers."""
+    whole = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    return pc.dictionary_encode(whole, null_encoding="encode").indices.to_numpy()
+
+
+def _rows(entries: pa.Table, live: bool) -> pd.DataFrame:
+    return entries.select(["owner_id", "key", "value", "at_us"]).to_pandas().assign(live=live)
 
 
 def working_memory(writes: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -75,7 +122,7 @@ def working_memory(writes: DataFrame, late: str = "1 hour") -> DataFrame:
     state in RocksDB (:func:`stateful`).
     """
     rows = writes.filter(F.col("at").isNotNull()).select(F.col("owner_id").cast("string"), F.col("key").cast("string"), F.col("value").cast("string"), F.col("at").cast("timestamp"), F.unix_micros(F.col("at").cast("timestamp")).alias("at_us"), F.col("ttl_ms").cast("bigint"))
-    return rows.withWatermark("at", late).groupBy("owner_id", "key").transformWithStateInPandas(LatestValue(), LIVE, "append", "eventTime")
+    return rows.withColumn("slot", F.pmod(F.xxhash64("owner_id", "key"), F.lit(SLOTS))).withWatermark("at", late).groupBy("slot").transformWithStateInPandas(LatestValue(), LIVE, "append", "eventTime")
 
 
 def stateful(spark: SparkSession) -> SparkSession:

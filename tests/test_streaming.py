@@ -120,3 +120,17 @@ def test_streams_meet_by_key_and_slice_of_time(spark, tmp_path):
     assert out.columns == ["id", "k", "at", "r_id", "r_k", "r_at"] and "_slice" in out._jdf.queryExecution().analyzed().toString()
     got = jobs.drained(out.select("id", "r_id"), str(tmp_path / "out"), str(tmp_path / "c"))
     assert sorted(tuple(r) for r in got.collect()) == [(0, 0), (0, 1), (1, 1), (2, 4)]
+
+
+def test_keys_of_one_slot_share_a_state_and_end_each_in_time(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "SLOTS", 1)
+    own, fed, out = jobs.stateful(spark), str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "owner_id string, key string, value string, ms long, ttl_ms long"
+    first = [("a", "k", "1", 1000, 5000), ("b", "k", None, 1000, 5001), ("c", "k", "1", 1000, 4999), ("d", "k", "2", 1000, 9000), ("d", "k", "3", 900, 1), (None, "k", "1", 1000, 4000), ("a", None, "1", 1000, 9000)]
+    for part in (first, [("e", "k", "1", 7000, 100000), ("d", "k", "1", 1000, 1)]):
+        own.createDataFrame(part, schema).withColumn("at", F.timestamp_millis("ms")).drop("ms").coalesce(1).write.mode("append").parquet(fed)
+        stream = own.readStream.schema("owner_id string, key string, value string, ttl_ms bigint, at timestamp").parquet(fed)
+        jobs.working_memory(stream, "1 second").writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    rows = [tuple(r) for r in spark.read.schema(jobs.LIVE).parquet(out).collect()]
+    live = {(a, b, c, 1_000_000, True) for a, b, c in [("a", "k", "1"), ("b", "k", None), ("c", "k", "1"), ("d", "k", "2"), (None, "k", "1"), ("a", None, "1")]} | {("e", "k", "1", 7_000_000, True)}
+    assert len(rows) == 10 and set(rows) == live | {(o, "k", None, 1_000_000, False) for o in ("a", "c", None)}
