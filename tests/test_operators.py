@@ -476,3 +476,15 @@ def test_cross_reference_shuffles_no_pair_and_keeps_rows_that_share_an_id(spark)
     assert sorted(map(tuple, out.collect()), key=key) == sorted(want, key=key)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
+def test_communities_count_votes_once_a_round(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "e")], "src string, dst string")
+    near = {(a, b) for a, b in map(tuple, e.collect())} | {(b, a) for a, b in map(tuple, e.collect())}
+    label = {a: a for a, _ in near}
+    for _ in range(3):
+        votes = {n: [label[n]] + [label[b] for a, b in near if a == n] for n in label}
+        label = {n: min(v, key=lambda x, v=v: (-v.count(x), x)) for n, v in votes.items()}
+    out = graph.communities(e, 3)
+    assert dict(map(tuple, out.collect())) == label
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()  # each round is written, no lineage grows
