@@ -10,6 +10,8 @@ from lorebase.storage import globally_ranked, materialise
 
 #: Texts that are packed one after another; a chunk never goes beyond such a stretch.
 STRETCH = 5_000
+#: Parts that the ids of one pattern are dealt to.
+PARTS = 64
 
 
 def packed(items: DataFrame, group: str, order: list[str], text: str, cap: int = 24_000, between: str = "\n\n---\n\n") -> DataFrame:
@@ -65,14 +67,20 @@ def extracted(answers: DataFrame, id_col: str, answer_col: str) -> tuple[DataFra
     """
     read = answers.select(F.col(id_col).alias("id"), F.col(answer_col).alias("answer"), answer_json(F.col(answer_col)).alias("_j"))
     parsed = materialise(read.withColumn("_v", F.try_parse_json("_j")).withColumn("_is", F.schema_of_variant("_v")).select("id", "answer", "_j", "_v", F.col("_is").startswith("ARRAY").alias("_bare")), "answers")
-    items = None
-    for kind, (a, b, c) in KINDS.items():
+    # The items of all kinds in one pass.
+    of_kind = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("x"))
+    lists, none_ = [], F.array().cast("array<struct<kind: string, x: variant>>")
+    for kind in KINDS:
         whole = F.try_variant_get("_v", f"$.{kind}", "array<variant>")
         listed = F.when(F.col("_bare"), F.try_variant_get("_v", "$", "array<variant>")).otherwise(whole) if kind == "facts" else whole
-        each = parsed.filter("_v is not null").select("id", F.explode(listed).alias("x"))
-        get = lambda name: F.nullif(F.trim(F.try_variant_get("x", f"$.{name}", "string")), F.lit(""))
-        one = each.select("id", F.lit(kind).alias("kind"), get(a).alias("subject"), get(b).alias("predicate"), get(c).alias("object"), clamped(F.try_variant_get("x", "$.confidence", "string")).alias("confidence"), F.to_json("x").alias("item"))
-        items = one if items is None else items.unionByName(one)
+        lists.append(F.coalesce(F.transform(listed, of_kind(kind)), none_))
+    each = parsed.filter("_v is not null").select("id", F.explode(F.concat(*lists)).alias("_e")).select("id", "_e.kind", "_e.x")
+
+    def field(place: int) -> Column:
+        by_kind = F.coalesce(*[F.when(F.col("kind") == kind, F.try_variant_get("x", f"$.{names[place]}", "string")) for kind, names in KINDS.items()])
+        return F.nullif(F.trim(by_kind), F.lit(""))
+
+    items = each.select("id", "kind", field(0).alias("subject"), field(1).alias("predicate"), field(2).alias("object"), clamped(F.try_variant_get("x", "$.confidence", "string")).alias("confidence"), F.to_json("x").alias("item"))
     good = F.col("subject").isNotNull() & F.col("object").isNotNull()
     none = parsed.filter("_v is null").select("id", F.when(F.col("_j").isNull(), "no json").otherwise("broken json").alias("reason"), F.col("answer").alias("item"))
     return items.filter(good).drop("item"), none.unionByName(items.filter(~good).select("id", F.lit("incomplete").alias("reason"), "item"))
@@ -81,10 +89,10 @@ def extracted(answers: DataFrame, id_col: str, answer_col: str) -> tuple[DataFra
 def distinct_patterns(patterns: DataFrame, most: int = 10) -> DataFrame:
     """Patterns that say the same in any case of letters as one: the highest confidence, how often, and up to ``most`` ids, the smallest first."""
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
-    keyed = patterns.groupBy("kind", low(F.col("subject")).alias("subject"), low(F.col("predicate")).alias("predicate"), low(F.col("object")).alias("object"), "id").agg(F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("n"))
-    # The smallest ids of each: ranked, so that no pattern gathers all of its ids.
     key = ["kind", "subject", "predicate", "object"]
-    w = Window.partitionBy(*key).orderBy("id")
-    first = keyed.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).groupBy(*key).agg(F.array_sort(F.collect_list("id")).alias("evidence"))
-    sums = keyed.groupBy(*key).agg(F.max("confidence").alias("confidence"), F.sum("n").alias("occurrences"))
-    return sums.join(first, key)
+    said = patterns.select("kind", *[low(F.col(c)).alias(c) for c in key[1:]], "id", "confidence", F.pmod(F.xxhash64("id"), F.lit(PARTS)).alias("_part"))
+    # The smallest ids of each part of a pattern's ids, then of its parts: no pattern gathers all of its ids, and none lies in one task.
+    ranked = said.withColumn("_r", F.dense_rank().over(Window.partitionBy(*key, "_part").orderBy("id")))
+    parts = ranked.groupBy(*key, "_part").agg(F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("n"), F.collect_set(F.when(F.col("_r") <= most, F.col("id"))).alias("ids"))
+    evidence = F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, most)
+    return parts.groupBy(*key).agg(F.max("confidence").alias("confidence"), F.sum("n").alias("occurrences"), evidence.alias("evidence"))

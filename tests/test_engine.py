@@ -242,3 +242,15 @@ def test_moments(spark, table):
     """A policy table read by moment, as decisions of the past need it."""
     table.append(some(spark, (1, json.dumps({"at": str(datetime(2024, 1, 1))}))), 5)
     assert table.at(4) == -1 and table.at(5) == 0
+
+
+def test_patterns_of_all_kinds_are_read_in_one_pass_and_evidence_is_the_smallest_ids(spark):
+    from lorebase.operators import reading
+
+    fact, rest = '{"subject": "A", "predicate": "p", "object": "B"}', '"events": [{"actor": "x", "action": "y", "target": "z"}], "relationships": "none"'
+    rows = [(i, f'{{"facts": [{fact}, {fact.lower()}, {{"subject": "A"}}], {rest}}}') for i in range(300, 0, -1)] + [(0, f"[{fact}]"), (-1, "no")]
+    good, bad = reading.extracted(spark.createDataFrame(rows, "id long, answer string"), "id", "answer")
+    assert good._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    got = {r.kind: (r.subject, r.object, r.confidence, r.occurrences, r.evidence) for r in reading.distinct_patterns(good).collect()}
+    assert got == {"facts": ("a", "b", 0.7, 601, list(range(10))), "events": ("x", "z", 0.7, 300, list(range(1, 11)))}
+    assert bad.filter("reason = 'incomplete'").count() == 300 and bad.filter("reason = 'no json'").count() == 1
