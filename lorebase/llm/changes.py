@@ -217,6 +217,8 @@ def session_for_state(spark: SparkSession) -> SparkSession:
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     # Many small stores: space taken before it is needed would be most of what they take.
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
+    # Each batch is a run of its own with stores of its own: those of earlier runs would stay open until the next maintenance.
+    own.conf.set("spark.sql.streaming.stateStore.unloadOnCommit", "true")
     return own
 
 

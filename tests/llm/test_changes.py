@@ -144,3 +144,7 @@ def test_ranks_do_not_depend_on_ranges(spark):
 def test_carried_stays_within_clients():
     sets, values = np.array([True, False, False, True, False]), np.array([1, 2, 3, 4, 5])
     assert changes.carried(sets, values, np.array([0, 0, 2, 2, 2]), np.array([9, 9, 8, 8, 8])).tolist() == [1, 1, 8, 4, 4]
+
+
+def test_state_stores_do_not_outlive_their_run(spark):
+    assert changes.session_for_state(spark).conf.get("spark.sql.streaming.stateStore.unloadOnCommit") == "true"
