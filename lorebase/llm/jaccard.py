@@ -128,24 +128,29 @@ def shared_counts(rows: DataFrame) -> DataFrame:
     return dealt.groupBy("slice").applyInArrow(tell, "head bigint, shared bigint").groupBy("head").agg(F.sum("shared").alias("shared"))
 
 
-def order_key() -> Column:
-    """A shingle's place in the global order, up to ties that its hash settles."""
-    return F.shiftleft(F.least("df", F.lit(1 << 20)), 40) + F.shiftrightunsigned("token", 24)
+def order_key(item: Column) -> Column:
+    """The place of a shingle (df, token) in the global order, up to ties that its hash settles."""
+    return F.shiftleft(F.least(item["df"], F.lit(1 << 20)), 40) + F.shiftrightunsigned(item["token"], 24)
 
 
 def ordered(sets: DataFrame, percent: int) -> DataFrame:
-    """(node, n, alone, items): each node's shingles of two nodes or more in the global order, the others only counted."""
+    """(node, n, alone, items): each node's shingles (df, token) of two nodes or more in the global order, the others only counted.
+
+    Places repeat what df and token say and are neither sent nor kept.
+    """
     tokens = sets.select("node", "n", F.explode("tokens").alias("token"))
-    df = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    met = tokens.join(df, "token").select("node", "n", F.struct(order_key().alias("place"), "token").alias("item"))
-    items = met.groupBy("node", "n").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    # Written, so that what was shuffled for it is gone when the tokens travel again.
+    df = materialise(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "jaccard-df")
+    met = tokens.join(df, "token").select("node", "n", F.struct("df", "token").alias("item"))
+    placed = lambda x: F.struct(order_key(x).alias("place"), x["token"].alias("token"), x["df"].alias("df"))
+    items = met.groupBy("node", "n").agg(F.transform(F.sort_array(F.transform(F.collect_list("item"), placed)), lambda x: F.struct(x["df"].alias("df"), x["token"].alias("token"))).alias("items"))
     # Of fewer shared shingles than a link needs no link can come.
     return items.withColumn("alone", F.col("n") - F.size("items")).filter(F.size("items") >= required(F.col("n"), percent))
 
 
 def fragments(nodes: DataFrame) -> list[int]:
     """Where the global order is cut: quantiles of what the nodes hold."""
-    cuts = nodes.select(F.explode("items.place").alias("place")).agg(F.percentile_approx("place", [i / FRAGMENTS for i in range(1, FRAGMENTS)], 1000).alias("c")).first()["c"]
+    cuts = nodes.select(F.explode("items").alias("item")).select(order_key(F.col("item")).alias("place")).agg(F.percentile_approx("place", [i / FRAGMENTS for i in range(1, FRAGMENTS)], 1000).alias("c")).first()["c"]
     return sorted(set(cuts or []))
 
 
@@ -226,7 +231,7 @@ def across(lists: DataFrame, held: DataFrame, percent: int) -> DataFrame:
 def joined(nodes: DataFrame, percent: int) -> DataFrame:
     """(node, root) of nodes (node, n, alone, items) that are linked with others."""
     cuts = fragments(nodes)
-    fragment = lambda x: sum((F.when(x["place"] > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    fragment = lambda x: sum((F.when(order_key(x) > c, 1).otherwise(0) for c in cuts), F.lit(0))
     segment = lambda k: F.transform(F.filter("items", lambda x: fragment(x) == k), lambda x: x["token"])
     held = materialise(nodes.select("node", F.array(*[segment(k) for k in range(len(cuts) + 1)]).alias("held")), "jaccard-segments")
     segments = held.select("node", F.posexplode("held").alias("fragment", "tokens")).filter(F.size("tokens") > 0)
@@ -269,9 +274,11 @@ def joined(nodes: DataFrame, percent: int) -> DataFrame:
 
 def similar_sets(texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Of texts (doc_id, text): every row's (doc_id, text_key, digest, n, ...), and (digest, root) of the sets that are linked with others."""
-    rows = materialise(read(texts, words, percent), "jaccard-sets")
-    wanted = shared_counts(rows).join(rows.filter("n > 0").groupBy("digest", "head").agg(F.first("n").alias("n"), F.min(F.struct("text_key", "doc_id")).alias("of")), "head")
+    whole = materialise(read(texts, words, percent), "jaccard-sets")
+    rows = materialise(whole.drop("listed"), "jaccard-rows")
+    wanted = shared_counts(whole).join(rows.filter("n > 0").groupBy("digest", "head").agg(F.first("n").alias("n"), F.min(F.struct("text_key", "doc_id")).alias("of")), "head")
     kept = materialise(wanted.filter(F.col("shared") >= shared_least(F.col("n"), percent)).select(F.monotonically_increasing_id().alias("node"), "digest", "n", "of"), "jaccard-kept")
+    released(whole)
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):

@@ -488,3 +488,24 @@ def test_communities_count_votes_once_a_round(spark):
     out = graph.communities(e, 3)
     assert dict(map(tuple, out.collect())) == label
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()  # each round is written, no lineage grows
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    import time
+    from pathlib import Path
+
+    from lorebase.storage import materialise
+
+    def files():
+        blocks = spark._jsc.sc().env().blockManager().diskBlockManager().localDirs()
+        return {f.name for d in blocks for f in Path(d.getPath()).rglob("shuffle_*.data")}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, set_before = files(), spark.conf.get(key, None)
+    out = materialise(spark.range(1000).groupBy((F.col("id") % 100).alias("k")).count(), "shuffled")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before
+    assert out.count() == 100 and spark.conf.get(key, None) == set_before
