@@ -103,17 +103,17 @@ def stream_late_rows(spark, d):
 @query("stream_join_sales", "select click_id, sale_id from clicks c join sales s on c.client_id = s.client_id and sold_at >= ts and sold_at <= ts + interval 10 minute")
 def stream_join_sales(spark, d):
     """Sales within ten minutes of a click of the same client, two streams joined within a time bound, started anew between parts."""
-    at, sides = new_folder(spark, "joined"), []
+    ledger, sides = Ledger(spark, new_folder(spark, "joined"), "sales"), []
     for table, columns, when in (("clicks", ["click_id", "client_id"], "ts"), ("sales", ["sale_id", "client_id"], "sold_at")):
         rows, fed = V.table(spark, d, table).select(*columns, F.col(when).cast("timestamp").alias("at"), F.unix_date(F.col(when).cast("date")).alias("day")), new_folder(spark, "fed")
         sides.append((rows, fed, spark.readStream.schema(rows.schema).parquet(fed)))
-    clicks, sales = (s[2] for s in sides)
-    out = late.joined(clicks, sales, "client_id", "at", "at", "10 minutes", "1 day").select("click_id", F.col("r_sale_id").alias("sale_id"))
+    clicks, sales = (s[2].drop("day") for s in sides)
+    step = late.meeting(ledger, "client_id", "at", "10 minutes", "1 day")
     for first in (True, False):
         for rows, fed, _ in sides:
             rows.filter((F.col("day") < 19783) if first else (F.col("day") >= 19783)).write.mode("append").parquet(fed)
-        out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("click_id bigint, sale_id bigint").parquet(f"{at}/out")
+        late.both(clicks, sales).writeStream.foreachBatch(ledger.run(step)).option("checkpointLocation", f"{ledger.folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return ledger.table("met", "click_id bigint, r_sale_id bigint").select("click_id", F.col("r_sale_id").alias("sale_id"))
 
 
 # -- versions -----------------------------------------------------------------------------------

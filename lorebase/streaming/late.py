@@ -6,6 +6,9 @@ is late if its window had ended by then.  Rows in time are counted per window an
 table of their own with the watermark that they missed.  Both are written through the ledger, so a
 batch counts once; a window's count is the sum of its partial counts, and it is closed when the
 watermark has passed its end.
+
+:func:`meeting` joins two streams the same way: what may still be met lies in tables of the ledger
+and not in the memory of executors, as the state of Spark's own stream-stream join does.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from pyspark.sql import functions as F
 
 from lorebase.streaming.ledger import Ledger
 
+REACHED = "batch bigint, left_us bigint, right_us bigint"
 PARTIAL = "start timestamp_ntz, end timestamp_ntz, n bigint, total double"
 SEEN = "batch bigint, largest timestamp_ntz"
 
@@ -62,3 +66,53 @@ def joined(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at:
     b = right.withWatermark(f"r_{right_at}", delay).withColumn("_r_slice", slice_of(F.col(f"r_{right_at}")))
     span = (F.col(f"r_{right_at}") >= F.col(left_at)) & (F.col(f"r_{right_at}") <= F.col(left_at) + F.expr(f"interval {within}"))
     return a.join(b, (F.col(key) == F.col(f"r_{key}")) & (F.col("_slice") == F.col("_r_slice")) & span).drop("_slice", "_r_slice")
+
+
+def both(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Two streams as one, with a column for either side's rows: what :func:`meeting` takes."""
+    l, r = F.struct(*left.columns).alias("l"), F.struct(*right.columns).alias("r")
+    none = lambda df: F.lit(None).cast(df.schema)
+    return left.select(l, none(right).alias("r")).unionByName(right.select(none(left).alias("l"), r))
+
+
+def meeting(ledger: Ledger, key: str, at: str, within: str, delay: str) -> Callable[[DataFrame, int], dict[str, DataFrame]]:
+    """A step for the ledger over :func:`both`: table ``met``, rows of one key whose right side is at most so long after the left one.
+
+    The columns of ``met`` are the left side's and the right side's as ``r_`` and their name.  The watermark is
+    the lesser of what both sides had reached in earlier batches, less the delay; rows behind it are dropped.
+    A batch is joined with itself and with the tables ``left`` and ``right`` of the batch before, which hold what the
+    watermark lets be met yet, so memory is that of a batch join, whatever the number of rows held.  Rows
+    meet by key and by slice of time as long as the bound.
+    """
+    micros = lambda span: F.expr(f"unix_micros(timestamp_seconds(0) + interval {span})")
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+
+    def reached(rows: DataFrame) -> int | None:
+        m = rows.agg((F.when(F.count("left_us") * F.count("right_us") > 0, F.least(F.max("left_us"), F.max("right_us"))) - micros(delay)).alias("m"))
+        return m.first()["m"]
+
+    def step(batch: DataFrame, batch_id: int) -> dict[str, DataFrame]:
+        earlier = ledger.table("reached", REACHED).filter(F.col("batch") < batch_id)
+        largest = batch.agg(F.max(us(f"l.{at}")), F.max(us(f"r.{at}"))).first()
+        now = ledger.spark.range(1).select(*[F.lit(v).cast("bigint").alias(n) for n, v in zip(("batch", "left_us", "right_us"), (batch_id, *largest), strict=True)])
+        before, after = reached(earlier), reached(earlier.unionByName(now))
+
+        def side(name: str, column: str, longest: Column) -> tuple[DataFrame, DataFrame]:
+            schema = batch.schema[column].dataType
+            new = batch.filter(F.col(column).isNotNull()).select(f"{column}.*").filter(F.col(at).isNotNull() & F.col(key).isNotNull())
+            new = new if before is None else new.filter(us(at) >= before)
+            rows = new.withColumn("_new", F.lit(True)).unionByName(ledger.last(name, schema, batch_id).withColumn("_new", F.lit(False)))
+            held = rows.drop("_new")
+            return rows, held if after is None else held.filter(us(at) + longest >= after)
+
+        (left, held), (right, r_held) = side("left", "l", micros(within)), side("right", "r", F.lit(0))
+        right = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
+        size = F.greatest(F.lit(1), micros(within))
+        slice_of = lambda t: F.floor(t / size)
+        a = left.withColumn("_slice", F.explode(F.sequence(slice_of(us(at)), slice_of(us(at) + micros(within)))))
+        b = right.withColumn("_r_slice", slice_of(us(f"r_{at}")))
+        span = (us(f"r_{at}") >= us(at)) & (us(f"r_{at}") <= us(at) + micros(within)) & (F.col("_new") | F.col("r__new"))
+        met = a.join(b, (F.col(key) == F.col(f"r_{key}")) & (F.col("_slice") == F.col("_r_slice")) & span).drop("_slice", "_r_slice", "_new", "r__new")
+        return {"met": met, "left": held, "right": r_held, "reached": now}
+
+    return step

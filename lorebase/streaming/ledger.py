@@ -15,6 +15,7 @@ from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 Step = Callable[[DataFrame, int], dict[str, DataFrame]]
 
@@ -101,6 +102,13 @@ class Ledger:
         paths = [f"{self.folder}/{self.query}/{name}/{e['attempt']}" for e in self.entries().values() if name in e["tables"]]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
+    def last(self, name: str, schema: str | StructType, before: int) -> DataFrame:
+        """A table as the last committed batch before another has written it."""
+        of = {b: e for b, e in self.entries().items() if b < before}
+        if not of or name not in of[max(of)]["tables"]:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{self.query}/{name}/{of[max(of)]['attempt']}")
+
     def compact_log(self, through: int) -> int:
         """How many entries up to a batch there are; attempts that no entry names are removed."""
         entries = self.entries()

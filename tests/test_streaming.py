@@ -1,6 +1,8 @@
 """Streaming jobs on small folders of files."""
 
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.errors import StreamingQueryException
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lorebase.streaming import jobs, late
 from lorebase.streaming.ledger import Files, Ledger
+from tests.conftest import SF
 
 
 def test_sessions_close_behind_the_watermark(spark, tmp_path):
@@ -122,6 +125,48 @@ def test_streams_meet_by_key_and_slice_of_time(spark, tmp_path):
     assert sorted(tuple(r) for r in got.collect()) == [(0, 0), (0, 1), (1, 1), (2, 4)]
 
 
+def test_streams_meet_by_tables_and_hold_no_state(spark, tmp_path):
+    """Batches over a watermark, one of them run again, against all pairs; what can't be met any more goes."""
+    rng, schema, ledger = random.Random(4), "id int, k int, at timestamp", Ledger(spark, str(tmp_path / "l"), "j")
+    start, near = datetime(2024, 1, 1), timedelta(minutes=10)
+    row = lambda i, m, k=None: (i, rng.choice([1, 1, 2, None]) if k is None else k, start + timedelta(seconds=m))
+    given = {s: [[row(1000 * p + i, 3600 * p + rng.randrange(-600, 3600)) for i in range(60)] for p in range(3)] for s in "ab"}
+    given["a"][0] += [(-1, 1, None), row(-2, 3599, 1)]
+    given["b"][1] += [row(-3, 3599 + 600, 1), row(-4, 3599 + 601, 1)]
+    given["b"][2] += [row(-5, 0, 1)]  # behind the watermark
+    step, failing = late.meeting(ledger, "k", "at", "10 minutes", "15 minutes"), []
+    for p in range(3):
+        sides = []
+        for s in "ab":
+            fed(spark, given[s][p], schema, str(tmp_path / s))
+            sides.append(spark.readStream.schema(schema).parquet(str(tmp_path / s)))
+
+        def lost(batch_id):
+            if batch_id == 1 and not failing:
+                failing.append(batch_id)
+                raise RuntimeError("the driver is lost")
+
+        run = lambda: late.both(*sides).writeStream.foreachBatch(ledger.run(step, lost)).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()  # noqa: B023, E731
+        if p == 1:
+            with pytest.raises(StreamingQueryException):
+                run()
+        run()
+    a, b = (sum(given[s], []) for s in "ab")
+    want = sorted((x[0], y[0]) for x in a for y in b if x[1] == y[1] is not None and x[2] and x[2] <= y[2] <= x[2] + near and y[0] != -5)
+    assert sorted((r.id, r.r_id) for r in ledger.table("met", "id int, r_id int").collect()) == want and (-2, -3) in want and (-2, -4) not in want
+    mark = min(max(x[2] for x in side if x[2]) for side in (a, b)) - timedelta(minutes=15)
+    held = [ledger.last(n, schema, 3).collect() for n in ("left", "right")]
+    assert all(held) and min(r.at for r in held[0]) >= mark - near and min(r.at for r in held[1]) >= mark
+    assert not (tmp_path / "c" / "state").exists()
+
+
+def test_sales_meet_clicks_without_state(spark):
+    from lorebase import catalogue
+
+    out = catalogue.queries()["stream_join_sales"](spark, SF)
+    assert not any((folder / "checkpoint" / "state").exists() for f in out.inputFiles() for folder in list(Path(f.split(":", 1)[1]).parents)[:4])
+
+
 def test_keys_of_one_slot_share_a_state_and_end_each_in_time(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(jobs, "SLOTS", 1)
     own, fed, out = jobs.stateful(spark), str(tmp_path / "in"), str(tmp_path / "out")
