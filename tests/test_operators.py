@@ -432,6 +432,15 @@ def test_cooccurrences_by_tiles_equal_brute_force(spark, monkeypatch):
     assert graph.cooccurrences(df.limit(0), "g", "u").count() == 0
 
 
+def test_tiles_shuffle_no_copies_of_members(spark):
+    """Blocks lie in one table that both sides of the tiles read; what is counted needs no exchange, and rows of a tile are batches."""
+    df = spark.createDataFrame([(g, u) for g in range(30) for u in range(60)], "g int, u int")
+    out = graph.cooccurrences(df, "g", "u")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan and out.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1"
+    assert out.count() == 60 * 59 // 2 and {x.weight for x in out.collect()} == {30}
+
+
 def test_cooccurrences_take_partitions_by_pairs(spark, monkeypatch):
     monkeypatch.setattr(graph, "PAIRS", 20)
     sets = [{g % 50, g % 31 + 100, g % 7 + 200} for g in range(300)]
