@@ -512,6 +512,32 @@ def test_pruned_blocks_hold_nothing_better():
         assert set(shard.best(terms, weights, 10, cut)[0].tolist()) >= set(np.flatnonzero(whole > cut + 1e-9))
 
 
+@pytest.mark.parametrize(("common", "table", "scores", "at_once"), [(16, 4_000_000, 2_000_000, 1_000_000), (4, 9000, 6000, 50), (1, 0, 1, 1)])
+def test_queries_of_a_shard_are_scored_together(monkeypatch, common, table, scores, at_once):
+    """Batches of queries, their terms in the table or not, against sums by term; terms that the shard lacks, queries without any, blocks that none needs."""
+    for name, value in (("COMMON", common), ("TABLE", table), ("SCORES", scores), ("AT_ONCE", at_once)):
+        monkeypatch.setattr(search, name, value)
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(["a", "b", "c", *"defg"[: 1 + i // 400], f"r{i % 700}"], rng.integers(1, 30))) for i in range(1500)]
+    group = search.pa.table({"block": search.pa.array([0] * 1500, search.pa.int32()), "doc_id": range(1500), "text": texts, "asked": [True] * 1500})
+    shard = search.Shard(next(search.scalars(search._indexed(group).to_batches())), 10.0)
+    terms = [rng.choice(len(shard.terms), n, replace=False) for n in (0, 1, 1, 5, 40, 300, 12, 0)] + [np.array([-1, -1]), np.array([-1, 3])]
+    weights = [rng.random(len(t)) * 3 for t in terms]
+    whole = np.zeros((len(terms), 1500))
+    for i, (own, by) in enumerate(zip(terms, weights, strict=True)):
+        for t, w in zip(own[own >= 0], by[own >= 0], strict=True):
+            at = slice(shard.starts[t], shard.starts[t + 1])
+            whole[i, shard.docs[at]] += w * shard.adds[at]
+    cut = np.sort(whole)[:, -10]
+    for least in (np.zeros(len(terms)), cut, cut + 1.0, np.where(np.arange(len(terms)) == 4, cut, 1e9)):
+        got = {i: (docs, sums) for i, docs, sums in shard.each(np.cumsum([0, *map(len, terms)]), np.concatenate(terms), np.concatenate(weights), 10, least)}
+        for i in range(len(terms)):
+            docs, sums = got.get(i, (np.zeros(0, int), np.zeros(0)))
+            better = np.flatnonzero((whole[i] > 0) & (whole[i] > max(cut[i], least[i]) + 1e-9))
+            assert set(better) <= set(docs.tolist()) and sums == pytest.approx(whole[i, docs]) and len(set(docs.tolist())) == len(docs)
+            assert not len(docs) or whole[i, docs].min() >= max(least[i], cut[i] if (whole[i] >= max(least[i], 1e-300)).sum() > 10 else 0) - 1e-5
+
+
 # -- 9 ------------------------------------------------------------------------------------------
 
 
