@@ -439,6 +439,7 @@ def test_tiles_shuffle_no_copies_of_members(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "Exchange" not in plan and out.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1"
     assert out.count() == 60 * 59 // 2 and {x.weight for x in out.collect()} == {30}
+    assert len({f for f in out.inputFiles()}) > 4 and out.rdd.getNumPartitions() >= 9  # before, one file and one task
 
 
 def test_cooccurrences_take_partitions_by_pairs(spark, monkeypatch):
